@@ -193,7 +193,7 @@ def missing_leaves(spark, sf):
     return T.missing_leaves(B.tree(spark, sf), B.table(spark, sf, "customer").select(B.prefixed("SRS", "c_custkey").alias("name")))
 
 
-@query("newick_nodes", """SELECT n_nationkey AS tree_id, count(*) * 3 + 2 AS nodes, round(sum(abs(s_acctbal)) / 1000 + 2.5, 5) AS total
+@query("newick_nodes", """SELECT CAST(n_nationkey AS BIGINT) AS tree_id, count(*) * 3 + 2 AS nodes, round(sum(abs(s_acctbal)) / 1000 + 2.5, 5) AS total
 FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1""")
 def newick_nodes(spark, sf):
     """One Newick text per nation, ``((left,right:1)SRSk:length,…,)``, parsed back to nodes."""
@@ -247,13 +247,15 @@ def similarity_graph(spark, sf):
     return B.rounded(_edges(spark, sf))
 
 
-@query("components", """WITH RECURSIVE e AS (
+LINKS = """e AS (
   SELECT DISTINCT 'C' || o_custkey AS a, 'P' || l_partkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey
   WHERE l_quantity >= 49.5 AND l_discount >= 0.085 AND l_returnflag <> 'N'),
 both_ways AS (SELECT a AS u, b AS v FROM e UNION ALL SELECT b, a FROM e),
-walk AS (SELECT u, u AS c FROM both_ways UNION SELECT b.v, w.c FROM walk w JOIN both_ways b ON w.u = b.u)
-SELECT u AS id, min(c) AS component FROM walk GROUP BY 1""")
-def components(spark, sf):
+walk AS (SELECT u, u AS c FROM both_ways UNION SELECT b.v, w.c FROM walk w JOIN both_ways b ON w.u = b.u),
+named AS (SELECT u AS id, min(c) AS component FROM walk GROUP BY 1)"""
+
+
+def _linked(spark, sf):
     """Components of the customer–part graph of large discounted lines."""
     lines = B.table(spark, sf, "lineitem").where("l_quantity >= 49.5 and l_discount >= 0.085 and l_returnflag <> 'N'")
     e = lines.join(B.table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(
@@ -262,22 +264,14 @@ def components(spark, sf):
     return G.components(nodes, e)
 
 
-@query("component_sizes", """WITH e AS (SELECT DISTINCT 'C' || c_nationkey AS a, 'C' || s_nationkey AS b
-  FROM customer JOIN supplier ON c_custkey = s_suppkey)
-SELECT CAST(count(*) AS BIGINT) AS size, 1::BIGINT AS n FROM nation HAVING (SELECT count(*) FROM e) > 0""".replace(
-    "SELECT CAST(count(*) AS BIGINT) AS size, 1::BIGINT AS n FROM nation HAVING (SELECT count(*) FROM e) > 0",
-    """, b AS (SELECT a AS u, b AS v FROM e UNION ALL SELECT b, a FROM e),
-walk AS (WITH RECURSIVE w AS (SELECT 'C' || n_nationkey AS u, 'C' || n_nationkey AS c FROM nation
-  UNION SELECT b.v, w.c FROM w JOIN b ON w.u = b.u) SELECT * FROM w),
-named AS (SELECT u, min(c) AS c FROM walk GROUP BY 1)
-SELECT c AS component, count(*) AS size FROM named GROUP BY 1"""))
+@query("components", f"WITH RECURSIVE {LINKS} SELECT id, component FROM named")
+def components(spark, sf):
+    return _linked(spark, sf)
+
+
+@query("component_sizes", f"WITH RECURSIVE {LINKS} SELECT component, count(*) AS size FROM named GROUP BY 1")
 def component_sizes(spark, sf):
-    """Nations linked when a customer and a supplier share their number."""
-    c, s = B.table(spark, sf, "customer"), B.table(spark, sf, "supplier")
-    e = c.join(s, F.col("c_custkey") == F.col("s_suppkey")).select(
-        B.prefixed("C", "c_nationkey").alias("a"), B.prefixed("C", "s_nationkey").alias("b")).distinct()
-    nodes = B.table(spark, sf, "nation").select(B.prefixed("C", "n_nationkey").alias("id"))
-    return G.component_sizes(G.components(nodes, e))
+    return G.component_sizes(_linked(spark, sf))
 
 
 CUT = f"""WITH {GRAPH}, {B.split_sql()}, cut AS (
