@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from taxaspark import fixed_values as fixed
 from taxaspark.functions import columns as C
+from taxaspark.lineage import materialize
 from taxaspark.operators.profile import normalise, relative_abundance
 from taxaspark.operators.tiles import tiled_pairs
 
@@ -66,6 +67,8 @@ def predict_nn(test: DataFrame, train: DataFrame, nn: DataFrame, k: int = None,
     older form with a constant inside the log.
     """
     translated = translate(test, nn, train)
+    if k is not None:
+        translated = materialize(translated, "translated")
     weighted = translated.join(taxon_weights(train, eps), "target", "left")
     if k is not None:
         near = nearest_samples(translated, train, k).select("sample_id", "neighbour")

@@ -18,9 +18,9 @@ def _paired(predictions, truth, keys):
 def average_ranks(df: DataFrame, keys, value: str, out: str) -> DataFrame:
     """Tie-averaged rank (from 1) of ``value`` within its group."""
     keys = list(keys)
-    df = df.withColumn(value, F.col(value).cast("double"))
-    ranks = ordered_histogram(df, keys, value).select(*keys, value, tie_averaged_rank().alias(out))
-    return join_on(df, ranks, keys + [value])
+    df = df.withColumn("_v", F.col(value).cast("double"))
+    ranks = ordered_histogram(df.select(*keys, "_v"), keys, "_v").select(*keys, "_v", tie_averaged_rank().alias(out))
+    return join_on(df, ranks, keys + ["_v"]).drop("_v")
 
 
 def spearman(df: DataFrame, keys, x: str, y: str) -> DataFrame:

@@ -79,7 +79,8 @@ def tie_averaged_rank(before="before", n="n") -> Column:
 def exact_quantiles(df: DataFrame, keys, value: str, quantiles: dict) -> DataFrame:
     """Exact quantiles per group with linear interpolation: ``{column: q}``."""
     keys = list(keys)
-    hist = ordered_histogram(df, keys, value)
+    hist = ordered_histogram(df.select(*keys, F.col(value).alias("_v")), keys, "_v")
+    value = "_v"
     aggs = []
     for name, q in quantiles.items():
         position = F.lit(float(q)) * (F.col("total") - 1)

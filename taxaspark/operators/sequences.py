@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from taxaspark.lineage import materialize
+
 BLOCK_SEQUENCES = 512
 
 
@@ -39,6 +41,7 @@ def _blocks(count, cores, symmetric):
 
 def hamming_pairs(alignment: DataFrame) -> DataFrame:
     """``(a, b, d)`` for all taxon pairs ``a < b`` of an alignment ``(taxon_id, aln)``."""
+    alignment = materialize(alignment.select("taxon_id", "aln"), "alignment")
     distinct = alignment.select(F.upper("aln").alias("aln")).distinct()
     count = distinct.count()
     nb = _blocks(count, alignment.sparkSession.sparkContext.defaultParallelism, True)
@@ -85,7 +88,8 @@ def aligned_nn(queries: DataFrame, database: DataFrame, by: str = None) -> DataF
     q = queries.select("taxon_id", F.upper("aln").alias("aln"), group.alias("grp"))
     base = database.select("taxon_id", F.upper("aln").alias("aln"), group.alias("grp"))
     # One answer per distinct sequence: the smallest id that has it.
-    answers = base.groupBy("grp", "aln").agg(F.min("taxon_id").alias("answer"))
+    answers = materialize(base.groupBy("grp", "aln").agg(F.min("taxon_id").alias("answer")), "answers")
+    q = materialize(q, "queries")
     asked = q.select("grp", "aln").distinct()
     cores = queries.sparkSession.sparkContext.defaultParallelism
     spread = math.ceil(math.sqrt(cores))

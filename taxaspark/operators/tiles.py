@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from taxaspark.lineage import materialize
+
 BLOCK_IDS = 1024
 TILE_ROWS = 2_000_000
 
@@ -122,6 +124,9 @@ def tiled_pairs(
     """
     spark = left.sparkSession
     symmetric = right is None
+    # Read twice, for its size and for the tiles; what made it should run once.
+    left = materialize(left.select("id", "key", "x", "w"), "pairs")
+    right = right if symmetric else materialize(right.select("id", "key", "x", "w"), "pairs")
     sizes = [_size(left)] + ([] if symmetric else [_size(right)])
     cores = spark.sparkContext.defaultParallelism
     blocks = []

@@ -7,6 +7,7 @@ marker vectors = embeddings; tree = root, region, nation, supplier.
 
 from pyspark.sql import functions as F
 
+from taxaspark.lineage import materialize
 from taxaspark.operators import profile as P, sequences as Q, split as L
 
 
@@ -144,7 +145,9 @@ def train_test(spark, sf):
     valid = table(spark, sf, "part").where("p_type <> 'LARGE'").select(prefixed("ASV", "p_partkey").alias("taxon_id"))
     c = counts(spark, sf)
     pick = lambda label: c.join(labels.where(F.col("label") == label).select("sample_id"), "sample_id", "left_semi")
-    return P.relative_abundance(pick("Train"), valid), P.relative_abundance(pick("Test"))
+    train, test = P.relative_abundance(pick("Train"), valid), P.relative_abundance(pick("Test"))
+    # A split is written once and read by every predictor.
+    return materialize(train, "train"), materialize(test, "test")
 
 
 TRAIN_TEST = COUNTS + ", " + split_sql() + """, valid AS (
@@ -161,7 +164,7 @@ def nn_lookup(spark, sf, train, test):
     """Nearest training taxon of every test taxon."""
     aligned = sequences(spark, sf)
     pick = lambda p: aligned.join(p.select("taxon_id").distinct(), "taxon_id", "left_semi")
-    return Q.aligned_nn(pick(test), pick(train))
+    return materialize(Q.aligned_nn(pick(test), pick(train)), "nn")
 
 
 NN = TRAIN_TEST + ", " + SEQUENCES + """, nnpairs AS (
@@ -181,7 +184,8 @@ def project_sequences(spark, sf, p):
 
 
 def nn_within_project(spark, sf, train, test):
-    return Q.aligned_nn(project_sequences(spark, sf, test), project_sequences(spark, sf, train), by="project")
+    found = Q.aligned_nn(project_sequences(spark, sf, test), project_sequences(spark, sf, train), by="project")
+    return materialize(found, "nn-project")
 
 
 NN_WITHIN = NN + """, tseq AS (
@@ -259,8 +263,8 @@ def results(spark, sf):
     method = F.col("o_orderpriority")
     return o.select(
         method.alias("Method"), prefixed("SRS", "o_custkey").alias("SampleId"),
-        F.when(~method.isin("4-NOT SPECIFIED", "5-LOW"), F.year("o_orderdate")).alias("Seed"),
-        F.when(method != "5-LOW", F.quarter("o_orderdate")).alias("DataSplitSeed"),
+        F.when(~method.isin("4-NOT SPECIFIED", "5-LOW"), F.year("o_orderdate").cast("bigint")).alias("Seed"),
+        F.when(method != "5-LOW", F.quarter("o_orderdate").cast("bigint")).alias("DataSplitSeed"),
         (F.col("o_totalprice") / 100000).alias("KL_err"))
 
 
@@ -283,7 +287,7 @@ def named_results(spark, sf):
         method = F.when(F.col("o_orderpriority") == priority, name).otherwise(method)
     return o.select(
         method.alias("Method"), prefixed("SRS", "o_custkey").alias("SampleId"),
-        F.year("o_orderdate").alias("Seed"), F.quarter("o_orderdate").alias("DataSplitSeed"),
+        F.year("o_orderdate").cast("bigint").alias("Seed"), F.quarter("o_orderdate").cast("bigint").alias("DataSplitSeed"),
         (F.col("o_orderstatus") == "F").alias("Ablated"), (F.col("o_totalprice") / 100000).alias("KL_err"),
         (F.col("o_custkey") + 1).cast("double").alias("NumParameters"))
 
