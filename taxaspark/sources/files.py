@@ -14,26 +14,33 @@ def _file_stem(pattern=r"([^/]+?)(?:\.[^/]*)?$"):
 def read_counts(spark: SparkSession, path: str, samples: DataFrame = None) -> DataFrame:
     """Long counts from one wide table per project (``asv<TAB>sample…``, plain or compressed).
 
-    The project is the file name up to its first dot. Zero cells are dropped
-    while a line is split, so the thousands of sample columns never become
-    columns. A line whose token count differs from its header raises. With
-    ``samples (project, sample_id)`` only those are kept.
+    The project is the file name up to its first dot. With ``samples (project,
+    sample_id)`` only those are kept.
     """
-    lines = spark.read.text(path).select(_file_stem().alias("project"), "value")
-    fields = F.split(F.rtrim("value"), "\t")
-    parsed = lines.select("project", fields.alias("f")).where(F.size("f") > 1)
-    headers = parsed.where(F.col("f")[0] == "asv").select(
-        "project", F.slice("f", 2, 1 << 30).alias("names"))
-    body = parsed.where(F.col("f")[0] != "asv").join(headers, "project")
-    values = F.slice("f", 2, 1 << 30)
-    cells = F.zip_with("names", values, lambda s, v: F.struct(
-        s.alias("sample_id"), v.cast("double").cast("bigint").alias("n")))
-    checked = F.when(F.size(values) == F.size("names"), cells).otherwise(
-        F.raise_error(F.concat(F.lit("token count differs from header: "), F.col("project"))))
-    long = body.select(
-        "project", F.col("f")[0].alias("taxon_id"),
-        F.explode(F.filter(checked, lambda c: c["n"] > 0)).alias("c"),
-    ).select("project", "c.sample_id", "taxon_id", "c.n")
+    return parse_counts(spark.read.text(path).select(_file_stem().alias("project"), "value"), samples)
+
+
+def _cells(lines, key, first, kind):
+    """Header names and body cells of wide text tables: ``(key, row, name, cell)``, zeros dropped.
+
+    Cells are dropped while a line is split, so thousands of sample columns never
+    become columns. A line whose token count differs from its header raises.
+    """
+    parsed = lines.select(key, F.split(F.rtrim("value"), "\t").alias("f")).where(F.size("f") > 1)
+    rest = F.slice("f", 2, 1 << 30)
+    headers = parsed.where(F.col("f")[0] == first).select(key, rest.alias("names"))
+    body = parsed.where(F.col("f")[0] != first).join(headers, key)
+    cells = F.zip_with("names", rest, lambda s, v: F.struct(s.alias("name"), kind(v).alias("cell")))
+    checked = F.when(F.size(rest) == F.size("names"), cells).otherwise(
+        F.raise_error(F.concat(F.lit("token count differs from header: "), F.col(key))))
+    return body.select(key, F.col("f")[0].alias("row"), F.explode(F.filter(checked, lambda c: c["cell"] > 0)).alias("c")).select(
+        key, "row", "c.name", "c.cell")
+
+
+def parse_counts(lines: DataFrame, samples: DataFrame = None) -> DataFrame:
+    """Counts from the text lines ``(project, value)`` of wide tables."""
+    long = _cells(lines, "project", "asv", lambda v: v.cast("double").cast("bigint")).select(
+        "project", F.col("name").alias("sample_id"), F.col("row").alias("taxon_id"), F.col("cell").alias("n"))
     if samples is not None:
         long = long.join(samples.select("project", "sample_id"), ["project", "sample_id"], "left_semi")
     return long
@@ -41,21 +48,25 @@ def read_counts(spark: SparkSession, path: str, samples: DataFrame = None) -> Da
 
 def read_count_headers(spark: SparkSession, path: str) -> DataFrame:
     """``(project, sample_id)`` named by the headers of wide count tables."""
-    lines = spark.read.text(path).select(_file_stem().alias("project"), "value")
+    return parse_count_headers(spark.read.text(path).select(_file_stem().alias("project"), "value"))
+
+
+def parse_count_headers(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("value").startswith("asv\t")).select(
         "project", F.explode(F.slice(F.split("value", "\t"), 2, 1 << 30)).alias("sample_id"))
 
 
 def read_clade_profiles(spark: SparkSession, path: str) -> DataFrame:
     """Species-bin abundances of a clade × sample table: ``(sample_id, taxon_id, abundance)``."""
-    lines = spark.read.text(path).select(F.split(F.rtrim("value"), "\t").alias("f"), _file_stem().alias("file"))
-    headers = lines.where(F.col("f")[0] == "clade_name").select("file", F.slice("f", 2, 1 << 30).alias("names"))
-    body = lines.where(F.col("f")[0] != "clade_name").withColumn("taxon_id", C.species_from_clade(F.col("f")[0]))
-    cells = F.zip_with("names", F.slice("f", 2, 1 << 30), lambda s, v: F.struct(
-        s.alias("sample_id"), v.cast("double").alias("abundance")))
-    return body.where("taxon_id is not null").join(headers, "file").select(
-        "taxon_id", F.explode(F.filter(cells, lambda c: c["abundance"] > 0)).alias("c")
-    ).select("c.sample_id", "taxon_id", "c.abundance")
+    return parse_clades(spark.read.text(path).select(_file_stem().alias("file"), "value"))
+
+
+def parse_clades(lines: DataFrame) -> DataFrame:
+    """Species-bin rows of the text lines ``(file, value)`` of clade tables."""
+    species = F.split(F.col("value"), "\t")[0]
+    kept = lines.where((species == "clade_name") | C.species_from_clade(species).isNotNull())
+    return _cells(kept, "file", "clade_name", lambda v: v.cast("double")).select(
+        F.col("name").alias("sample_id"), C.species_from_clade("row").alias("taxon_id"), F.col("cell").alias("abundance"))
 
 
 def read_sample_metadata(spark, path: str) -> DataFrame:
@@ -142,7 +153,7 @@ def read_results(spark, path: str) -> DataFrame:
     ``[ABLATED__]<method>__<seed>.tsv``; baselines are ``<method>.tsv`` with a null seed.
     """
     table = spark.read.csv(path, sep="\t", header=True, schema=schema.RESULTS, recursiveFileLookup=True)
-    file = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.tsv(?:/[^/]*)?$", 1)
+    file = F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+)\.tsv(?:/[^/]*)?$", 1)
     named = table.withColumn("_f", file).withColumn("Ablated", F.col("_f").startswith("ABLATED__"))
     bare = F.regexp_replace("_f", "^ABLATED__", "")
     baseline = C.is_baseline(bare)
