@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from taxaspark import fixed_values as fixed
 from taxaspark.functions import columns as C
 from taxaspark.lineage import materialize
+from taxaspark.operators.ordering import join_on
 from taxaspark.operators.profile import normalise, relative_abundance
 from taxaspark.operators.tiles import tiled_pairs
 
@@ -58,31 +59,47 @@ def taxon_weights(train: DataFrame, eps: float = None) -> DataFrame:
         C.geometric_mean("rel_abund", eps).alias("weight"))
 
 
-def predict_nn(test: DataFrame, train: DataFrame, nn: DataFrame, k: int = None, eps: float = None) -> DataFrame:
-    """Nearest-neighbour prediction, from all training samples or the ``k`` nearest.
+def predict_nn_all(test: DataFrame, train: DataFrame, nn: DataFrame, ks=(), eps: float = None) -> DataFrame:
+    """Nearest-neighbour predictions ``(k, sample_id, taxon_id, pred)`` for several ``k`` at once.
 
-    A taxon weighs the geometric mean abundance of its neighbour taxon over the
-    chosen samples that have it; where none has, over all training samples;
-    without a neighbour 0. Weights are normalised per sample. ``eps`` gives the
-    older form with a constant inside the log.
+    ``k`` null is the prediction from all training samples. A taxon weighs the
+    geometric mean abundance of its neighbour taxon over the ``k`` nearest
+    samples that have it; where none has, over all training samples; without a
+    neighbour 0. Weights are normalised per sample. The nearest samples are
+    found once, for the largest ``k``. ``eps`` gives the older form with a
+    constant inside the log.
     """
     translated = translate(test, nn, train)
-    if k is not None:
+    if ks:
         translated = materialize(translated, "translated")
     weighted = translated.join(taxon_weights(train, eps), "target", "left")
-    if k is not None:
-        near = nearest_samples(translated, train, k).select("sample_id", "neighbour")
+    weight = F.coalesce("weight", F.lit(0.0))
+    options = [F.struct(F.lit(None).cast("int").alias("k"), weight.alias("weight"))]
+    if ks:
+        near = materialize(
+            nearest_samples(translated, train, max(ks)).select("sample_id", "neighbour", "rank"), "nearest")
         wanted = translated.where("target is not null").select("sample_id", "target").distinct()
         abundances = train.where("rel_abund > 0").select(
             F.col("sample_id").alias("neighbour"), F.col("taxon_id").alias("target"), "rel_abund")
+        among = lambda k: F.when(F.col("rank") <= k, F.col("rel_abund"))
         local = (
             near.join(abundances, "neighbour").join(wanted, ["sample_id", "target"], "left_semi")
-            .groupBy("sample_id", "target").agg(C.geometric_mean("rel_abund", eps).alias("local"))
+            .groupBy("sample_id", "target")
+            .agg(*[C.geometric_mean(among(k), eps).alias(f"local_{k}") for k in ks])
         )
-        weighted = weighted.join(local, ["sample_id", "target"], "left").withColumn(
-            "weight", F.coalesce("local", "weight"))
-    weighted = weighted.withColumn("weight", F.coalesce("weight", F.lit(0.0)))
-    return normalise(weighted, "weight", "pred").select("sample_id", "taxon_id", "pred")
+        weighted = weighted.join(local, ["sample_id", "target"], "left")
+        options += [F.struct(F.lit(k).alias("k"), F.coalesce(f"local_{k}", weight).alias("weight")) for k in ks]
+    long = weighted.select("sample_id", "taxon_id", F.explode(F.array(*options)).alias("o")).select(
+        "sample_id", "taxon_id", "o.k", "o.weight")
+    totals = long.groupBy("k", "sample_id").agg(F.sum("weight").alias("_total"))
+    return join_on(long, totals, ["k", "sample_id"]).select(
+        "k", "sample_id", "taxon_id", F.try_divide("weight", "_total").alias("pred"))
+
+
+def predict_nn(test: DataFrame, train: DataFrame, nn: DataFrame, k: int = None, eps: float = None) -> DataFrame:
+    """One nearest-neighbour prediction, from all training samples or the ``k`` nearest."""
+    every = predict_nn_all(test, train, nn, () if k is None else (k,), eps)
+    return every.where(F.col("k").eqNullSafe(F.lit(k))).select("sample_id", "taxon_id", "pred")
 
 
 def predict_tree_nn(test: DataFrame, train: DataFrame, closest: DataFrame) -> DataFrame:
@@ -96,9 +113,9 @@ def empty_predictions(predictions: DataFrame) -> DataFrame:
         "top is null or top = 0").select("sample_id")
 
 
-def log_predictions(predictions: DataFrame, mask: DataFrame = None) -> DataFrame:
+def log_predictions(predictions: DataFrame, mask: DataFrame = None, keys=("sample_id",)) -> DataFrame:
     """Smoothed, optionally masked to ``mask (taxon_id)``, renormalised log predictions ``lp``."""
     smoothed = predictions.withColumn("_p", F.col("pred") + F.lit(fixed.PREDICTION_SMOOTHING))
     if mask is not None:
         smoothed = smoothed.join(mask.select("taxon_id"), "taxon_id", "left_semi")
-    return normalise(smoothed, "_p", "_p").select("sample_id", "taxon_id", F.ln("_p").alias("lp"))
+    return normalise(smoothed, "_p", "_p", keys).select(*keys, "taxon_id", F.ln("_p").alias("lp"))

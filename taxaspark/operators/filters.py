@@ -4,8 +4,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from taxaspark import fixed_values as fixed
 from taxaspark.functions import columns as C
+from taxaspark.lineage import materialize
 from taxaspark.operators.ordering import exact_quantiles, join_on, medians
-from taxaspark.operators.profile import max_richness, prevalence, read_depth, richness
+from taxaspark.operators.profile import prevalence, read_depth, richness
 
 
 def cohort_amplicon(samples: DataFrame, isos, instrument: str) -> DataFrame:
@@ -57,11 +58,15 @@ def filter_samples_and_taxa(
     Returns frames ``projects``, ``samples``, ``taxa``, ``sequences`` and the
     one-row ``max_taxa``.
     """
-    banded = depth_band(attach_depth(samples, counts), q=q)
+    # Sample and taxon lists are small next to the counts: written once, their
+    # size is known and the counts are scanned, not recomputed, for each step.
+    banded = materialize(depth_band(attach_depth(samples, counts), q=q), "banded")
     kept_counts = counts.join(banded.select("sample_id"), "sample_id", "left_semi")
     common = prevalence(kept_counts, read_count_lb).where(F.col("n_samples") >= sample_count_lb)
+    common = materialize(common, "common")
     common_counts = kept_counts.join(common.select("taxon_id"), "taxon_id", "left_semi")
     rich = richness(common_counts).where(F.col("n_taxa").between(min_taxa, max_taxa))
+    rich = materialize(rich, "rich")
     kept_samples = banded.join(rich, "sample_id")
     # Every common taxon of a remaining project stays, as its table keeps its row.
     taxa = common.select("taxon_id")

@@ -21,13 +21,16 @@ BLOCK_IDS = 1024
 TILE_ROWS = 2_000_000
 
 
+# Pairs of rows expanded at a time inside a tile.
+PAIR_BATCH = 4_000_000
+
 # Term of one shared key, given the two values.
 TERMS = {
-    "shared": lambda x, y: np.ones(np.broadcast(x, y).shape),
+    "shared": lambda x, y: np.ones(len(x)),
     "min": np.minimum,
     "dot": np.multiply,
-    "left": lambda x, y: np.broadcast_to(x, np.broadcast(x, y).shape),
-    "right": lambda x, y: np.broadcast_to(y, np.broadcast(x, y).shape),
+    "left": lambda x, y: x,
+    "right": lambda x, y: y,
     "js_shared": lambda x, y: x * np.log(x / (x + y)) + y * np.log(y / (x + y)),
 }
 
@@ -45,60 +48,85 @@ def _size(df):
     return row[0], row[1] or 0, row[2] or 0
 
 
+def _codes(column):
+    """Integer codes of a string column (−1 for null) and its values, in string order."""
+    encoded = column.combine_chunks().dictionary_encode()
+    if isinstance(encoded, pa.ChunkedArray):
+        encoded = encoded.unify_dictionaries().combine_chunks()
+    values = encoded.dictionary.to_numpy(zero_copy_only=False)
+    order = np.argsort(values)
+    place = np.empty(len(order) + 1, dtype=np.int64)
+    place[order], place[-1] = np.arange(len(order)), -1
+    codes = encoded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    return place[codes], values[order]
+
+
+def _row_pairs(left_keys, right_keys, n_keys):
+    """Index pairs (i, j) of rows with the same key, both sides sorted by key, in batches."""
+    steps = np.arange(n_keys + 1)
+    lcut, rcut = np.searchsorted(left_keys, steps), np.searchsorted(right_keys, steps)
+    lcount, rcount = np.diff(lcut), np.diff(rcut)
+    live = np.nonzero(lcount * rcount)[0]
+    pairs = lcount[live] * rcount[live]
+    batch = np.cumsum(pairs) // PAIR_BATCH
+    for keys in np.split(live, np.nonzero(np.diff(batch))[0] + 1):
+        if len(keys):
+            per_key = lcount[keys] * rcount[keys]
+            key = np.repeat(keys, per_key)
+            within = np.arange(len(key)) - np.repeat(np.cumsum(per_key) - per_key, per_key)
+            yield lcut[key] + within // rcount[key], rcut[key] + within % rcount[key]
+
+
 def _tile_function(term, combine, symmetric, all_pairs):
     f = TERMS[term]
-    low_start = math.inf if combine == "min" else 0.0
+    empty = math.inf if combine == "min" else 0.0
 
     def tile(key, table):
         lo, hi, chunk = (k.as_py() for k in key)
-        ids, code = np.unique(table.column("id").to_numpy(), return_inverse=True)
-        weight = np.empty(len(ids))
-        weight[code] = table.column("w").to_numpy()
-        side = table.column("side").to_numpy()
+        id_code, names = _codes(table.column("id"))
+        key_code, keys = _codes(table.column("key"))
+        values, weights = table.column("x").to_numpy(), table.column("w").to_numpy()
+        weight = np.empty(len(names))
+        weight[id_code] = weights
         if symmetric and lo == hi:
-            left = right = np.ones(len(code), dtype=bool)
+            left = right = np.ones(len(id_code), dtype=bool)
         else:
-            left, right = side == 0, side == 1
-        lids, lcode = np.unique(code[left], return_inverse=True)
-        rids, rcode = np.unique(code[right], return_inverse=True)
-        total = np.full((len(lids), len(rids)), low_start)
-        hit = np.zeros(total.shape, dtype=bool)
-
-        keys = table.column("key").to_numpy(zero_copy_only=False)
-        values = table.column("x").to_numpy()
-        present = np.array([k is not None for k in keys], dtype=bool)
-        lkeep, rkeep = present[left], present[right]
-        names, kcode = np.unique(keys[present].astype(str), return_inverse=True)
-        full = np.zeros(len(keys), dtype=np.int64)
-        full[present] = kcode
-        lk, rk = full[left][lkeep], full[right][rkeep]
-        lorder, rorder = np.argsort(lk, kind="stable"), np.argsort(rk, kind="stable")
-        li, ri = lcode[lkeep][lorder], rcode[rkeep][rorder]
-        lx, rx = values[left][lkeep][lorder], values[right][rkeep][rorder]
-        steps = np.arange(len(names) + 1)
-        lcut, rcut = np.searchsorted(lk[lorder], steps), np.searchsorted(rk[rorder], steps)
-        for k in np.nonzero((lcut[:-1] < lcut[1:]) & (rcut[:-1] < rcut[1:]))[0]:
-            i, j = li[lcut[k]:lcut[k + 1]], ri[rcut[k]:rcut[k + 1]]
-            x, y = lx[lcut[k]:lcut[k + 1], None], rx[None, rcut[k]:rcut[k + 1]]
-            cell = np.ix_(i, j)
+            right = table.column("side").to_numpy() == 1
+            left = ~right
+
+        def side(rows):
+            """Ids of one side, and its rows (id position, key, value) in key order."""
+            ids, position = np.unique(id_code[rows], return_inverse=True)
+            order = np.argsort(key_code[rows], kind="stable")
+            order = order[key_code[rows][order] >= 0]
+            return ids, position[order], key_code[rows][order], values[rows][order]
+
+        lids, lpos, lkey, lx = side(left)
+        rids, rpos, rkey, rx = side(right)
+        shape = (len(lids), len(rids))
+        total = np.full(shape, empty).ravel()
+        hit = np.zeros(len(total), dtype=bool)
+        for i, j in _row_pairs(lkey, rkey, len(keys)):
+            cell = lpos[i] * shape[1] + rpos[j]
+            terms = f(lx[i], rx[j])
             if combine == "min":
-                total[cell] = np.minimum(total[cell], f(x, y))
+                np.minimum.at(total, cell, terms)
             else:
-                total[cell] += f(x, y)
+                total += np.bincount(cell, weights=terms, minlength=len(total))
             hit[cell] = True
 
-        emit = np.ones_like(hit) if all_pairs and chunk == 0 else hit
-        gl, gr = lids[:, None], rids[None, :]
+        emit = np.ones(shape, dtype=bool) if all_pairs and chunk == 0 else hit.reshape(shape)
         if symmetric:
             # Inside one block every pair appears twice; keep the ordered one.
+            gl, gr = lids[:, None], rids[None, :]
             emit = emit & (gl < gr) if lo == hi else emit & (gl != gr)
         i, j = np.nonzero(emit)
-        a, b, s = lids[i], rids[j], total[i, j]
+        a, b, s = lids[i], rids[j], total[i * shape[1] + j]
         if symmetric:
             a, b = np.minimum(a, b), np.maximum(a, b)
-        names = pa.array(ids.astype(str), pa.string())
+        ids = pa.array(names, pa.string())
         return pa.Table.from_arrays(
-            [names.take(pa.array(a)), names.take(pa.array(b)), pa.array(s),
+            [ids.take(pa.array(a)), ids.take(pa.array(b)), pa.array(s),
              pa.array(weight[a]), pa.array(weight[b])],
             schema=_ARROW_OUT,
         )

@@ -219,15 +219,11 @@ def evaluate_baselines(spark, sf):
     """Flagship: predict every test profile with four baselines and score each sample."""
     train, test = B.train_test(spark, sf)
     nn = B.nn_lookup(spark, sf, train, test)
-    methods = {
-        "uniform": BL.predict_uniform(test),
-        "nearest_neighbor": BL.predict_nn(test, train, nn),
-        "nearest_neighbor_KNN_10": BL.predict_nn(test, train, nn, k=10),
-        "nearest_neighbor_KNN_20": BL.predict_nn(test, train, nn, k=20),
-    }
-    predictions = reduce(
-        lambda x, y: x.unionByName(y),
-        [BL.log_predictions(p).withColumn("Method", F.lit(name)) for name, p in methods.items()])
+    neighbours = BL.predict_nn_all(test, train, nn, ks=(10, 20))
+    name = F.concat(F.lit("nearest_neighbor"), F.coalesce(F.concat(F.lit("_KNN_"), F.col("k").cast("string")), F.lit("")))
+    methods = BL.predict_uniform(test).withColumn("Method", F.lit("uniform")).unionByName(
+        neighbours.withColumn("Method", name).drop("k"))
+    predictions = BL.log_predictions(methods, keys=("Method", "sample_id"))
     return B.rounded(M.evaluate(predictions, test, keys=("Method", "sample_id")))
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from taxaspark.functions import columns as C
+from taxaspark.lineage import materialize
 from taxaspark.operators import filters as FL, hits as H, profile as P, validation as V
 from taxaspark.plans import bind as B
 from taxaspark.plans.registry import query
@@ -97,8 +98,9 @@ rich AS (SELECT sample_id, count(*) AS n_taxa FROM ckept GROUP BY 1 HAVING count
 
 
 def _filtered(spark, sf):
+    counts = materialize(B.counts(spark, sf), "counts")
     return FL.filter_samples_and_taxa(
-        B.projects(spark, sf), B.samples(spark, sf), B.counts(spark, sf), B.sequences(spark, sf),
+        B.projects(spark, sf), B.samples(spark, sf), counts, B.sequences(spark, sf),
         read_count_lb=30, sample_count_lb=7, min_taxa=50, max_taxa=400)
 
 
