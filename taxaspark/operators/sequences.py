@@ -40,40 +40,43 @@ def _blocks(count, cores, symmetric):
 
 
 def hamming_pairs(alignment: DataFrame) -> DataFrame:
-    """``(a, b, d)`` for all taxon pairs ``a < b`` of an alignment ``(taxon_id, aln)``."""
-    alignment = materialize(alignment.select("taxon_id", "aln"), "alignment")
-    distinct = alignment.select(F.upper("aln").alias("aln")).distinct()
-    count = distinct.count()
-    nb = _blocks(count, alignment.sparkSession.sparkContext.defaultParallelism, True)
-    rows = (
+    """``(a, b, d)`` for all taxon pairs ``a < b`` of an alignment ``(taxon_id, aln)``.
+
+    Tiles return the smallest id of each distinct sequence, not the sequence;
+    the ids that share it join in afterwards.
+    """
+    rows = alignment.select("taxon_id", F.upper("aln").alias("aln"))
+    distinct = materialize(rows.groupBy("aln").agg(F.min("taxon_id").alias("rep")), "alignment")
+    nb = _blocks(distinct.count(), alignment.sparkSession.sparkContext.defaultParallelism, True)
+    tiles = (
         distinct.withColumn("block", F.pmod(F.xxhash64("aln"), F.lit(nb)).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
-        .select("aln", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
+        .select("aln", "rep", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
                 (F.col("block") > F.col("other")).cast("int").alias("side"))
     )
 
     def tile(key, table):
         lo, hi = (k.as_py() for k in key)
-        side = table.column("side").to_numpy()
-        names = table.column("aln")
-        left = names if lo == hi else names.filter(pa.array(side == 0))
-        right = names if lo == hi else names.filter(pa.array(side == 1))
-        d = _differences(_bytes(left), _bytes(right)) if len(left) and len(right) else np.zeros((0, 0))
-        # Every ordered pair of sequences appears in exactly one tile, equal ones included.
-        i, j = np.nonzero(np.ones(d.shape, dtype=bool))
-        seq_a, seq_b = left.take(pa.array(i)), right.take(pa.array(j))
-        d = pa.array(d[i, j].astype(np.float64))
+        side = pa.array(table.column("side").to_numpy() == 1)
+        left = table if lo == hi else table.filter(pa.compute.invert(side))
+        right = table if lo == hi else table.filter(side)
+        if not len(left) or not len(right):
+            d = np.zeros((len(left), len(right)))
+        else:
+            d = _differences(_bytes(left.column("aln")), _bytes(right.column("aln")))
+        # Every ordered pair of sequences is in exactly one tile, equal ones included.
+        i, j = (x.ravel() for x in np.indices(d.shape))
+        rep_a, rep_b = (t.column("rep").combine_chunks() for t in (left, right))
+        rep_a, rep_b, d = rep_a.take(pa.array(i)), rep_b.take(pa.array(j)), pa.array(d.ravel().astype(np.float64))
         if lo != hi:
-            seq_a, seq_b, d = (pa.chunked_array([*x.chunks, *y.chunks]) if isinstance(x, pa.ChunkedArray)
-                               else pa.concat_arrays([x, y])
-                               for x, y in ((seq_a, seq_b), (seq_b, seq_a), (d, d)))
-        return pa.table({"seq_a": seq_a, "seq_b": seq_b, "d": d})
-
-    pairs = rows.groupBy("lo", "hi").applyInArrow(tile, "seq_a string, seq_b string, d double")
-    ids = alignment.select("taxon_id", F.upper("aln").alias("aln"))
-    as_a = ids.select(F.col("taxon_id").alias("a"), F.col("aln").alias("seq_a"))
-    as_b = ids.select(F.col("taxon_id").alias("b"), F.col("aln").alias("seq_b"))
-    return pairs.join(as_a, "seq_a").join(as_b, "seq_b").where("a < b").select("a", "b", "d")
+            rep_a, rep_b, d = pa.concat_arrays([rep_a, rep_b]), pa.concat_arrays([rep_b, rep_a]), pa.concat_arrays([d, d])
+        return pa.table({"rep_a": rep_a, "rep_b": rep_b, "d": d})
+
+    pairs = tiles.groupBy("lo", "hi").applyInArrow(tile, "rep_a string, rep_b string, d double")
+    members = rows.join(distinct, "aln").select("taxon_id", "rep")
+    as_a = members.select(F.col("taxon_id").alias("a"), F.col("rep").alias("rep_a"))
+    as_b = members.select(F.col("taxon_id").alias("b"), F.col("rep").alias("rep_b"))
+    return pairs.join(as_a, "rep_a").join(as_b, "rep_b").where("a < b").select("a", "b", "d")
 
 
 def aligned_nn(queries: DataFrame, database: DataFrame, by: str = None) -> DataFrame:

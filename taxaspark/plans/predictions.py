@@ -46,15 +46,15 @@ gpred AS (SELECT sample_id, taxon_id, w / sum(w) OVER (PARTITION BY sample_id) A
 UNIFORM = "upred AS (SELECT sample_id, taxon_id, 1 / count(*) OVER (PARTITION BY sample_id) AS pred FROM test)"
 
 
-@query("predict_uniform", f"WITH {B.TRAIN_TEST}, {UNIFORM} SELECT sample_id, taxon_id, round(pred, 9) AS pred FROM upred")
+@query("predict_uniform", f"WITH {B.TRAIN_TEST}, {UNIFORM} SELECT sample_id, taxon_id, round(pred, 12) AS pred FROM upred")
 def predict_uniform(spark, sf):
     _, test = B.train_test(spark, sf)
-    return B.rounded(BL.predict_uniform(test), 9)
+    return B.rounded(BL.predict_uniform(test), 12)
 
 
-@query("training_table", f"WITH {B.TRAIN_TEST} SELECT sample_id, taxon_id, round(rel_abund, 9) AS rel_abund FROM train")
+@query("training_table", f"WITH {B.TRAIN_TEST} SELECT sample_id, taxon_id, round(rel_abund, 12) AS rel_abund FROM train")
 def training_table(spark, sf):
-    return B.rounded(B.train_test(spark, sf)[0], 9)
+    return B.rounded(B.train_test(spark, sf)[0], 12)
 
 
 @query("taxon_weights", f"""WITH {B.TRAIN_TEST} SELECT taxon_id AS target, round(exp(avg(ln(rel_abund))), 9) AS weight,

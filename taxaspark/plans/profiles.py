@@ -9,31 +9,31 @@ from taxaspark.plans import bind as B
 from taxaspark.plans.registry import query
 
 
-@query("relative_abundance", f"WITH {B.PROFILE} SELECT sample_id, taxon_id, round(rel_abund, 9) AS rel_abund FROM profile")
+@query("relative_abundance", f"WITH {B.PROFILE} SELECT sample_id, taxon_id, round(rel_abund, 12) AS rel_abund FROM profile")
 def relative_abundance(spark, sf):
-    return B.rounded(B.profile(spark, sf), 9)
+    return B.rounded(B.profile(spark, sf), 12)
 
 
 @query("renormalised_subset", f"""WITH {B.COUNTS}, keep AS (
   SELECT 'ASV' || p_partkey AS taxon_id FROM part WHERE p_type IN ('STANDARD', 'SMALL'))
-SELECT sample_id, taxon_id, round(n / sum(n) OVER (PARTITION BY sample_id), 9) AS rel_abund
+SELECT sample_id, taxon_id, round(n / sum(n) OVER (PARTITION BY sample_id), 12) AS rel_abund
 FROM counts SEMI JOIN keep USING (taxon_id)""")
 def renormalised_subset(spark, sf):
     keep = B.table(spark, sf, "part").where("p_type in ('STANDARD', 'SMALL')").select(
         B.prefixed("ASV", "p_partkey").alias("taxon_id"))
-    return B.rounded(P.relative_abundance(B.counts(spark, sf), keep), 9)
+    return B.rounded(P.relative_abundance(B.counts(spark, sf), keep), 12)
 
 
 @query("padded_profile", f"""WITH {B.BRAND_PROFILE}, ord AS (
   SELECT b AS taxon_id, CAST(row_number() OVER (ORDER BY b) - 1 AS INTEGER) AS ord FROM (SELECT DISTINCT p_brand AS b FROM part))
-SELECT s.sample_id, o.ord, round(coalesce(p.rel_abund, 0), 9) AS value
+SELECT s.sample_id, o.ord, round(coalesce(p.rel_abund, 0), 12) AS value
 FROM (SELECT DISTINCT sample_id FROM bprofile) s CROSS JOIN ord o
 LEFT JOIN bprofile p ON p.sample_id = s.sample_id AND p.taxon_id = o.taxon_id""")
 def padded_profile(spark, sf):
     brands = B.table(spark, sf, "part").agg(F.sort_array(F.collect_set("p_brand")).alias("b"))
     order = brands.select(F.posexplode("b").alias("ord", "taxon_id"))
     vectors = P.padded_profile(B.brand_profile(spark, sf), order, width=4096)
-    return B.rounded(vectors.select("sample_id", F.posexplode("vec").alias("ord", "value")), 9)
+    return B.rounded(vectors.select("sample_id", F.posexplode("vec").alias("ord", "value")), 12)
 
 
 @query("read_depth", f"WITH {B.COUNTS} SELECT sample_id, CAST(sum(n) AS BIGINT) AS read_counts FROM counts GROUP BY 1")

@@ -162,7 +162,8 @@ def pair_count_summary(spark, sf):
 @query("paired_by_project", f"""WITH base AS (SELECT * FROM ({"WITH " + B.RESULTS + " SELECT * FROM results"})),
 results AS (SELECT base.*, 'PRJ' || c_nationkey AS project FROM base JOIN customer ON "SampleId" = 'SRS' || c_custkey),
 {wilcoxon_sql('project, ')}
-SELECT project, method_a, method_b, n, round(least(wp, wm), 4) AS w, round(cl, 6) AS cl FROM n LEFT JOIN w USING (project, method_a, method_b)""")
+SELECT project, method_a, method_b, n, round(least(wp, wm), 4) AS w,
+  CASE WHEN n >= 2 THEN CASE WHEN n_nonzero = 0 THEN 0.5 ELSE round(cl, 6) END END AS cl FROM n LEFT JOIN w USING (project, method_a, method_b)""")
 def paired_by_project(spark, sf):
     samples = B.table(spark, sf, "customer").select(
         B.prefixed("SRS", "c_custkey").alias("sample_id"), B.prefixed("PRJ", "c_nationkey").alias("project"))
