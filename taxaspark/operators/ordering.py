@@ -32,6 +32,26 @@ def join_on(left: DataFrame, right: DataFrame, keys, how="inner") -> DataFrame:
     return joined.drop(*[f"_r_{k}" for k in keys])
 
 
+def _group(keys) -> Column:
+    """The keys as one struct: equal structs match also where a key is null.
+
+    Windows and joins then ask for the same partitioning, so one shuffle serves both.
+    """
+    return F.struct(*keys) if keys else F.struct(F.lit(0).alias("_all"))
+
+
+def _bucket_starts(bucketed: DataFrame, count: Column) -> DataFrame:
+    """Rows before each bucket of a group, and rows of the group."""
+    whole = W.partitionBy("_g")
+    below = whole.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    return (
+        bucketed.groupBy("_g", "_bucket").agg(count.alias("_n"))
+        .withColumn("_start", F.coalesce(F.sum("_n").over(below), F.lit(0).cast("long")))
+        .withColumn("total", F.sum("_n").over(whole))
+        .drop("_n")
+    )
+
+
 def ordered_histogram(df: DataFrame, keys, value: str, sums=None) -> DataFrame:
     """Distinct non-null values per group in order.
 
@@ -44,30 +64,15 @@ def ordered_histogram(df: DataFrame, keys, value: str, sums=None) -> DataFrame:
     extra = [F.sum(e).alias(name) for name, e in (sums or {}).items()]
     hist = (
         df.where(v.isNotNull() & ~F.isnan(v))
-        .groupBy(*keys, v.alias(value))
+        .groupBy(_group(keys).alias("_g"), v.alias(value))
         .agg(F.count(F.lit(1)).alias("n"), *extra)
         .withColumn("_bucket", value_bucket(F.col(value)))
     )
-    whole = W.partitionBy(*keys)
-    starts = (
-        hist.groupBy(*keys, "_bucket")
-        .agg(F.sum("n").alias("_n"))
-        .withColumn(
-            "_start",
-            F.sum("_n").over(whole.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)),
-        )
-        .withColumn("total", F.sum("_n").over(whole))
-        .drop("_n")
-    )
-    inside = W.partitionBy(*keys, "_bucket").orderBy(value)
-    running = hist.withColumn(
-        "_inside", F.sum("n").over(inside.rowsBetween(W.unboundedPreceding, -1))
-    )
-    zero = F.lit(0).cast("long")
-    return (
-        join_on(running, starts, keys + ["_bucket"])
-        .withColumn("before", F.coalesce("_start", zero) + F.coalesce("_inside", zero))
-        .drop("_bucket", "_start", "_inside")
+    inside = W.partitionBy("_g", "_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    running = hist.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0).cast("long")))
+    return running.join(_bucket_starts(hist, F.sum("n")), ["_g", "_bucket"]).select(
+        *[F.col(f"_g.{k}").alias(k) for k in keys], value, "n", *(sums or {}),
+        (F.col("_start") + F.col("_inside")).alias("before"), "total",
     )
 
 
@@ -125,22 +130,11 @@ def ordered_positions(df: DataFrame, ord_col: str, id_col: str, keys=()) -> Data
 
 
 def _positions(df, keys, bucket, order):
-    bucketed = df.withColumn("_bucket", bucket)
-    whole = W.partitionBy(*keys)
-    starts = (
-        bucketed.groupBy(*keys, "_bucket")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn(
-            "_start",
-            F.sum("_n").over(whole.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)),
-        )
-        .withColumn("total", F.sum("_n").over(whole))
-        .drop("_n")
-    )
-    inside = W.partitionBy(*keys, "_bucket").orderBy(*order)
+    bucketed = df.withColumn("_bucket", bucket).withColumn("_g", _group(keys))
+    inside = W.partitionBy("_g", "_bucket").orderBy(*order)
     numbered = bucketed.withColumn("_row", F.row_number().over(inside))
     return (
-        join_on(numbered, starts, keys + ["_bucket"])
-        .withColumn("position", F.coalesce("_start", F.lit(0).cast("long")) + F.col("_row") - 1)
-        .drop("_bucket", "_start", "_row")
+        numbered.join(_bucket_starts(bucketed, F.count(F.lit(1))), ["_g", "_bucket"])
+        .withColumn("position", F.col("_start") + F.col("_row") - 1)
+        .drop("_g", "_bucket", "_start", "_row")
     )
