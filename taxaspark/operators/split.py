@@ -4,7 +4,10 @@
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from taxaspark import fixed_values as fixed
-from taxaspark.operators.graph import component_sizes, components, fiedler_vector, similarity_graph
+from taxaspark.lineage import materialize
+from taxaspark.operators.graph import (
+    component_fiedler_vectors, component_sizes, components, fiedler_vector, similarity_graph,
+)
 from taxaspark.operators.distance import similarities
 from taxaspark.operators.ordering import exact_quantiles, hash_positions
 from taxaspark.operators.ordination import pcoa
@@ -101,27 +104,29 @@ def split_pcoa(distances: DataFrame, train_fraction: float, test_fraction: float
 
 
 def split_spectral(distances: DataFrame, train_fraction: float, test_fraction: float,
-                   seed: int = 0, **eigen) -> DataFrame:
+                   seed: int = 0, group_limit: int = 1024, **eigen) -> DataFrame:
     """Spectral split of the similarity graph: ``(id, component, value, label)``.
 
     Components of up to five samples train whole; each larger one is cut at the
-    tails of its Fiedler vector. The larger components are few where this split
-    is of use; each is one distributed eigenvector.
+    tails of its Fiedler vector. Components up to ``group_limit`` samples are
+    solved side by side, one group each; the few larger ones, at most
+    samples / ``group_limit``, one after another as distributed eigenvectors.
     """
-    edges = similarity_graph(similarities(distances))
+    edges = materialize(similarity_graph(similarities(distances)), "edges")
     nodes = distances.select(F.col("a").alias("id")).unionByName(
         distances.select(F.col("b").alias("id"))).distinct()
     assigned = components(nodes, edges)
-    sizes = component_sizes(assigned)
-    small = assigned.join(sizes.where(F.col("size") <= fixed.SMALL_COMPONENT), "component", "left_semi")
-    out = small.select("id", "component", F.lit(None).cast("double").alias("value"), F.lit("Train").alias("label"))
-    for row in sizes.where(F.col("size") > fixed.SMALL_COMPONENT).orderBy("component").toLocalIterator():
+    sizes = materialize(component_sizes(assigned), "sizes")
+    size, small = F.col("size"), F.col("size") <= fixed.SMALL_COMPONENT
+    among = lambda condition: assigned.join(sizes.where(condition), "component", "left_semi")
+    values = component_fiedler_vectors(edges, among(~small & (size <= group_limit)))
+    for row in sizes.where(~small & (size > group_limit)).orderBy("component").toLocalIterator():
         members = assigned.where(F.col("component") == row.component).select(F.col("id").alias("a"))
-        inside = edges.join(members, "a", "left_semi")
-        values = fiedler_vector(inside, seed=seed, **eigen)
-        cut = tail_split(values, test_fraction, 1 - train_fraction, "Test", "Train")
-        out = out.unionByName(cut.select("id", F.lit(row.component).alias("component"), "value", "label"))
-    return out
+        vector = fiedler_vector(edges.join(members, "a", "left_semi"), seed=seed, **eigen)
+        values = values.unionByName(vector.withColumn("component", F.lit(row.component)), allowMissingColumns=False)
+    cut = tail_split(materialize(values, "fiedler"), test_fraction, 1 - train_fraction, "Test", "Train", keys=["component"])
+    whole = among(small).select("id", "component", F.lit(None).cast("double").alias("value"), F.lit("Train").alias("label"))
+    return whole.unionByName(cut.select("id", "component", "value", "label"))
 
 
 def train_test_split(samples: DataFrame, train_fraction: float, test_fraction: float, method: str,

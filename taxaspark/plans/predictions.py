@@ -212,14 +212,16 @@ SELECT "Method", sample_id, round(kl, 6) AS "KL_err", round(rmsl, 6) AS "RMSL_er
 
 
 @query("evaluate_baselines", f"""WITH {NN_PRED}, {UNIFORM}, {knn_sql(10, p='k10')}, {knn_sql(20, p='k20')},
+{knn_sql(30, p='k30')}, {knn_sql(40, p='k40')}, {LOG_PRED.format('k30')}, {LOG_PRED.format('k40')},
 {LOG_PRED.format('u')}, {LOG_PRED.format('g')}, {LOG_PRED.format('k10')}, {LOG_PRED.format('k20')}, preds AS (
   SELECT 'uniform' AS "Method", * FROM lpu UNION ALL SELECT 'nearest_neighbor', * FROM lpg
-  UNION ALL SELECT 'nearest_neighbor_KNN_10', * FROM lpk10 UNION ALL SELECT 'nearest_neighbor_KNN_20', * FROM lpk20){EVALUATE}""")
+  UNION ALL SELECT 'nearest_neighbor_KNN_10', * FROM lpk10 UNION ALL SELECT 'nearest_neighbor_KNN_20', * FROM lpk20
+  UNION ALL SELECT 'nearest_neighbor_KNN_30', * FROM lpk30 UNION ALL SELECT 'nearest_neighbor_KNN_40', * FROM lpk40){EVALUATE}""")
 def evaluate_baselines(spark, sf):
-    """Flagship: predict every test profile with four baselines and score each sample."""
+    """Flagship: predict every test profile with six baselines and score each sample."""
     train, test = B.train_test(spark, sf)
     nn = B.nn_lookup(spark, sf, train, test)
-    neighbours = BL.predict_nn_all(test, train, nn, ks=(10, 20))
+    neighbours = BL.predict_nn_all(test, train, nn, ks=(10, 20, 30, 40))
     name = F.concat(F.lit("nearest_neighbor"), F.coalesce(F.concat(F.lit("_KNN_"), F.col("k").cast("string")), F.lit("")))
     methods = BL.predict_uniform(test).withColumn("Method", F.lit("uniform")).unionByName(
         neighbours.withColumn("Method", name).drop("k"))

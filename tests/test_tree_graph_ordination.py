@@ -137,7 +137,10 @@ def test_spectral_split_keeps_small_components_in_training(spark):
     d = np.ones((18, 18))
     d[:16, :16] = 1 - w / 2
     d[16, 17] = 0.5
-    labels = {r.id: r.label for r in L.split_spectral(_table(spark, d, ids), 0.5, 0.5).collect()}
+    table = _table(spark, d, ids)
+    labels = {r.id: r.label for r in L.split_spectral(table, 0.5, 0.5).collect()}
+    # The distributed eigenvector gives the same split as the grouped one.
+    assert labels == {r.id: r.label for r in L.split_spectral(table, 0.5, 0.5, group_limit=6).collect()}
     assert labels["z1"] == labels["z2"] == "Train"
     assert {labels[i] for i in ids[:8]} != {labels[i] for i in ids[8:16]}
     assert sum(v == "Test" for v in labels.values()) == 8
