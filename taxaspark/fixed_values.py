@@ -28,6 +28,22 @@ DOMAIN_SYNONYMS = {
     "eukarya": "Eukaryota",
 }
 
+# What a verdict says about a sequence.
+VERDICT_REASONS = {
+    "no_hits": "No VSEARCH hit above {percent:.1f}% identity threshold",
+    "mixed": "Mixed hits: Bacteria + ",
+    "bacterial": "Bacterial hits only",
+    "archaeal": "Rejected: Archaeal sequence",
+    "eukaryotic": "Rejected: Eukaryotic sequence",
+    "undetermined": "Rejected: Domain could not be determined",
+    "unrecognised": "Rejected: No recognizable domain",
+    "no_top_hits": "No BLAST hits found",
+    "no_good_hits": "No hits above identity threshold {threshold}",
+}
+
+# Characters of a hit description shown in a reason.
+DESCRIPTION_SHOWN = 100
+
 # Geographic labels that carry no place.
 NON_PLACES = [
     "missing", "unspecified", "not collected", "not applicable",

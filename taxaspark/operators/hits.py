@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+from taxaspark import fixed_values as fixed
 from taxaspark.functions import columns as C
 
 
@@ -28,24 +29,17 @@ def bacterial_verdict(hits: DataFrame, ids: DataFrame, min_identity: float,
     )
     has = lambda name: F.array_contains("domains", name)
     others = F.array_join(F.array_remove("domains", "Bacteria"), ", ")
+    say = fixed.VERDICT_REASONS
+    finding = lambda domain, reason: F.struct(
+        F.lit(domain).alias("domain"), (F.lit(reason) if isinstance(reason, str) else reason).alias("reason"))
     verdict = (
-        F.when(F.col("domains").isNull(), F.struct(
-            F.lit("No hits").alias("domain"),
-            F.lit(f"No VSEARCH hit above {min_identity * 100:.1f}% identity threshold").alias("reason")))
-        .when(has("Bacteria") & (F.size("domains") > 1), F.struct(
-            F.lit("Bacteria").alias("domain"),
-            F.concat(F.lit("Mixed hits: Bacteria + "), others).alias("reason")))
-        .when(has("Bacteria"), F.struct(
-            F.lit("Bacteria").alias("domain"), F.lit("Bacterial hits only").alias("reason")))
-        .when(has("Archaea"), F.struct(
-            F.lit("Archaea").alias("domain"), F.lit("Rejected: Archaeal sequence").alias("reason")))
-        .when(has("Eukaryota"), F.struct(
-            F.lit("Eukaryota").alias("domain"), F.lit("Rejected: Eukaryotic sequence").alias("reason")))
-        .when(has("Unknown"), F.struct(
-            F.lit("Unknown").alias("domain"),
-            F.lit("Rejected: Domain could not be determined").alias("reason")))
-        .otherwise(F.struct(
-            F.lit("Unknown").alias("domain"), F.lit("Rejected: No recognizable domain").alias("reason")))
+        F.when(F.col("domains").isNull(), finding("No hits", say["no_hits"].format(percent=min_identity * 100)))
+        .when(has("Bacteria") & (F.size("domains") > 1), finding("Bacteria", F.concat(F.lit(say["mixed"]), others)))
+        .when(has("Bacteria"), finding("Bacteria", say["bacterial"]))
+        .when(has("Archaea"), finding("Archaea", say["archaeal"]))
+        .when(has("Eukaryota"), finding("Eukaryota", say["eukaryotic"]))
+        .when(has("Unknown"), finding("Unknown", say["undetermined"]))
+        .otherwise(finding("Unknown", say["unrecognised"]))
     )
     return (
         ids.select(F.col(ids.columns[0]).alias("id")).distinct()
@@ -73,7 +67,8 @@ def top_hits_verdict(hits: DataFrame, ids: DataFrame, min_identity: float, top:
     good = F.col("identity") >= min_identity
     bad = good & ~C.is_16s("description")
     shown = F.when(
-        F.length("description") > 100, F.concat(F.substring("description", 1, 100), F.lit("..."))
+        F.length("description") > fixed.DESCRIPTION_SHOWN,
+        F.concat(F.substring("description", 1, fixed.DESCRIPTION_SHOWN), F.lit("..."))
     ).otherwise(F.col("description"))
     per_id = first.groupBy(F.col("query_id").alias("id")).agg(
         F.count_if(good).alias("n_good"),
@@ -84,8 +79,8 @@ def top_hits_verdict(hits: DataFrame, ids: DataFrame, min_identity: float, top:
         .select(
             "id",
             ((F.coalesce("n_good", F.lit(0)) > 0) & F.col("first_bad").isNull()).alias("keep"),
-            F.when(F.col("n_good").isNull(), F.lit("No BLAST hits found"))
-            .when(F.col("n_good") == 0, F.lit(f"No hits above identity threshold {min_identity}"))
+            F.when(F.col("n_good").isNull(), F.lit(fixed.VERDICT_REASONS["no_top_hits"]))
+            .when(F.col("n_good") == 0, F.lit(fixed.VERDICT_REASONS["no_good_hits"].format(threshold=min_identity)))
             .when(F.col("first_bad").isNotNull(), F.concat(
                 F.lit("Hit "), F.col("first_bad.hit_rank").cast("string"),
                 F.lit(" is not 16S: "), F.col("first_bad.text")))

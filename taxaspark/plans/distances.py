@@ -314,13 +314,64 @@ def pcoa_explained(spark, sf):
     return B.rounded(explained, 5)
 
 
-@query("offline_embeddings")
+@query("offline_embeddings", """SELECT DISTINCT p_brand AS taxon_id, CASE WHEN p_brand < 'Brand#2' THEN 4 END AS dims FROM part""")
 def offline_embeddings(spark, sf):
-    """Principal coordinates of the brand distances for every brand, and for parts' brands off the list."""
-    coordinates, _ = O.pcoa(B.brand_distances(spark, sf), 4)
+    """Principal coordinates of some brands, set against the list of all: null off the list."""
+    inside = B.brand_distances(spark, sf).where("a < 'Brand#2' and b < 'Brand#2'")
+    coordinates, _ = O.pcoa(inside, 4)
     taxa = B.table(spark, sf, "part").select(F.col("p_brand").alias("taxon_id")).distinct()
     table, _ = O.offline_embeddings(taxa, coordinates)
-    return table.select("taxon_id", F.size("vec").alias("dims"))
+    return table.select("taxon_id", F.when(F.col("vec").isNotNull(), F.size("vec")).alias("dims"))
+
+
+@query("missing_embeddings", "SELECT DISTINCT p_brand AS taxon_id FROM part WHERE p_brand >= 'Brand#2'")
+def missing_embeddings(spark, sf):
+    coordinates = B.table(spark, sf, "part").where("p_brand < 'Brand#2'").groupBy(F.col("p_brand").alias("id")).agg(
+        F.array(F.avg("p_size")).alias("pc"))
+    taxa = B.table(spark, sf, "part").select(F.col("p_brand").alias("taxon_id")).distinct()
+    return O.offline_embeddings(taxa, coordinates)[1]
+
+
+# Suppliers as points of a plane: their principal coordinates have a closed form,
+# the points turned to their main axis, each axis with its largest entry positive.
+POINTS = """pt AS (
+  SELECT 'SRS' || s_suppkey AS id, s_acctbal / 1000 - avg(s_acctbal / 1000) OVER () AS x, s_nationkey / 5 - avg(s_nationkey / 5) OVER () AS y FROM supplier),
+turn AS (SELECT 0.5 * atan2(2 * sum(x * y), sum(x * x) - sum(y * y)) AS t FROM pt),
+raw AS (SELECT id, x * cos(t) + y * sin(t) AS u, y * cos(t) - x * sin(t) AS v FROM pt, turn),
+pc AS (
+  SELECT id, u * (SELECT sign(arg_max(u, (round(abs(u), 9), id))) FROM raw) AS p1, v * (SELECT sign(arg_max(v, (round(abs(v), 9), id))) FROM raw) AS p2 FROM raw)"""
+
+
+def _plane(spark, sf):
+    """Euclidean distances of the points, from their inner products."""
+    from taxaspark.operators.tiles import tiled_pairs
+    s = B.table(spark, sf, "supplier").select(
+        B.prefixed("SRS", "s_suppkey").alias("id"), (F.col("s_acctbal") / 1000).alias("px"), (F.col("s_nationkey") / 5).alias("py"))
+    rows = s.select("id", F.explode(F.create_map(F.lit("x"), "px", F.lit("y"), "py")).alias("key", "x"),
+                    (F.col("px") * F.col("px") + F.col("py") * F.col("py")).alias("w"))
+    pairs = tiled_pairs(rows, term="dot")
+    return pairs.select("a", "b", F.sqrt(F.greatest(F.col("wa") + F.col("wb") - 2 * F.col("s"), F.lit(0.0))).alias("d"))
+
+
+@query("pcoa_plane", f"WITH {POINTS} SELECT id, round(p1, 4) + 0.0 AS \"PC1\", round(p2, 4) + 0.0 AS \"PC2\" FROM pc")
+def pcoa_plane(spark, sf):
+    coordinates, _ = O.pcoa(_plane(spark, sf), 2)
+    return B.rounded(coordinates.select("id", F.col("pc")[0].alias("PC1"), F.col("pc")[1].alias("PC2")), 4)
+
+
+@query("pcoa_plane_explained", f"""WITH {POINTS}, ss AS (SELECT sum(p1 * p1) AS a, sum(p2 * p2) AS b FROM pc)
+SELECT 1 AS axis, round(a, 4) AS eigenvalue, round(a / (a + b), 6) AS proportion FROM ss
+UNION ALL SELECT 2, round(b, 4), round(b / (a + b), 6) FROM ss""")
+def pcoa_plane_explained(spark, sf):
+    _, explained = O.pcoa(_plane(spark, sf), 2)
+    return B.rounded(B.rounded(explained, 4, "eigenvalue"), 6, "proportion")
+
+
+@query("split_pcoa_plane", f"""WITH {POINTS}
+SELECT id, round(p1, 4) + 0.0 AS value, CASE WHEN p1 < (SELECT quantile_cont(p1, 0.2) FROM pc) THEN 'Test'
+  WHEN p1 >= (SELECT quantile_cont(p1, 0.3) FROM pc) THEN 'Train' ELSE 'Excluded' END AS label FROM pc""")
+def split_pcoa_plane(spark, sf):
+    return B.rounded(L.split_pcoa(_plane(spark, sf), 0.7, 0.2, train_is_left=False), 4)
 
 
 # --- splits ---------------------------------------------------------------------------

@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from taxaspark.functions import columns as C
 from taxaspark.operators import features as X, ordination as O, profile as P
 from taxaspark.plans import bind as B
 from taxaspark.plans.registry import query
@@ -91,6 +92,21 @@ def _dims_raw(df):
     return df.select("marker_id", F.posexplode("vec").alias("dim", "x")).withColumn("dim", (F.col("dim") + 1).cast("bigint"))
 
 
+@query("pad_vectors", """SELECT vec_id, 70 AS dims, round(list_sum(embedding::DOUBLE[]), 5) + 0.0 AS total FROM embeddings""")
+def pad_vectors(spark, sf):
+    padded = B.table(spark, sf, "embeddings").select("vec_id", C.pad_vector("embedding", 70).alias("v"))
+    total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x)
+    return B.rounded(padded.select("vec_id", F.size("v").alias("dims"), total.alias("total")), 5)
+
+
+@query("kl_from_uniform", f"""WITH {B.LINE_PROFILE}
+SELECT sample_id, round(sum(rel_abund * ln(rel_abund * 7)), 6) + 0.0 AS kl FROM lprofile GROUP BY 1""")
+def kl_from_uniform(spark, sf):
+    """Divergence of each profile from equal shares of the seven taxa."""
+    kl = F.sum(C.kl_term("rel_abund", F.lit(1 / 7)))
+    return B.rounded(B.line_profile(spark, sf).groupBy("sample_id").agg(kl.alias("kl")))
+
+
 @query("pca")
 def pca(spark, sf):
     reduced, _ = O.reduce_dimension(B.markers(spark, sf), 5, "marker_id")

@@ -16,7 +16,7 @@ SLOW = {"fiedler", "pcoa", "pcoa_explained", "offline_embeddings", "split_pcoa",
 # Minutes of predictors and pair products that other tests compare with brute force;
 # TAXASPARK_ALL_QUERIES=1 runs them here too.
 LONG = ("predict_", "loss_", "evaluate_", "aligned_nn", "best_of", "closest_leaf", "phylo_", "mean_linkage", "nearest_samples",
-        "log_predictions", "cut_", "component", "pruned", "tree_", "patristic", "filter_", "root_js", "bray", "collated")
+        "log_predictions", "cut_", "component", "pruned", "tree_", "patristic", "filter_", "root_js", "bray", "collated", "pcoa_plane", "split_pcoa", "offline")
 ALL = bool(os.environ.get("TAXASPARK_ALL_QUERIES"))
 
 
