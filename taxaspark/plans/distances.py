@@ -208,8 +208,9 @@ def newick_nodes(spark, sf):
 
 
 NATIONS = """np AS (
-  SELECT DISTINCT 'SRS' || l_suppkey AS sample_id, 'NATION_' || c_nationkey AS taxon_id
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_quantity >= 49.5)"""
+  SELECT 'SRS' || l_suppkey AS sample_id, 'NATION_' || c_nationkey AS taxon_id
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+  GROUP BY ALL HAVING sum(l_quantity) >= 700)"""
 
 
 @query("phylo_similarity", f"""WITH {B.NATION_TREE}, {NATIONS}, pt AS (
@@ -220,11 +221,12 @@ near AS (
 oneway AS (SELECT a, b, avg(d) AS d FROM near GROUP BY 1, 2)
 SELECT x.a, x.b, round(exp(-0.5 * (x.d + y.d)), 6) AS similarity FROM oneway x JOIN oneway y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b""")
 def phylo_similarity(spark, sf):
-    lines = B.table(spark, sf, "lineitem").where("l_quantity >= 49.5")
-    held = lines.join(B.table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(
+    """A nation is present in a sample from a total quantity of 700."""
+    held = B.table(spark, sf, "lineitem").join(B.table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(
         B.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    profile = held.select(B.prefixed("SRS", "l_suppkey").alias("sample_id"),
-                          B.prefixed("NATION_", "c_nationkey").alias("taxon_id")).distinct()
+    profile = held.groupBy(B.prefixed("SRS", "l_suppkey").alias("sample_id"),
+                           B.prefixed("NATION_", "c_nationkey").alias("taxon_id")).agg(
+        F.sum("l_quantity").alias("n")).where("n >= 700")
     tree = B.nation_tree(spark, sf)
     known = T.leaves(tree).select(F.col("name").alias("taxon_id"))
     return B.rounded(D.phylogenetic_similarity(profile, T.patristic(tree), known))
@@ -248,18 +250,17 @@ def similarity_graph(spark, sf):
 
 
 LINKS = """e AS (
-  SELECT DISTINCT 'C' || o_custkey AS a, 'P' || l_partkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  WHERE l_quantity >= 49.5 AND l_discount >= 0.085 AND l_returnflag <> 'N'),
+  SELECT DISTINCT 'C' || o_custkey AS a, 'P' || CAST(floor(o_totalprice) AS BIGINT) AS b FROM orders),
 both_ways AS (SELECT a AS u, b AS v FROM e UNION ALL SELECT b, a FROM e),
 walk AS (SELECT u, u AS c FROM both_ways UNION SELECT b.v, w.c FROM walk w JOIN both_ways b ON w.u = b.u),
 named AS (SELECT u AS id, min(c) AS component FROM walk GROUP BY 1)"""
 
 
 def _linked(spark, sf):
-    """Components of the customer–part graph of large discounted lines."""
-    lines = B.table(spark, sf, "lineitem").where("l_quantity >= 49.5 and l_discount >= 0.085 and l_returnflag <> 'N'")
-    e = lines.join(B.table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(
-        B.prefixed("C", "o_custkey").alias("a"), B.prefixed("P", "l_partkey").alias("b")).distinct()
+    """Customers linked by whole prices that both have paid."""
+    e = B.table(spark, sf, "orders").select(
+        B.prefixed("C", "o_custkey").alias("a"),
+        F.concat(F.lit("P"), F.floor("o_totalprice").cast("string")).alias("b")).distinct()
     nodes = e.select(F.col("a").alias("id")).unionByName(e.select(F.col("b").alias("id"))).distinct()
     return G.components(nodes, e)
 

@@ -147,10 +147,10 @@ def embedding_shards(spark, sf):
     return back.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("marker_id").alias("ids"), F.count_distinct("shard").alias("shards"))
 
 
-@query("id_list_round_trip", "SELECT DISTINCT 'ASV' || l_partkey AS taxon_id FROM lineitem WHERE l_returnflag = 'R'")
+@query("id_list_round_trip", "SELECT DISTINCT 'ASV' || l_partkey AS taxon_id FROM lineitem")
 def id_list_round_trip(spark, sf):
     path = scratch_path(spark, "ids")
-    S.write_id_list(B.table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(B.prefixed("ASV", "l_partkey").alias("taxon_id")), path)
+    S.write_id_list(B.table(spark, sf, "lineitem").select(B.prefixed("ASV", "l_partkey").alias("taxon_id")), path)
     return spark.read.text(path).withColumnRenamed("value", "taxon_id")
 
 
