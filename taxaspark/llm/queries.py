@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from taxaspark.llm import exact, pack, token_files
+from taxaspark.llm import exact, pack, quality, token_files, toxicity
 from taxaspark.llm.tables import table
 
 QUERIES = {}
@@ -35,3 +35,13 @@ def op5_token_files(spark, sf_dir):
 @query("op9_curve_packing")
 def op9_curve_packing(spark, sf_dir):
     return pack.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op1_quality")
+def op1_quality(spark, sf_dir):
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -21,6 +21,19 @@ def held_out(modulus: int, value: int, column="doc_id"):
     return F.coalesce(remainder(modulus, column) == value, F.lit(False))
 
 
+def usable_labels(labels: DataFrame, label: str, modulus: int, value: int) -> DataFrame:
+    """``(doc_id, label)`` of the rows to learn from: an id, a label of 0 or 1, not held out."""
+    return labels.select("doc_id", F.col(label).cast("int").alias("label")).where(
+        ~held_out(modulus, value) & F.col("label").isin(0, 1)).dropna().distinct()
+
+
+def class_shares(labels: DataFrame, label: str, modulus: int, value: int) -> dict:
+    """Share of each class among all usable labels."""
+    counts = usable_labels(labels, label, modulus, value).groupBy("label").count().collect()
+    total = sum(r["count"] for r in counts)
+    return {k: sum(r["count"] for r in counts if r["label"] == k) / max(total, 1) for k in (0, 1)}
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, value: int,
                     per_class: dict) -> DataFrame:
     """``(doc_id, text, label)`` of training rows, at most ``per_class[k]`` of label k.
@@ -28,8 +41,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     The bound on the sample is the caller's parameter; which rows it takes follows
     a hash of the id, so it is the same on every run.
     """
-    usable = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(
-        ~held_out(modulus, value)).dropna().distinct()
+    usable = usable_labels(labels, label, modulus, value)
     picked = None
     for k, n in per_class.items():
         part = usable.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
