@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from taxaspark.llm import exact, pack, quality, token_files, toxicity
+from taxaspark.llm import exact, licenses, lm, pack, quality, token_files, toxicity
 from taxaspark.llm.tables import table
 
 QUERIES = {}
@@ -45,3 +45,13 @@ def op1_quality(spark, sf_dir):
 @query("op7_toxicity")
 def op7_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op2_license_scan")
+def op2_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op8_suffix_tree")
+def op8_suffix_tree(spark, sf_dir):
+    return lm.score(table(spark, sf_dir, "documents"))
