@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from taxaspark.llm import exact, licenses, lm, pack, quality, token_files, toxicity
+from taxaspark.llm import exact, licenses, lm, pack, quality, spans, token_files, toxicity
 from taxaspark.llm.tables import table
 
 QUERIES = {}
@@ -55,3 +55,8 @@ def op2_license_scan(spark, sf_dir):
 @query("op8_suffix_tree")
 def op8_suffix_tree(spark, sf_dir):
     return lm.score(table(spark, sf_dir, "documents"))
+
+
+@query("op10_sentence_spans")
+def op10_sentence_spans(spark, sf_dir):
+    return spans.deduplicate(table(spark, sf_dir, "documents"))
