@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from taxaspark.llm import exact, licenses, lm, pack, quality, spans, token_files, toxicity
+from taxaspark.llm import exact, licenses, lm, near, pack, quality, spans, token_files, toxicity
 from taxaspark.llm.tables import table
 
 QUERIES = {}
@@ -60,3 +60,8 @@ def op8_suffix_tree(spark, sf_dir):
 @query("op10_sentence_spans")
 def op10_sentence_spans(spark, sf_dir):
     return spans.deduplicate(table(spark, sf_dir, "documents"))
+
+
+@query("op3_near_duplicates")
+def op3_near_duplicates(spark, sf_dir):
+    return near.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)

@@ -19,14 +19,18 @@ def binary_column(batch, name):
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
+BLANKS = (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")
+
+
 def blocks(data, size=1 << 20):
-    """Pieces of at most about ``size`` bytes, cut after white space where there is any."""
+    """Pieces of about ``size`` bytes, cut behind white space only, so no word is cut."""
     start = 0
     while len(data) - start > size:
-        cut = data.rfind(b" ", start + 1, start + size)
-        cut = start + size if cut < 0 else cut + 1
-        yield data[start:cut]
-        start = cut
+        cut = max(data.rfind(c, start, start + size) for c in BLANKS)
+        if cut < 0:
+            cut = min((c for c in (data.find(c, start + size) for c in BLANKS) if c >= 0), default=len(data) - 1)
+        yield data[start:cut + 1]
+        start = cut + 1
     yield data[start:]
 
 
