@@ -1,8 +1,7 @@
 """Registered queries of the operators of this folder, each with its SQL where SQL can say it."""
 
-from pyspark.sql import functions as F
-
-from taxaspark.llm import exact, licenses, lm, near, pack, quality, spans, token_files, toxicity
+import corpus_pipeline
+from taxaspark.llm import decontaminate, exact, licenses, lm, near, pack, quality, spans, token_files, toxicity
 from taxaspark.llm.tables import table
 
 QUERIES = {}
@@ -65,3 +64,13 @@ def op10_sentence_spans(spark, sf_dir):
 @query("op3_near_duplicates")
 def op3_near_duplicates(spark, sf_dir):
     return near.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
+@query("op4_decontaminate")
+def op4_decontaminate(spark, sf_dir):
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("pipeline")
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
