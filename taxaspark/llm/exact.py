@@ -35,15 +35,17 @@ def exact_groups(docs: DataFrame, digest=None, salts: int = SALTS) -> DataFrame:
         winners.select("digest", "keep_id", "group_size").groupBy("digest").agg(
             F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"),
             F.count(F.lit(1)).alias("texts")), "exact")
-    own = rows.join(verdicts.where("texts = 1").drop("texts"), "digest")
+    # The text stays behind: only its digests travel to the verdict.
+    named = rows.withColumn("text_sha256", F.sha2("text", 256))
+    own = named.drop("text").join(verdicts.where("texts = 1").drop("texts"), "digest")
     shared = verdicts.where("texts > 1").select("digest")
     if not shared.isEmpty():
         told = winners.join(shared, "digest", "left_semi")
-        own = own.unionByName(rows.join(shared, "digest", "left_semi").join(told, ["digest", "text"]).select(
+        own = own.unionByName(named.join(shared, "digest", "left_semi").join(told, ["digest", "text"]).select(
             *own.columns))
     return own.select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        F.sha2("text", 256).alias("text_sha256"))
+        "text_sha256")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
