@@ -51,17 +51,22 @@ def projection(dims: int = DIMS):
 
 
 def curve_keys(texts, directions):
-    """Hilbert keys of whole texts: hashed word counts, projected, averaged, laid on a grid."""
+    """Hilbert keys of whole texts: hashed counts of byte triples, projected, averaged, laid on a grid."""
     sums, counts = np.zeros((len(texts), directions.shape[1])), np.zeros(len(texts))
     for group in X.groups(texts):
-        index = np.array([i for i, _ in group])
-        pieces = X.Pieces([p for _, p in group], lower=True)
-        start, end, of = pieces.words()
-        bucket = (pieces.hashes(start, end) >> np.uint64(40)) % np.uint64(BUCKETS)
-        owner = index[of]
-        counts += np.bincount(owner, minlength=len(texts))
-        for d in range(directions.shape[1]):
-            sums[:, d] += np.bincount(owner, directions[bucket, d], len(texts))
+        sizes = np.array([len(p) + 2 for _, p in group])
+        data = np.frombuffer((b"  ".join(p for _, p in group) + b"    ").translate(X.lower_table()), np.uint8).astype(np.uint32)
+        many = int(sizes.sum())
+        triple = data[:many] | data[1:many + 1] << np.uint32(8) | data[2:many + 2] << np.uint32(16)
+        bucket = (triple * np.uint32(2654435761)) >> np.uint32(22)
+        place = bucket + np.repeat(np.arange(len(group), dtype=np.uint32) * np.uint32(BUCKETS), sizes)
+        # The last two places of a text would see its neighbour: they count nowhere.
+        ends = np.cumsum(sizes)
+        place[ends - 1] = place[ends - 2] = len(group) * BUCKETS
+        table = np.bincount(place, minlength=len(group) * BUCKETS + 1)[:-1].reshape(len(group), BUCKETS)
+        index = [i for i, _ in group]
+        np.add.at(sums, index, table @ directions)
+        np.add.at(counts, index, table.sum(axis=1))
     means = sums / np.maximum(counts, 1)[:, None]
     side = 1 << BITS
     cells = np.clip((means * 2 + 1) * side / 2, 0, side - 1).astype(np.int64)

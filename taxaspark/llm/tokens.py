@@ -1,5 +1,7 @@
 """Token ids of whole texts by a public tokenizer, remembered by piece."""
 
+from array import array
+
 import numpy as np
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -46,8 +48,11 @@ class Encoder:
 
     def _model_ids(self, pre_token):
         """Ids of one pre-token: its bytes written as the vocabulary writes them, through the library's model."""
-        written = pre_token.encode().decode("latin-1").translate(BYTE_LETTERS)
-        return np.array([t.id for t in self.library.model.tokenize(written)], "<u4").tobytes()
+        if pre_token.isascii():  # printable: only the blank is written otherwise
+            written = pre_token.replace(" ", BYTE_LETTERS[32])
+        else:
+            written = pre_token.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return array("I", [t.id for t in self.library.model.tokenize(written)]).tobytes()
 
     def _learn(self, missing):
         """Remember pieces: ``\\n``, ``\\0x`` for x at a line start, x for x after a blank.
@@ -56,23 +61,24 @@ class Encoder:
         library's model gives; any other piece goes through the library whole.
         """
         raw, names = [], []
+        pieces = self.pieces
         for piece in missing:
             first = piece[:1] == "\0"
-            body = piece[1:] if first else piece
-            if piece != "\n" and (not body or body[0].isspace() or body[-1].isspace()):
-                self.pieces[piece] = None
-                continue
-            stem = body.rstrip(PUNCTUATION)
-            if stem.isalpha():
-                key = "\0" + stem if first else stem
-                ids = self.pieces.get(key)
+            stem = piece.rstrip(PUNCTUATION)
+            body = stem[1:] if first else stem
+            if body.isalpha():
+                ids = pieces.get(stem)
                 if ids is None:
-                    ids = self.pieces[key] = self._model_ids(stem if first else " " + stem)
-                if len(stem) < len(body):
-                    tail = body[len(stem):]
+                    ids = pieces[stem] = self._model_ids(body if first else " " + body)
+                if len(stem) < len(piece):
+                    tail = piece[len(stem):]
                     if tail not in self.tails:
                         self.tails[tail] = self._model_ids(tail)
-                    self.pieces[piece] = ids + self.tails[tail]
+                    pieces[piece] = ids + self.tails[tail]
+                continue
+            body = piece[1:] if first else piece
+            if piece != "\n" and (not body or body[0].isspace() or body[-1].isspace()):
+                pieces[piece] = None
             else:
                 raw.append(body if first or piece == "\n" else " " + body)
                 names.append(piece)
