@@ -45,7 +45,10 @@ class Embeddings:
 
     def fit(self, documents, labels, weights, epochs=8, rate=0.5, seed=7):
         """One step a document, in a new random order each epoch, with a falling rate."""
-        counted = [np.unique(d, return_counts=True) for d in documents]
+        counted = []
+        for d in documents:
+            ids, n = np.unique(d, return_counts=True)
+            counted.append((ids.astype(np.int32), n.astype(np.int32)))
         draw, done, total = np.random.default_rng(seed), 0, epochs * max(len(counted), 1)
         for _ in range(epochs):
             for i in draw.permutation(len(counted)):
@@ -88,7 +91,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus=3, value=1, max_per_class=
     ys = [y for _, y, _ in rows]
     if 0 in ys and 1 in ys:
         per_class = {k: share[k] / (ys.count(k) / len(ys)) for k in (0, 1)}
-        model.fit([feature_ids(t.encode("utf-8", "replace")) for _, _, t in rows], ys, [per_class[y] for y in ys], epochs)
+        model.fit((feature_ids(t.encode("utf-8", "replace")) for _, _, t in rows), ys, [per_class[y] for y in ys], epochs)
     return model.folded()
 
 
