@@ -104,14 +104,17 @@ def fits(x, y, percent):
 def buckets(reps: DataFrame) -> DataFrame:
     """``key, id, n, size, pivot, pivot_n``: members of all tables' buckets of two or more.
 
-    A bucket's pivot is random by table, so a large group has many different ones.
+    Only keys that repeat go on from the first count. Pivots follow an order that is
+    random by left sub-key, so a large group has several and not one per table.
     """
     tables = reps.select("id", "n", F.posexplode("left").alias("i", "l"), "right").select(
         "id", "n", "i", "l", F.posexplode("right").alias("j", "r"))
-    keys = tables.select(F.xxhash64("i", "j", "l", "r").alias("key"), "id", "n")
-    pivot = F.min(F.struct(F.xxhash64("id", "key").alias("order"), "id", "n")).alias("pivot")
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), pivot).where("size > 1")
-    return keys.join(sizes.select("key", "size", F.col("pivot.id").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "key")
+    keys = tables.select(F.xxhash64("i", "j", "l", "r").alias("key"), "id", "n", "i")
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = materialize(keys.join(sizes, "key"), "members")
+    pivots = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "i").alias("order"), "id", "n")).alias("pivot"))
+    return members.join(pivots, "key").select(
+        "key", "id", "n", "size", F.col("pivot.id").alias("pivot"), F.col("pivot.n").alias("pivot_n"))
 
 
 def candidates(members: DataFrame, percent: int) -> DataFrame:
@@ -125,9 +128,9 @@ def candidates(members: DataFrame, percent: int) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted`` (with an ``id`` column) with the text of that document."""
+    """``wanted`` (with an ``id`` column) with the text of that document; the same join at every size."""
     own = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id IS NOT NULL")
-    return wanted.join(own, "id")
+    return wanted.hint("merge").join(own, "id")
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -233,11 +236,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
             F.min(F.struct("doc_id", "n", "left", "right")).alias("r")).select(
             "digest", F.col("r.doc_id").alias("id"), "r.n", "r.left", "r.right"), "reps")
     members = materialize(buckets(reps.select("id", "n", "left", "right")), "buckets")
-    links = materialize(confirmed(docs, candidates(members, percent), shingle, percent), "links")
+    # Texts of documents that share any bucket: what all later comparisons read.
+    held = materialize(texts_of(docs, members.select("id").distinct()).withColumnRenamed("id", "doc_id"), "texts")
+    links = materialize(confirmed(held, candidates(members, percent), shingle, percent), "links")
     nodes = reps.select("id")
     if not members.where(F.col("size") > SMALL).isEmpty():
         labels = materialize(components(nodes, links), "labels")
-        more = materialize(rest_links(docs, members, labels, shingle, percent), "links")
+        more = materialize(rest_links(held, members, labels, shingle, percent), "links")
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = components(nodes, links)
