@@ -21,7 +21,7 @@ from taxaspark.operators.graph import components
 ROWS = 2           # minhashes of a sub-key
 MISS = 1e-4        # chance that a pair exactly at the threshold shares no table
 SMALL = 8          # buckets up to this size are compared pair by pair
-FEW, MANY = 64, 256  # documents on the two sides of a tile
+FEW, MANY = 256, 512  # documents on the two sides of a tile
 
 
 def sub_keys(percent: int) -> int:
@@ -190,16 +190,16 @@ def rest_links(docs: DataFrame, members: DataFrame, labels: DataFrame, shingle:
         few, many = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         found = []
         if len(few) and len(many):
-            known = np.unique(np.concatenate([hashes[i] for i in few]))
+            known = np.intersect1d(np.concatenate([hashes[i] for i in few]), np.concatenate([hashes[i] for i in many]))
 
             def incidence(rows):
                 table = np.zeros((len(rows), len(known)), np.float32)
                 for r, i in enumerate(rows):
-                    at = np.minimum(np.searchsorted(known, hashes[i]), len(known) - 1)
-                    table[r, at[known[at] == hashes[i]]] = 1
+                    table[r, np.intersect1d(known, hashes[i], assume_unique=True, return_indices=True)[1]] = 1
                 return table
 
-            both = incidence(few) @ incidence(many).T
+            own = incidence(few)
+            both = np.concatenate([own @ incidence(many[i:i + 64]).T for i in range(0, len(many), 64)], axis=1)
             sizes = np.array([len(h) for h in hashes])
             total = sizes[few][:, None] + sizes[many][None, :] - both
             hit = (100 * both >= percent * total) & (label[few][:, None] != label[many][None, :])
