@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from taxaspark.llm import text as X
 
-TERMS, RANK = 8192, 128
+TERMS, RANK = 8192, 64
+GROUP = 1 << 15         # bytes of text side by side; keeps the rows of a group in cache
 WINDOW, HALF = 32, 16
-COSINE = 0.6        # candidates are at least this near
+COSINE = 0.72       # candidates are at least this near
 OVERLAP = 0.4       # share of a benchmark passage's words that a candidate window must hold
 RUN = 13            # so many words in a row are a copy
 VERBATIM = 0.7      # share of an item in order that is a copy whatever is between
@@ -70,7 +71,7 @@ def term_counts(docs: DataFrame):
     def counted(batches):
         df = np.zeros(TERMS + 1, np.int64)
         for batch in batches:
-            for group in X.groups(X.binary_column(batch, "text")):
+            for group in X.groups(X.binary_column(batch, "text"), GROUP):
                 _, term, _, many = passage_rows(group)
                 df[:-1] += np.bincount(term, minlength=TERMS)
                 df[-1] += many
@@ -95,7 +96,7 @@ def range_products(docs: DataFrame, idf, omega):
     def partial(batches):
         total = np.zeros(omega.shape)
         for batch in batches:
-            for group in X.groups(X.binary_column(batch, "text")):
+            for group in X.groups(X.binary_column(batch, "text"), GROUP):
                 passage, term, tf, many = passage_rows(group)
                 if many:
                     held, sums = gram(passage, term, (tf * idf[term]).astype(np.float32), many, omega)
@@ -224,7 +225,7 @@ class Searcher:
     def search(self, texts):
         """Per text its matches ``{item: (cosine, share, run, answer)}``."""
         found = [{} for _ in texts]
-        for group in X.groups(texts):
+        for group in X.groups(texts, GROUP):
             index = [i for i, _ in group]
             bucket, of, at = terms(group)
             if not len(bucket):
