@@ -43,27 +43,28 @@ def terms(group):
     return bucket, of, np.arange(len(of)) - first[of] if len(of) else of
 
 
-def passage_rows(group):
-    """TF rows of passages of ``WINDOW`` words, side by side: ``passage, term, tf``, and how many passages."""
+def passages(group):
+    """Words of passages of ``WINDOW`` words, side by side: term and passage of each word, and where passages begin."""
     bucket, of, at = terms(group)
     if not len(bucket):
-        return bucket, bucket, bucket, 0
+        return bucket, bucket, bucket
     part = at // WINDOW
     new = np.concatenate(([True], (of[1:] != of[:-1]) | (part[1:] != part[:-1])))
-    number = np.cumsum(new) - 1
-    key, tf = np.unique(number * TERMS + bucket, return_counts=True)
-    return key // TERMS, key % TERMS, tf, int(number[-1]) + 1
-
-
-def gram(passage, term, values, many, omega):
-    """``Aᵀ(A omega)`` of rows scaled to length 1, as the terms they hold and their sums."""
-    begin = np.searchsorted(passage, np.arange(many))
-    square = np.add.reduceat(values * values, begin)
-    seen = np.add.reduceat(values[:, None] * omega[term], begin, axis=0) / np.maximum(square, 1e-12)[:, None]
-    order = np.argsort(term, kind="stable")
-    by = term[order]
+    return bucket, np.cumsum(new) - 1, np.flatnonzero(new)
+
+
+def gram(bucket, passage, begin, idf, weighted):
+    """``Aᵀ(A omega)`` without the last factor idf, as the terms held and their sums.
+
+    ``weighted`` is ``idf * omega``. A row is a passage's summed term weights over
+    the root of the sum of their squares, word by word.
+    """
+    square = np.add.reduceat((idf * idf)[bucket], begin)
+    seen = np.add.reduceat(weighted[bucket], begin, axis=0) / square[:, None].astype(np.float32)
+    order = np.argsort(bucket.astype(np.uint16), kind="stable")
+    by = bucket[order]
     edge = np.flatnonzero(np.concatenate(([True], by[1:] != by[:-1])))
-    return by[edge], np.add.reduceat(values[order, None] * seen[passage[order]], edge, axis=0)
+    return by[edge], np.add.reduceat(seen[passage[order]], edge, axis=0)
 
 
 def term_counts(docs: DataFrame):
@@ -72,9 +73,10 @@ def term_counts(docs: DataFrame):
         df = np.zeros(TERMS + 1, np.int64)
         for batch in batches:
             for group in X.groups(X.binary_column(batch, "text"), GROUP):
-                _, term, _, many = passage_rows(group)
-                df[:-1] += np.bincount(term, minlength=TERMS)
-                df[-1] += many
+                bucket, passage, begin = passages(group)
+                held = np.unique(passage * TERMS + bucket) % TERMS
+                df[:-1] += np.bincount(held, minlength=TERMS)
+                df[-1] += len(begin)
         held = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(df[held])], names=["term", "n"])
 
@@ -94,14 +96,14 @@ def range_products(docs: DataFrame, idf, omega):
     stripes = TERMS // STRIPE
 
     def partial(batches):
-        total = np.zeros(omega.shape)
+        total, weighted = np.zeros(omega.shape), (idf[:, None] * omega).astype(np.float32)
         for batch in batches:
             for group in X.groups(X.binary_column(batch, "text"), GROUP):
-                passage, term, tf, many = passage_rows(group)
-                if many:
-                    held, sums = gram(passage, term, (tf * idf[term]).astype(np.float32), many, omega)
+                bucket, passage, begin = passages(group)
+                if len(begin):
+                    held, sums = gram(bucket, passage, begin, idf, weighted)
                     total[held] += sums
-        yield stripes_of(total)
+        yield stripes_of(total * idf[:, None])
 
     def stripes_of(total):
         parts = total.reshape(stripes, -1)
@@ -162,8 +164,9 @@ def latent_space(docs: DataFrame, bench: Benchmark, seed=17):
     idf = np.log((many + len(bench.pieces) + 1) / (df + 1)) + 1e-3
     omega = np.random.default_rng(seed).standard_normal((TERMS, RANK)).astype(np.float32)
     Y = range_products(docs, idf, omega) if many else np.zeros(omega.shape)
-    held, sums = gram(passage, term, (tf * idf[term]).astype(np.float32), len(bench.pieces), omega)
-    Y[held] += sums * max(many / len(bench.pieces), 1.0)
+    own = passages([(i, b" ".join(w)) for i, (_, w) in enumerate(bench.pieces)])
+    held, sums = gram(*own, idf, (idf[:, None] * omega).astype(np.float32))
+    Y[held] += sums * idf[held, None] * max(many / len(bench.pieces), 1.0)
     Y += 1e-3 * np.linalg.norm(Y) / np.sqrt(TERMS) * omega
     core = omega.T.astype(np.float64) @ Y
     lower = np.linalg.cholesky((core + core.T) / 2 + 1e-9 * np.trace(core) / RANK * np.eye(RANK))
