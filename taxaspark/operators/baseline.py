@@ -11,6 +11,7 @@ from taxaspark.functions import columns as C
 from taxaspark.lineage import materialize
 from taxaspark.operators.ordering import join_on
 from taxaspark.operators.profile import normalise, relative_abundance
+from taxaspark.operators.sequences import best_of_lookups
 from taxaspark.operators.tiles import tiled_pairs
 
 
@@ -27,8 +28,12 @@ def training_table(train_counts: DataFrame, valid_taxa: DataFrame = None) -> Dat
 def translate(test: DataFrame, nn: DataFrame, train: DataFrame) -> DataFrame:
     """Training taxon that stands for each test taxon.
 
-    The lookup's answer; without one the taxon itself if it trains; else null.
+    The lookup's answer, the best one where a query has several; without one the
+    taxon itself if it trains; else null.
     """
+    if "similarity" not in nn.columns:
+        nn = nn.withColumn("similarity", F.lit(0.0))
+    nn = best_of_lookups([nn])
     trained = train.select(F.col("taxon_id").alias("_self")).distinct()
     looked_up = test.select("sample_id", "taxon_id").join(
         nn.select(F.col("query").alias("taxon_id"), "answer"), "taxon_id", "left")

@@ -69,12 +69,17 @@ def parse_clades(lines: DataFrame) -> DataFrame:
         F.col("name").alias("sample_id"), C.species_from_clade("row").alias("taxon_id"), F.col("cell").alias("abundance"))
 
 
+def _by_name(rows: DataFrame, fields) -> DataFrame:
+    """The columns of a table with a header, found by name and typed."""
+    return rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in fields])
+
+
 def read_sample_metadata(spark, path: str) -> DataFrame:
-    return spark.read.csv(path, sep="\t", header=True, schema=schema.SAMPLE_METADATA)
+    return _by_name(spark.read.csv(path, sep="\t", header=True), schema.SAMPLE_METADATA)
 
 
 def read_project_metadata(spark, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, schema=schema.PROJECT_METADATA)
+    return _by_name(spark.read.csv(path, header=True), schema.PROJECT_METADATA)
 
 
 def read_sequences(spark, path: str) -> DataFrame:
@@ -88,8 +93,9 @@ def read_sequences(spark, path: str) -> DataFrame:
 
 
 def read_fasta(spark, path: str) -> DataFrame:
-    """Records ``(id, description, seq)``. Files split at ``>``, so one file is many tasks."""
-    records = spark.read.text(path, lineSep=">").where(F.trim("value") != "")
+    """Records ``(id, description, seq)``. Files split at ``>`` at a line's start, so one file is many tasks."""
+    lines = spark.read.text(path, lineSep="\n>").select(F.regexp_replace("value", "^>", "").alias("value"))
+    records = lines.where(F.trim("value") != "")
     head = F.trim(F.regexp_replace(F.substring_index("value", "\n", 1), "\r", ""))
     seq = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "")
     return records.select(F.regexp_extract(head, r"^(\S*)", 1).alias("id"), head.alias("description"), seq.alias("seq"))

@@ -278,3 +278,15 @@ def test_id_list_is_sorted_across_files(spark, tmp_path):
         with open(os.path.join(path, name)) as f:
             lines += f.read().split()
     assert lines == [f"ASV{i:03}" for i in range(50)]
+
+
+def test_fasta_headers_may_hold_the_record_mark(spark, tmp_path):
+    (tmp_path / "a.fa").write_text(">a desc with A>G change\nAC\nGT\n>b\nTT\n")
+    got = S.read_fasta(spark, str(tmp_path / "a.fa"))
+    assert rows(got) == [("a", "a desc with A>G change", "ACGT"), ("b", "b", "TT")]
+
+
+def test_metadata_columns_are_found_by_name(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("amplicon,project,avg_length,condition,subjects\nv4,P1,250.5,well,people\n")
+    got = S.read_project_metadata(spark, str(tmp_path / "p.csv"))
+    assert rows(got) == [("P1", "well", "people", "v4", 250.5)]
