@@ -50,7 +50,7 @@ def component_sizes(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
 
 
-def fiedler_vector(edges: DataFrame, seed: int = 0, tol: float = 1e-8, max_products: int = 80) -> DataFrame:
+def fiedler_vector(edges: DataFrame, seed: int = 0, tol: float = 1e-8) -> DataFrame:
     """``(id, value)``: eigenvector of the second smallest eigenvalue of the Laplacian.
 
     The graph must be connected. It is the leading eigenvector of ``c·I − L``
@@ -64,7 +64,7 @@ def fiedler_vector(edges: DataFrame, seed: int = 0, tol: float = 1e-8, max_produ
     matrix = both.select("a", "b", F.col("weight").alias("w")).unionByName(
         degree.select("a", F.col("a").alias("b"), (F.lit(c) - F.col("degree")).alias("w")))
     vectors, _ = leading_eigenvectors(
-        materialize(matrix, "laplacian"), 1, centre=True, seed=seed, tol=tol, max_products=max_products)
+        materialize(matrix, "laplacian"), 1, centre=True, seed=seed, tol=tol)
     return vectors.select("id", F.col("vec")[0].alias("value"))
 
 

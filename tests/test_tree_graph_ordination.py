@@ -203,3 +203,11 @@ def test_cut_statistics(spark):
     r = G.cut_weights(cut).first()
     assert (r.n, r.mean, r["max"], r["min"], r["median"]) == (2, 2.5, 3.0, 2.0, 2.5)
     assert rows(G.cut_histogram(cut)) == [(0, 1), (19, 1)]
+
+
+def test_eigenvectors_need_many_products_on_a_path(spark):
+    """A long path: eigenvalues 2 cos(pi j / (n + 1)) lie close, one product is far from enough."""
+    n = 120
+    cells = [(f"{i:03}", f"{i + s:03}", 1.0) for i in range(n) for s in (-1, 1) if 0 <= i + s < n]
+    _, values = leading_eigenvectors(spark.createDataFrame(cells, "a string, b string, w double"), 2)
+    assert values == pytest.approx([2 * np.cos(np.pi * j / (n + 1)) for j in (1, 2)], abs=1e-9)
