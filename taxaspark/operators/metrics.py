@@ -15,6 +15,34 @@ def _paired(predictions, truth, keys):
     return predictions.join(t, how)
 
 
+def prediction_gaps(predictions: DataFrame, truth: DataFrame, keys=("sample_id",)) -> DataFrame:
+    """``(…keys, taxon_id)`` of true taxa that a group with predictions has none for."""
+    keys = list(keys)
+    wanted = predictions.select(*keys).distinct().join(truth.select("sample_id", "taxon_id"), "sample_id")
+    return wanted.join(predictions.select(*keys, "taxon_id"), [*keys, "taxon_id"], "left_anti").select(*keys, "taxon_id")
+
+
+def _without_gaps(groups: DataFrame, truth: DataFrame, keys, count: str) -> DataFrame:
+    """``groups`` with their ``count`` of predicted taxa; any sample or taxon of the truth left out raises.
+
+    Every combination of the other keys must have all samples of the truth, and
+    each sample all its taxa.
+    """
+    others = [k for k in keys if k != "sample_id"]
+    wanted = truth.groupBy("sample_id").agg(F.count(F.lit(1)).alias("_wanted"))
+    checked = groups.join(wanted, "sample_id", "left" if others else "right")
+    if others:
+        n = truth.agg(F.count_distinct("sample_id")).scalar()
+        checked = join_on(checked, groups.groupBy(*others).agg(F.count(F.lit(1)).alias("_samples")), others)
+        whole = (F.col(count) == F.col("_wanted")) & (F.col("_samples") == n)
+    else:
+        whole = F.col(count) == F.col("_wanted")
+    guarded = F.when(F.coalesce(whole, F.lit(False)), F.col(count)).otherwise(F.raise_error(F.concat(
+        F.lit("predictions do not cover the true taxa of sample "), F.coalesce("sample_id", F.lit("(null)"))))
+        .cast("long"))
+    return checked.withColumn(count, guarded).select(groups.columns)
+
+
 def average_ranks(df: DataFrame, keys, value: str, out: str) -> DataFrame:
     """Tie-averaged rank (from 1) of ``value`` within its group."""
     keys = list(keys)
@@ -41,7 +69,9 @@ def evaluate(predictions: DataFrame, truth: DataFrame, keys=("sample_id",), taxa
     """One row of metrics per group of ``predictions (…keys, taxon_id, lp)``.
 
     ``truth (sample_id, taxon_id, rel_abund)`` holds the true taxa. Extra key
-    columns (method, seed) evaluate many predictions at once.
+    columns (method, seed) evaluate many predictions at once. Each of them must
+    predict every true taxon of every sample, else it raises;
+    :func:`prediction_gaps` lists what is missing.
     """
     keys = list(keys)
     both = _paired(predictions, truth, keys).withColumn("_p", F.exp("lp")).withColumn("_lt", F.ln("t"))
@@ -55,7 +85,7 @@ def evaluate(predictions: DataFrame, truth: DataFrame, keys=("sample_id",), taxa
     # Ranks of single-precision logs, as models return them: equal shares stay equal.
     single = both.select(*keys, F.col("_lt").cast("float").alias("t"), F.col("lp").cast("float").alias("lp"))
     rho = spearman(single, keys, "t", "lp")
-    return join_on(sums, rho, keys)
+    return join_on(_without_gaps(sums, truth, keys, taxa_column), rho, keys)
 
 
 def log_softmax(logits: DataFrame, keys=("sample_id",), mask: str = None, out: str = "lp") -> DataFrame:
@@ -85,7 +115,8 @@ def loss(predictions: DataFrame, truth: DataFrame, name: str, reduction: str = "
     Reduction ``none`` gives ``(sample_id, loss)``: the sample's summed cells, or
     for ``mse_log`` its mean. Others give one row. ``mean`` divides by all cells
     of the padded batch, samples × ``width`` (the largest sample by default),
-    except for ``mse_log``, which averages samples.
+    except for ``mse_log``, which averages samples. A true taxon without a
+    prediction raises.
     """
     if name not in LOSSES:
         raise ValueError(f"unknown loss {name!r}")
@@ -102,6 +133,8 @@ def loss(predictions: DataFrame, truth: DataFrame, name: str, reduction: str = "
     per_sample = cells.groupBy("sample_id").agg(
         (F.try_divide(total, n_live) if name in ("mse_log", "mse") else total).alias("loss"),
         F.count(F.lit(1)).alias("_cells"))
+    # The filter keeps the check in the plan where no later column needs the count.
+    per_sample = _without_gaps(per_sample, truth, ["sample_id"], "_cells").where("_cells > 0")
     if reduction == "none":
         return per_sample.select("sample_id", "loss")
     summed, samples = F.sum("loss"), F.count(F.lit(1))

@@ -237,3 +237,21 @@ def test_seed_table_has_a_column_per_seed(spark):
     data = [("a", f"s{i}", seed, None, float(i + seed)) for i in range(3) for seed in (1, 2)] + [("b", "s0", 1, None, 5.0)]
     got = {r.Method: tuple(r)[1:] for r in S.seed_table(spark.createDataFrame(data, RESULTS), "KL_err", [1, 2]).collect()}
     assert got == {"a": (2.0, 3.0, 2.5, 0.5), "b": (5.0, None, 5.0, 0.0)}
+
+
+def test_predictions_with_gaps_raise(spark):
+    truth = spark.createDataFrame([("s1", "x", 0.5), ("s1", "y", 0.5), ("s2", "x", 1.0)], "sample_id string, taxon_id string, rel_abund double")
+    lp = "Method string, sample_id string, taxon_id string, lp double"
+    whole = [("m", "s1", "x", -0.7), ("m", "s1", "y", -0.7), ("m", "s2", "x", 0.0)]
+    keys = ("Method", "sample_id")
+    assert M.evaluate(spark.createDataFrame(whole, lp), truth, keys).count() == 2
+    for rest in (whole[1:], whole[:2]):
+        gappy = spark.createDataFrame(rest, lp)
+        with pytest.raises(Exception, match="do not cover"):
+            M.evaluate(gappy, truth, keys).collect()
+        with pytest.raises(Exception, match="do not cover"):
+            M.evaluate(gappy.drop("Method"), truth).collect()
+        for reduction in ("none", "sum"):
+            with pytest.raises(Exception, match="do not cover"):
+                M.loss(gappy.drop("Method"), truth, "kl", reduction).collect()
+    assert [tuple(r) for r in M.prediction_gaps(spark.createDataFrame(whole[1:], lp), truth, keys).collect()] == [("m", "s1", "x")]
