@@ -5,6 +5,7 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from taxaspark.functions import columns as C
+from taxaspark.lineage import materialize
 from taxaspark.operators.profile import normalise
 from taxaspark.operators.tiles import tiled_pairs
 
@@ -80,10 +81,21 @@ def mean_linkage(profile: DataFrame, taxon_distances: DataFrame, **tiling) -> Da
     Two sparse products instead of one row per taxon pair and sample pair:
     first the summed distance of every taxon to a sample's taxa, then its sum
     over the other sample's taxa. The distance table holds ``a < b``; a taxon is
-    at distance zero from itself.
+    at distance zero from itself. A missing distance between two taxa of the
+    profile raises: it would count as zero.
     """
+    taxa = materialize(profile.select("taxon_id").distinct(), "taxa")
+    listed = materialize(
+        taxon_distances.where("a < b AND d IS NOT NULL")
+        .join(taxa.select(F.col("taxon_id").alias("a")), "a", "left_semi")
+        .join(taxa.select(F.col("taxon_id").alias("b")), "b", "left_semi"), "taxon-distances")
+    n = taxa.count()
+    missing = n * (n - 1) // 2 - listed.select("a", "b").distinct().count()
+    if missing:
+        raise ValueError(f"{missing} pairs of the profile's {n} taxa have no distance")
+    own = taxa.select(F.col("taxon_id").alias("id"), F.col("taxon_id").alias("key"), F.lit(0.0).alias("x"), F.lit(0.0).alias("w"))
     members = _with_size(profile, F.lit(1.0), F.count(F.lit(1)))
-    to_taxon = tiled_pairs(members, _taxon_rows(taxon_distances), term="dot", **tiling)
+    to_taxon = tiled_pairs(members, _taxon_rows(listed).unionByName(own), term="dot", **tiling)
     summed = to_taxon.select(F.col("a").alias("id"), F.col("b").alias("key"),
                              F.col("s").alias("x"), F.col("wa").alias("w"))
     pairs = tiled_pairs(summed, members, term="dot", **tiling)

@@ -86,19 +86,16 @@ PROJECTS = """projects AS (
 
 
 def brand_profile(spark, sf):
-    """Profile over brands, for operators that take a taxon-distance table.
-
-    A brand is present in a sample from a total quantity of 700.
-    """
+    """Profile over brands, for operators that take a taxon-distance table."""
     lines = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
     return P.relative_abundance(lines.groupBy(
         prefixed("SRS", "l_suppkey").alias("sample_id"), F.col("p_brand").alias("taxon_id")).agg(
-        F.sum("l_quantity").alias("n")).where("n >= 700"))
+        F.sum("l_quantity").alias("n")))
 
 
 BRAND_PROFILE = """bcounts AS (
   SELECT 'SRS' || l_suppkey AS sample_id, p_brand AS taxon_id, sum(l_quantity) AS n
-  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL HAVING sum(l_quantity) >= 700),
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
 bprofile AS (SELECT sample_id, taxon_id, n / sum(n) OVER (PARTITION BY sample_id) AS rel_abund FROM bcounts)"""
 
 

@@ -210,7 +210,7 @@ def newick_nodes(spark, sf):
 NATIONS = """np AS (
   SELECT 'SRS' || l_suppkey AS sample_id, 'NATION_' || c_nationkey AS taxon_id
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-  GROUP BY ALL HAVING sum(l_quantity) >= 700)"""
+  GROUP BY ALL)"""
 
 
 @query("phylo_similarity", f"""WITH {B.NATION_TREE}, {NATIONS}, pt AS (
@@ -221,12 +221,11 @@ near AS (
 oneway AS (SELECT a, b, avg(d) AS d FROM near GROUP BY 1, 2)
 SELECT x.a, x.b, round(exp(-0.5 * (x.d + y.d)), 6) AS similarity FROM oneway x JOIN oneway y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b""")
 def phylo_similarity(spark, sf):
-    """A nation is present in a sample from a total quantity of 700."""
     held = B.table(spark, sf, "lineitem").join(B.table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(
         B.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     profile = held.groupBy(B.prefixed("SRS", "l_suppkey").alias("sample_id"),
                            B.prefixed("NATION_", "c_nationkey").alias("taxon_id")).agg(
-        F.sum("l_quantity").alias("n")).where("n >= 700")
+        F.sum("l_quantity").alias("n"))
     tree = B.nation_tree(spark, sf)
     known = T.leaves(tree).select(F.col("name").alias("taxon_id"))
     return B.rounded(D.phylogenetic_similarity(profile, T.patristic(tree), known))

@@ -150,3 +150,13 @@ def test_best_of_lookups_first_table_wins_ties(spark):
     two = spark.createDataFrame([("a", "w", 0.5), ("b", "y", 0.9), ("c", "z", 0.0)], cols)
     got = {r["query"]: r.answer for r in Q.best_of_lookups([one, two]).collect()}
     assert got == {"a": "x", "b": "y", "c": "z"}
+
+
+def test_mean_linkage_of_single_taxon_samples_and_with_a_missing_distance(spark):
+    profile = spark.createDataFrame(
+        [("a", "T", 1.0), ("b", "T", 1.0), ("c", "T", 0.5), ("c", "U", 0.5)], "sample_id string, taxon_id string, rel_abund double")
+    table = spark.createDataFrame([("T", "U", 3.0)], "a string, b string, d double")
+    got = {(r.a, r.b): r.d for r in D.sample_distances(profile, "precomputed", table).collect()}
+    assert got == {("a", "b"): 0.0, ("a", "c"): 1.5, ("b", "c"): 1.5}
+    with pytest.raises(ValueError, match="1 pairs"):
+        D.sample_distances(profile, "precomputed", table.where("false"))
