@@ -61,11 +61,11 @@ def read_sequences(spark, sf):
     return S.read_sequences(spark, path)
 
 
-@query("fasta_round_trip", """SELECT 'D' || doc_id AS id, md5(regexp_replace(replace(text, '>', ''), '[ \\t\\n\\r\\f\\v]', '', 'g')) AS seq FROM documents""")
+@query("fasta_round_trip", """SELECT 'D' || doc_id AS id, md5(regexp_replace(text, '[ \\t\\n\\r\\f\\v]', '', 'g')) AS seq FROM documents""")
 def fasta_round_trip(spark, sf):
     """Whole document texts as records; white space inside a record is not sequence."""
     path = scratch_path(spark, "fasta")
-    docs = B.table(spark, sf, "documents").select(B.prefixed("D", "doc_id").alias("taxon_id"), F.translate("text", ">", "").alias("seq"))
+    docs = B.table(spark, sf, "documents").select(B.prefixed("D", "doc_id").alias("taxon_id"), F.col("text").alias("seq"))
     S.write_fasta(docs, path)
     return S.read_fasta(spark, path).select("id", F.md5("seq").alias("seq"))
 
@@ -111,7 +111,7 @@ SELECT taxon_id, marker_id, CAST(row_number() OVER (PARTITION BY taxon_id ORDER
 def marker_index_round_trip(spark, sf):
     path = scratch_path(spark, "markers")
     S.write_marker_index(B.markers(spark, sf).select("taxon_id", "marker_id", "ord"), path)
-    return S.read_marker_lines(spark, path)
+    return S.read_marker_index(spark, path)
 
 
 @query("read_results", """SELECT CASE WHEN o_orderpriority = '5-LOW' THEN 'uniform' ELSE 'dnabert-s__epc_pool_kl' END AS "Method",

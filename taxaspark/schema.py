@@ -26,7 +26,7 @@ ALIGN_REPORT = _table(
 TREE = _table(node_id=_L, parent_id=_L, name=_S, branch_length=_D)
 RESULTS = _table(
     SampleId=_S, KL_err=_D, RMSL_err=_D, SpearmanCorr=_D, BrayCurtis=_D,
-    RootJensenShannon=_D, NumTaxa=_L,
+    RootJensenShannon=_D, NumTaxa=_L, NumASV=_L, NumSGB=_L, NumParameters=_L,
 )
 MARKER_VECTORS = T.StructType([
     T.StructField("marker_id", _S),

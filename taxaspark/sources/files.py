@@ -129,14 +129,19 @@ def write_nn_lookup(nn: DataFrame, path: str) -> None:
 
 
 def read_marker_index(spark, path: str) -> DataFrame:
-    """``(taxon_id, marker_id, ord)`` of a JSON object taxon -> markers; keys normalised.
+    """``(taxon_id, marker_id, ord)`` of a JSON object taxon -> markers, or of one object per line; keys normalised.
 
-    The file is one JSON object, so one row holds it, as its format demands.
+    The text is split at the ends of the marker lists, so a large object is read
+    by many tasks. Text that is no entry, and a ``]`` within a name, raises.
     """
-    raw = spark.read.text(path, wholetext=True)
-    parsed = raw.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("key", "markers"))
-    return parsed.select(C.normalise_taxon("key").alias("taxon_id"),
-                         F.posexplode("markers").alias("ord", "marker_id")).select("taxon_id", "marker_id", "ord")
+    pieces = spark.read.text(path, lineSep="]").select(F.regexp_replace("value", r"^[\s{},]+", "").alias("entry"))
+    kind = "map<string,array<string>>"
+    parsed = F.from_json(F.when(F.col("entry") == "", "{}").otherwise(F.concat(F.lit("{"), "entry", F.lit("]}"))), kind)
+    checked = pieces.select(F.coalesce(parsed, F.raise_error(
+        F.concat(F.lit("no marker list: "), F.substring("entry", 1, 80))).cast(kind)).alias("m"))
+    return checked.select(F.explode("m").alias("key", "markers")).select(
+        C.normalise_taxon("key").alias("taxon_id"), F.posexplode("markers").alias("ord", "marker_id")).select(
+        "taxon_id", "marker_id", "ord")
 
 
 def write_marker_index(markers: DataFrame, path: str) -> None:
@@ -146,20 +151,22 @@ def write_marker_index(markers: DataFrame, path: str) -> None:
     lists.select(F.to_json(F.create_map("taxon_id", "m")).alias("value")).write.text(path)
 
 
-def read_marker_lines(spark, path: str) -> DataFrame:
-    """Marker index written by ``write_marker_index``, read line by line."""
-    parsed = spark.read.text(path).select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("key", "m"))
-    return parsed.select(C.normalise_taxon("key").alias("taxon_id"), F.posexplode("m").alias("ord", "marker_id")).select(
-        "taxon_id", "marker_id", "ord")
-
-
 def read_results(spark, path: str) -> DataFrame:
     """Evaluation tables with method, seed and ablation flag from their file names.
 
     ``[ABLATED__]<method>__<seed>.tsv``; baselines are ``<method>.tsv`` with a null seed.
+    Columns go by the name in each file's own header; those it lacks are null.
+    A line of a file without a header raises.
     """
-    table = spark.read.csv(path, sep="\t", header=True, schema=schema.RESULTS, recursiveFileLookup=True)
-    file = F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+)\.tsv(?:/[^/]*)?$", 1)
+    lines = spark.read.option("recursiveFileLookup", True).text(path).where("value <> ''").select(
+        F.col("_metadata.file_path").alias("_file"), F.split("value", "\t").alias("_cells"))
+    header = F.array_contains("_cells", "SampleId")
+    heads = lines.where(header).groupBy("_file").agg(F.min("_cells").alias("_names"))
+    placed = lines.where(~header).join(heads, "_file", "left").withColumn("_names", F.coalesce("_names", F.raise_error(
+        F.concat(F.lit("no header in "), F.col("_file"))).cast("array<string>")))
+    cell = lambda name: F.nullif(F.get("_cells", (F.array_position("_names", F.lit(name)) - 1).cast("int")), F.lit(""))
+    table = placed.select("_file", *[cell(x.name).cast(x.dataType).alias(x.name) for x in schema.RESULTS])
+    file = F.regexp_extract(F.col("_file"), r"([^/=]+)\.tsv(?:/[^/]*)?$", 1)
     named = table.withColumn("_f", file).withColumn("Ablated", F.col("_f").startswith("ABLATED__"))
     bare = F.regexp_replace("_f", "^ABLATED__", "")
     baseline = C.is_baseline(bare)
@@ -167,7 +174,7 @@ def read_results(spark, path: str) -> DataFrame:
         "Method", F.when(baseline, bare).otherwise(F.regexp_replace(bare, "__[0-9]+$", ""))
     ).withColumn(
         "Seed", F.when(~baseline, F.nullif(F.regexp_extract(bare, "__([0-9]+)$", 1), F.lit("")).cast("int"))
-    ).drop("_f")
+    ).drop("_f", "_file")
 
 
 def write_split(split: DataFrame, path: str) -> None:

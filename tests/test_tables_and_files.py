@@ -290,3 +290,25 @@ def test_metadata_columns_are_found_by_name(spark, tmp_path):
     (tmp_path / "p.csv").write_text("amplicon,project,avg_length,condition,subjects\nv4,P1,250.5,well,people\n")
     got = S.read_project_metadata(spark, str(tmp_path / "p.csv"))
     assert rows(got) == [("P1", "well", "people", "v4", 250.5)]
+
+
+def test_marker_index_of_lines_indented_objects_and_rubbish(spark, tmp_path):
+    path = str(tmp_path / "written")
+    markers = [(f"SGB{t}", f"SGB{t}__m{o}", o) for t in range(6) for o in range(3)]
+    S.write_marker_index(spark.createDataFrame(markers, "taxon_id string, marker_id string, ord int").repartition(2), path)
+    assert rows(S.read_marker_index(spark, path)) == markers
+    indented = _write(tmp_path, "indented.json", '{\n  "SGB1": [\n    "a",\n    "b"\n  ],\n  "SGB2": [\n    "c"\n  ]\n}\n')
+    assert rows(S.read_marker_index(spark, indented)) == [("SGB1", "a", 0), ("SGB1", "b", 1), ("SGB2", "c", 0)]
+    broken = _write(tmp_path, "broken.json", '{"SGB1": ["a"], rest}')
+    with pytest.raises(Exception, match="no marker list"):
+        S.read_marker_index(spark, broken).collect()
+
+
+def test_results_go_by_the_header_of_each_file(spark, tmp_path):
+    _write(tmp_path, "uniform.tsv", "KL_err\tSampleId\tNumASV\n0.25\ts1\t9\n")
+    _write(tmp_path, "dnabert-s__epc_pool_kl__3.tsv", "SampleId\tNumParameters\tKL_err\textra\ns1\t1000\t0.5\tx\n")
+    got = rows(S.read_results(spark, str(tmp_path)).select("Method", "SampleId", "KL_err", "NumASV", "NumParameters"))
+    assert got == [("dnabert-s__epc_pool_kl", "s1", 0.5, None, 1000), ("uniform", "s1", 0.25, 9, None)]
+    _write(tmp_path, "other.tsv", "s1\t1\n")
+    with pytest.raises(Exception, match="no header"):
+        S.read_results(spark, str(tmp_path)).collect()
