@@ -2,10 +2,13 @@
 
 Passages of all documents and of the benchmark are TF-IDF rows over hashed terms.
 A distributed randomised SVD of them gives the latent space; passages near a
-benchmark passage by cosine are candidates, which word-level checks confirm.
+benchmark passage by cosine are candidates, and so is every place where a run of
+words of an item stands; word-level checks confirm them.
 """
 
+import itertools
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -17,30 +20,63 @@ from taxaspark.llm import text as X
 TERMS, RANK = 8192, 64
 GROUP = 1 << 15         # bytes of text side by side; keeps the rows of a group in cache
 WINDOW, HALF = 32, 16
-COSINE = 0.72       # candidates are at least this near
+COSINE = 0.5        # candidates are at least this near, times the root of a passage's share of a window
 OVERLAP = 0.4       # share of a benchmark passage's words that a candidate window must hold
 RUN = 13            # so many words in a row are a copy
 VERBATIM = 0.7      # share of an item in order that is a copy whatever is between
 PARAPHRASE, ANSWER = 0.55, 0.8  # a smaller share is one if the answer is there as well
 BLOCK_WORDS = 200_000  # benchmark words held by a task at a time
 STRIPE = 256        # terms of one partial result
+PAIRS = 1 << 21     # windows times benchmark passages compared at a time
 
 WORD = np.zeros(256, bool)
 WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 NOT_WORD = bytes(c if WORD[c] else 0x20 for c in range(256))
+PLAIN = X.lower_table().translate(NOT_WORD)
+SPELLED = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
 def word_list(data: bytes):
-    return data.translate(X.lower_table()).translate(NOT_WORD).split()
+    return data.translate(PLAIN).split()
 
 
-def terms(group):
-    """Hashed term, text index and number within its text of every word of side-by-side texts."""
+def hashed(group):
+    """Hash, text index and number within its text of every word of side-by-side texts."""
     pieces = X.Pieces([p for _, p in group], WORD, lower=True)
     start, end, of = pieces.words()
-    bucket = ((pieces.hashes(start, end) >> np.uint64(20)) % np.uint64(TERMS)).astype(np.int64)
     first = np.searchsorted(of, np.arange(pieces.n))
-    return bucket, of, np.arange(len(of)) - first[of] if len(of) else of
+    return pieces.hashes(start, end), of, np.arange(len(of)) - first[of] if len(of) else of
+
+
+def bucketed(h):
+    return ((h >> np.uint64(20)) % np.uint64(TERMS)).astype(np.int64)
+
+
+def terms(group):
+    """Hashed term, text index and number within its text of every word of side-by-side texts."""
+    h, of, at = hashed(group)
+    return bucketed(h), of, at
+
+
+def runs(h, of, n):
+    """Hashes of ``n`` consecutive words of one text, and the first word of each."""
+    count = max(len(h) - n + 1, 0)
+    own = np.zeros(count, np.uint64)
+    for j in range(n):
+        own = own * np.uint64(X.PRIME) + h[j:j + count]
+    first = np.flatnonzero(of[:count] == of[n - 1:n - 1 + count])
+    return X.mixed(own[first]), first
+
+
+def overlapping(data, reach):
+    """Blocks of a text, each with the ``reach`` words behind it."""
+    start = 0
+    for block in X.blocks(data):
+        start += len(block)
+        end = start
+        for m in itertools.islice(SPELLED.finditer(data, start), reach):
+            end = m.end()
+        yield block + data[start:end]
 
 
 def passages(group):
@@ -215,6 +251,12 @@ def verdict(item, answer, region):
     return share, run, has_answer, copied
 
 
+def may_hold(item, region):
+    """Whether the region holds enough of the item's words for the share of a paraphrase, in whatever order."""
+    held = set(region)
+    return sum(map(held.__contains__, item)) >= PARAPHRASE * len(item)
+
+
 class Searcher:
     def __init__(self, bench, project, vectors):
         self.words, self.answers, self.pieces = bench.words, bench.answers, bench.pieces
@@ -222,17 +264,71 @@ class Searcher:
         self.item = np.array([k for k, _ in bench.pieces])
         self.sizes = np.array([len(w) for _, w in bench.pieces])
         passage, term, _ = bench.rows()
-        self.holds = np.zeros((len(bench.pieces), TERMS), bool)
-        self.holds[passage, term] = True
+        holds = np.zeros((TERMS, -(-len(bench.pieces) // 8) * 8), np.uint8)
+        holds[term, passage] = 1
+        # Eight counts are added as one number; none exceeds WINDOW.
+        self.holds = holds.view(np.uint64)
+        self.enough = np.ceil(OVERLAP * self.sizes).astype(np.uint8)
+        # Of a shorter passage more of the window around it is other text.
+        self.least = (COSINE * np.sqrt(self.sizes / WINDOW)).astype(np.float32)
+        self.own = {}
+        for p, k in enumerate(self.item.tolist()):
+            self.own.setdefault(k, []).append(p)
+        # A region is at most this many words wide, see regions().
+        self.reach = 3 * (max(map(len, self.words)) + WINDOW)
+        self.copies = self._copies()
+
+    def _copies(self):
+        """By length the runs of words that make a copy: a table of their low bits, sorted hashes, the item of each."""
+        h, of, _ = hashed([(k, b" ".join(w)) for k, w in enumerate(self.words)])
+        size = np.array([len(w) for w in self.words])
+        copies = {}
+        for n in np.unique(np.minimum(size, RUN)).tolist():
+            own, first = runs(h, of, n)
+            mine = np.minimum(size, RUN)[of[first]] == n
+            own, item = own[mine], of[first][mine]
+            order = np.lexsort((item, own))
+            marks = np.zeros(1 << min(24, max(16, int(64 * len(own)).bit_length())), bool)
+            marks[own & np.uint64(len(marks) - 1)] = True
+            copies[n] = marks, own[order], item[order]
+        return copies
+
+    def copied(self, h, of):
+        """``(word, item)`` wherever a run of words that makes a copy stands."""
+        for n, (marks, known, item) in self.copies.items():
+            own, first = runs(h, of, n)
+            likely = marks[own & np.uint64(len(marks) - 1)]
+            own, first = own[likely], first[likely]
+            low, high = np.searchsorted(known, own), np.searchsorted(known, own, side="right")
+            for i in np.flatnonzero(high > low):
+                for k in np.unique(item[low[i]:high[i]]).tolist():
+                    yield int(first[i]), k
+
+    def candidates(self, rows, bucket, begin, follows):
+        """Windows and benchmark passages near each other that share enough words, and their cosines."""
+        edge = np.append(begin, len(bucket))
+        step = max(1, PAIRS // (HALF * len(self.sizes)))
+        for a in range(0, len(rows), step):
+            b = min(a + step, len(rows))
+            last = min(b + 1, len(rows))  # the half behind the last window
+            half = np.add.reduceat(self.holds[bucket[edge[a]:edge[last]]], begin[a:last] - begin[a], axis=0)
+            overlap = half[:b - a].copy()
+            more = np.flatnonzero(follows[a:b])
+            overlap[more] += half[more + 1]
+            overlap = overlap.view(np.uint8)[:, :len(self.sizes)]
+            cosine = rows[a:b] @ self.vectors.T
+            window, piece = np.nonzero((cosine >= self.least) & (overlap >= self.enough))
+            yield from zip((a + window).tolist(), piece.tolist(), cosine[window, piece].tolist())
 
     def search(self, texts):
         """Per text its matches ``{item: (cosine, share, run, answer)}``."""
         found = [{} for _ in texts]
-        for group in X.groups(texts, GROUP):
+        for group in X.groups(texts, GROUP, lambda data: overlapping(data, self.reach)):
             index = [i for i, _ in group]
-            bucket, of, at = terms(group)
-            if not len(bucket):
+            h, of, at = hashed(group)
+            if not len(h):
                 continue
+            bucket = bucketed(h)
             # Sums by half window, then windows of two neighbouring halves of a text.
             part = at // HALF
             begin = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (part[1:] != part[:-1]))))
@@ -241,25 +337,24 @@ class Searcher:
             follows = np.concatenate((owner[1:] == owner[:-1], [False]))
             rows = halves.copy()
             rows[follows] += halves[np.flatnonzero(follows) + 1]
-            near = unit(rows) @ self.vectors.T >= COSINE
-            window, piece = np.nonzero(near)
-            if not len(window):
-                continue
-            place = begin[window][:, None] + np.arange(WINDOW)
-            inside = place < len(of)
-            place = np.minimum(place, len(of) - 1)
-            inside &= of[place] == owner[window][:, None]
-            overlap = (self.holds[piece[:, None], bucket[place]] & inside).sum(axis=1)
-            good = overlap >= OVERLAP * self.sizes[piece]
+            rows = unit(rows)
             kept = {}
-            cosines = (unit(rows[window[good]]) * self.vectors[piece[good]]).sum(axis=1)
-            for w, p, c in zip(window[good], piece[good], cosines):
-                kept.setdefault((int(owner[w]), int(self.item[p])), []).append((int(at[begin[w]]), float(c)))
+            for w, p, c in self.candidates(rows, bucket, begin, follows):
+                places = kept.setdefault((int(owner[w]), int(self.item[p])), {})
+                places[int(at[begin[w]])] = max(c, places.get(int(at[begin[w]]), c))
+            copies = set()
+            for word, k in self.copied(h, of):
+                copies.add((int(owner[np.searchsorted(begin, word, side="right") - 1]), k))
+                w = int(np.searchsorted(begin, word, side="right")) - 1
+                c = float((self.vectors[self.own[k]] @ rows[w]).max())
+                kept.setdefault((int(owner[w]), k), {})[int(at[begin[w]])] = c
             words = {}
             for (t, k), places in kept.items():
                 if t not in words:
                     words[t] = word_list(group[t][1])
-                for region, cosine in regions(places, len(self.words[k])):
+                for region, cosine in regions(places.items(), len(self.words[k])):
+                    if (t, k) not in copies and not may_hold(self.words[k], words[t][region]):
+                        continue
                     share, run, has_answer, copied = verdict(self.words[k], self.answers[k], words[t][region])
                     old = found[index[t]].get(k)
                     if copied and (old is None or share > old[1]):

@@ -34,11 +34,11 @@ def blocks(data, size=1 << 20):
     yield data[start:]
 
 
-def groups(texts, size=1 << 18):
+def groups(texts, size=1 << 18, pieces=blocks):
     """Runs of ``(index, piece)`` of about ``size`` bytes; a long text comes in several pieces."""
     held, total = [], 0
     for index, data in enumerate(texts):
-        for piece in blocks(data):
+        for piece in pieces(data):
             held.append((index, piece))
             total += len(piece) + 2
             if total >= size:

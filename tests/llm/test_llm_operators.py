@@ -320,6 +320,22 @@ def test_decontamination_finds_copies_and_paraphrases(spark, odd, empty):
     assert not any(r["contaminated"] for r in none.collect())
 
 
+def test_decontamination_finds_every_run_and_short_items_over_a_block_end(spark):
+    draw = random.Random(14)
+    items = [(i, " ".join(words(50, draw))) for i in range(30)] + [(99, " ".join(words(14, draw)))]
+    docs = []
+    for i, t in items[:-1]:
+        at, own = draw.randrange(38), words(200, draw)
+        docs.append((i, " ".join(own[:100] + t.split()[at:at + decontaminate.RUN] + own[100:])))
+    filler = " ".join(words(20000, draw)) + " "
+    filler *= -(-(1 << 20) // len(filler)) + 1
+    short = items[-1][1]
+    docs.append((99, filler[:filler.rfind(" ", 0, (1 << 20) - len(short) // 2) + 1] + short + " " + filler[:5000]))
+    bench = table(spark, items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(table(spark, docs), bench).collect()}
+    assert {(i, i) for i, _ in items} <= got
+
+
 def test_common_subsequence_by_dynamic_programme():
     draw = random.Random(6)
     for _ in range(30):
