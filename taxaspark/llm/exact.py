@@ -48,10 +48,22 @@ def exact_groups(docs: DataFrame, digest=None, salts: int = SALTS) -> DataFrame:
         "text_sha256")
 
 
-def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns; rows that repeat an id and its text leave one."""
-    groups = exact_groups(docs).where("kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest")).distinct()
+def drop_copies(docs: DataFrame, salts: int = SALTS) -> DataFrame:
+    """One document of each text, with all its columns: of the rows with the largest doc_id the least by its columns.
+
+    Only rows that repeat such an id and its text, or have no id in a group without any, are
+    compared, first inside a task, then inside a salted part, then over the salts.
+    """
     digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    kept = docs.join(groups, F.col("doc_id").eqNullSafe(F.col("_id")) & (digest == F.col("_digest")), "left_semi")
-    return kept
+    groups = materialize(exact_groups(docs).where("kept").groupBy(
+        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest")).agg(F.count(F.lit(1)).alias("_times")), "kept")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (digest == F.col("_digest"))
+    kept = docs.join(groups.where("_times = 1"), same, "left_semi")
+    ties = groups.where("_times > 1")
+    if ties.isEmpty():
+        return kept
+    rows = docs.join(ties, same).select(
+        "_id", "_digest", F.pmod(F.spark_partition_id(), F.lit(salts)).alias("_salt"), F.struct(*docs.columns).alias("_row"))
+    least = rows.groupBy("_id", "_digest", "_salt").agg(F.min("_row").alias("_row")).groupBy("_id", "_digest").agg(
+        F.min("_row").alias("_row"))
+    return kept.unionByName(least.select("_row.*"))

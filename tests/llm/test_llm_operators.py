@@ -73,6 +73,18 @@ def test_exact_compares_full_texts_when_digests_meet(spark):
     assert sorted(r["doc_id"] for r in exact.drop_copies(docs).collect()) == [2, 3, 4]
 
 
+def test_drop_copies_leaves_one_row_of_each_text(spark, odd):
+    twice = odd.unionByName(odd).unionByName(odd.where("doc_id = 7").selectExpr(*["'z' AS source" if c == "source" else c for c in odd.columns]))
+    twice = twice.unionByName(table(spark, [(20, None), (20, "no other"), (None, "nobody"), (None, "nobody")]), allowMissingColumns=True)
+    got = exact.drop_copies(twice)
+    assert got.columns == twice.columns
+    rows = got.collect()
+    texts = [r["text"] or "" for r in rows]
+    assert len(texts) == len(set(texts)) and set(texts) == {r["text"] or "" for r in twice.collect()}
+    assert {r["text"]: (r["doc_id"], r["source"]) for r in rows}["same text here now"] == (7, "s")
+    assert {r["text"]: r["doc_id"] for r in rows if r["doc_id"] is None} == {"no id here at all": None, "nobody": None}
+
+
 # --- tokens ----------------------------------------------------------------------
 
 def test_encoder_is_the_library(encode):
