@@ -77,7 +77,7 @@ def signatures(docs: DataFrame, shingle: int, m: int) -> DataFrame:
                     left.append([])
                     right.append([])
                     continue
-                digests.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
+                digests.append(digest_of(words))
                 low = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
                 for i in range(0, len(h), 4096):
                     low = np.minimum(low, (h[None, i:i + 4096] * factors[:, None]).min(axis=1))
@@ -127,16 +127,37 @@ def candidates(members: DataFrame, percent: int) -> DataFrame:
     return stars.unionByName(pairs).distinct()
 
 
+def digest_of(words):
+    """128-bit digest of a word sequence."""
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted`` (with an ``id`` column) with the text of that document; the same join at every size."""
     own = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id IS NOT NULL")
     return wanted.hint("merge").join(own, "id")
 
 
+def node_texts(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``doc_id, text``: one text of every wanted node, under the node's number.
+
+    A node is a word sequence and the smallest id that has it; other texts of that id are other nodes.
+    """
+    nodes = wanted.join(reps.select("node", "digest", "id"), "node")
+
+    def own(batches):
+        for batch in batches:
+            keep = [digest_of(word_list(t)) == d for t, d in zip(X.binary_column(batch, "text"), batch.column("digest").to_pylist())]
+            yield batch.select(["node", "text"]).filter(pa.array(keep, pa.bool_()))
+
+    rows = texts_of(docs, nodes).select("node", "text", "digest").mapInArrow(own, "node long, text string")
+    return rows.groupBy(F.col("node").alias("doc_id")).agg(F.min("text").alias("text"))
+
+
 def confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose full shingle sets reach the threshold.
 
-    Each document's text goes to its pairs, and a pair's two texts meet by the pair.
+    ``docs`` has one text per node. It goes to the node's pairs, and a pair's two texts meet by the pair.
     """
     sides = pairs.select(F.explode(F.array("x", "y")).alias("id"), "x", "y")
     met = texts_of(docs, sides).groupBy("x", "y").agg(F.collect_list("text").alias("texts"))
@@ -145,9 +166,9 @@ def confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) ->
         for batch in batches:
             keep = []
             for texts in batch.column("texts").to_pylist():
-                sets = [shingle_set(word_list((t or "").encode("utf-8", "surrogatepass")), shingle) for t in texts[:2]]
-                both = len(sets[0] & sets[-1])
-                keep.append(100 * both >= percent * (len(sets[0]) + len(sets[-1]) - both))
+                one, other = (shingle_set(word_list(t.encode("utf-8", "surrogatepass")), shingle) for t in texts)
+                both = len(one & other)
+                keep.append(100 * both >= percent * (len(one) + len(other) - both))
             yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], names=["a", "b"]).filter(pa.array(keep))
 
     return met.mapInArrow(check, "a long, b long")
@@ -218,6 +239,13 @@ def rest_links(docs: DataFrame, members: DataFrame, labels: DataFrame, shingle:
     return tiles.groupBy("component", "f", "g").applyInPandas(compare, "a long, b long")
 
 
+def by_id(links: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links of nodes as links ``a, b`` of the ids that stand for them."""
+    ids = reps.select("node", "id")
+    return links.join(ids.select(F.col("node").alias("a"), F.col("id").alias("x")), "a").join(
+        ids.select(F.col("node").alias("b"), F.col("id").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """Per document ``doc_id, n_shingles, component_id, kept``.
 
@@ -231,18 +259,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     component. Other columns are ignored; no rows give no rows.
     """
     signed = materialize(signatures(docs, shingle, sub_keys(percent)), "signed")
+    # A node is a distinct word sequence; an id that repeats with other words has several.
     reps = materialize(
         signed.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(
             F.min(F.struct("doc_id", "n", "left", "right")).alias("r")).select(
-            "digest", F.col("r.doc_id").alias("id"), "r.n", "r.left", "r.right"), "reps")
-    members = materialize(buckets(reps.select("id", "n", "left", "right")), "buckets")
-    # Texts of documents that share any bucket: what all later comparisons read.
-    held = materialize(texts_of(docs, members.select("id").distinct()).withColumnRenamed("id", "doc_id"), "texts")
-    links = materialize(confirmed(held, candidates(members, percent), shingle, percent), "links")
-    nodes = reps.select("id")
+            "digest", F.col("r.doc_id").alias("id"), "r.n", "r.left", "r.right").sortWithinPartitions("digest").withColumn(
+            "node", F.monotonically_increasing_id()), "reps")
+    members = materialize(buckets(reps.select(F.col("node").alias("id"), "n", "left", "right")), "buckets")
+    # Texts of nodes that share any bucket: what all later comparisons read.
+    held = materialize(node_texts(docs, reps, members.select(F.col("id").alias("node")).distinct()), "texts")
+    nodes = reps.select("id").distinct()
+    links = materialize(by_id(confirmed(held, candidates(members, percent), shingle, percent), reps), "links")
     if not members.where(F.col("size") > SMALL).isEmpty():
         labels = materialize(components(nodes, links), "labels")
-        more = materialize(rest_links(held, members, labels, shingle, percent), "links")
+        of_nodes = reps.select("node", "id").join(labels, "id").select(F.col("node").alias("id"), "component")
+        more = materialize(by_id(rest_links(held, members, of_nodes, shingle, percent), reps), "links")
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = components(nodes, links)

@@ -305,6 +305,30 @@ def test_near_duplicates_by_brute_force(spark, odd, empty):
     assert near.near_duplicates(empty).collect() == []
 
 
+def test_near_duplicates_compare_texts_of_repeated_ids(spark):
+    draw = random.Random(12)
+    one, other = words(200, draw), words(200, draw)
+    near_one, far_one = list(one), list(one)
+    near_one[100] = "x"
+    for i in range(4, 196, 16):
+        far_one[i] = f"y{i}"
+    # 8 repeats with 3, which is below the threshold; 5 and 6 are alike, but 5 has another text as well.
+    near_other = list(other)
+    near_other[90] = "z"
+    docs = [(3, " ".join(one)), (8, " ".join(far_one)), (3, " ".join(one)), (8, " ".join(far_one)), (3, " ".join(one)),
+            (5, " ".join(words(180, draw))), (5, " ".join(other)), (5, " ".join(words(160, draw))), (6, " ".join(near_other)), (4, " ".join(near_one))]
+    signed = near.signatures(table(spark, docs), 5, 4)
+    reps = signed.groupBy("digest").agg({"doc_id": "min"}).toDF("digest", "id").sort("id", "digest").coalesce(1).selectExpr(
+        "monotonically_increasing_id() AS node", "digest", "id").cache()
+    held = near.node_texts(table(spark, docs), reps, reps.select("node"))
+    assert held.count() == 7
+    pairs = held.selectExpr("doc_id AS x").join(held.selectExpr("doc_id AS y")).where("x < y")
+    links = near.by_id(near.confirmed(held, pairs, 5, 80), reps).collect()
+    assert {tuple(sorted((r["a"], r["b"]))) for r in links} == {(3, 4), (5, 6)}
+    got = {(r["doc_id"], r["component_id"]) for r in near.near_duplicates(table(spark, docs), 5, 80).collect()}
+    assert {(3, 3), (4, 3), (8, 8), (6, 5)} <= got
+
+
 def test_tensored_tables_need_few_minhashes():
     m = near.sub_keys(85)
     assert m == 8 and 2 * m * near.ROWS < m * m
