@@ -2,7 +2,7 @@
 
 A rule has a label, a priority, keywords and a regular expression over the
 lower-cased text. A rule's expression runs only on texts that hold one of its
-keywords. Where detections overlap, one that lies inside another of the same or a
+keywords, with any white space for a blank. Where detections overlap, one that lies inside another of the same or a
 higher priority is suppressed. The four base phrases are rules over the words of
 the text; every place where they stand counts, suppressed or not.
 """
@@ -62,10 +62,10 @@ NAMES = (
     ("cc-by-nc-sa", ("creative commons", "cc"), r"creative\s+commons\s+attribution[\s-]+non[\s-]?commercial[\s-]+share[\s-]?alike(?:\s+\d\.\d)?|cc[\s-]by[\s-]nc[\s-]sa(?:\s+\d\.\d)?", r"cc-by-nc-sa(?:-\d\.\d)?"),
     ("cc-by-nc-nd", ("creative commons", "cc"), r"creative\s+commons\s+attribution[\s-]+non[\s-]?commercial[\s-]+no[\s-]?deriv\w*(?:\s+\d\.\d)?|cc[\s-]by[\s-]nc[\s-]nd(?:\s+\d\.\d)?", r"cc-by-nc-nd(?:-\d\.\d)?"),
     ("cc-by-nd", ("creative commons", "cc"), r"creative\s+commons\s+attribution[\s-]+no[\s-]?deriv\w*(?:\s+\d\.\d)?|cc[\s-]by[\s-]nd(?:\s+\d\.\d)?", r"cc-by-nd(?:-\d\.\d)?"),
-    ("odbl", ("odbl", "open database"), r"open\s+(?:data\s+commons\s+)?(?:open\s+)?database\s+licen[sc]e(?:,?\s*v?1\.0)?", r"odbl(?:-1\.0)?"),
+    ("odbl", ("odbl", "open database", "open data commons"), r"open\s+(?:data\s+commons\s+)?(?:open\s+)?database\s+licen[sc]e(?:,?\s*v?1\.0)?", r"odbl(?:-1\.0)?"),
     ("odc-by", ("open data commons",), r"open\s+data\s+commons\s+attribution\s+licen[sc]e", r"odc-by(?:-1\.0)?"),
     ("pddl", ("pddl", "public domain dedication"), r"public\s+domain\s+dedication\s+and\s+licen[sc]e", r"pddl(?:-1\.0)?"),
-    ("python-2.0", ("python",), r"python\s+software\s+foundation\s+licen[sc]e(?:" + V % "2" + r")?|psf\s+licen[sc]e", r"python-2\.0|psf-2\.0"),
+    ("python-2.0", ("python", "psf"), r"python\s+software\s+foundation\s+licen[sc]e(?:" + V % "2" + r")?|psf\s+licen[sc]e", r"python-2\.0|psf-2\.0"),
     ("ruby", ("ruby",), r"\bruby(?:'s)?\s+licen[sc]e", r"ruby"),
     ("php-3.01", ("php",), r"\bphp\s+licen[sc]e(?:,?\s*(?:version|v\.?)?\s*3\.01)?", r"php-3\.0?1?"),
     ("perl", ("perl",), r"same\s+terms\s+as\s+perl(?:\s+itself)?", r"perl_?5?"),
@@ -86,7 +86,7 @@ NAMES = (
     ("sspl-1.0", ("server side public",), r"server\s+side\s+public\s+licen[sc]e(?:,?\s*v?1)?", r"sspl-?1\.0"),
     ("elastic-2.0", ("elastic",), r"elastic\s+licen[sc]e(?:" + V % "2" + ")?", r"elastic-?2\.0"),
     ("llama", ("llama",), r"llama\s*\d*(?:\.\d)?\s+community\s+licen[sc]e", r"llama\d?(?:\.\d)?"),
-    ("openrail", ("openrail",), r"(?:creativeml\s+)?open\s*rail(?:[+-]*\+?m)?\s+licen[sc]e", r"openrail(?:\+\+)?(?:-m)?"),
+    ("openrail", ("openrail", "open rail"), r"(?:creativeml\s+)?open\s*rail(?:[+-]*\+?m)?\s+licen[sc]e", r"openrail(?:\+\+)?(?:-m)?"),
 )
 
 # Texts that name no license but are its wording, and statements without one.
@@ -175,8 +175,9 @@ class Scanner:
         priority, then the earlier rule stays.
         """
         found = []
+        flat = b" ".join(lowered.split())  # white space as the expressions' \\s+ takes it
         for keywords, gated in self.gates.items():
-            if any(k in lowered for k in keywords):
+            if any(k in flat for k in keywords):
                 for order, label, priority, confidence, expression in gated:
                     found += [(m.start(), -m.end(), -priority, order, label, confidence)
                               for m in expression.finditer(lowered)]

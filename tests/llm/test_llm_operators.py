@@ -218,6 +218,18 @@ def test_contained_detections_are_suppressed():
     assert len(licenses.rules()) > 200
 
 
+def test_gated_rules_find_what_all_rules_find():
+    names = ["Creative Commons Zero", "Redistribution and use in source and binary forms, with or without modification", "GNU General Public License version 3",
+             "Permission is hereby granted, free of charge, to any person obtaining a copy", "Open Database License", "PSF License", "Open RAIL-M License",
+             "Open Data Commons Database License", "released into the public domain", "All rights reserved", "Common Public License 1.0",
+             "do what the fuck you want to public license", "under the terms of the GNU General Public License as published by the Free Software Foundation"]
+    gated, all_ = licenses.Scanner(), licenses.Scanner([(*r[:3], ("",), r[4]) for r in licenses.rules()])
+    for name in names:
+        for blank in (" ", "\n", "  ", "\r\n\t"):
+            text = f"x {name} y".replace(" ", blank).lower().encode()
+            assert gated.detections(text) and gated.detections(text) == all_.detections(text), text
+
+
 # --- language model ------------------------------------------------------------------
 
 def test_language_model_base_and_normalisation(spark, odd, empty):
