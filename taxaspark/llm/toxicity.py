@@ -9,6 +9,7 @@ from taxaspark.llm.tables import class_shares, held_out, labelled_sample
 
 BUCKETS, GRAMS, MAX_WORDS = 1 << 18, (4, 5), 32
 THRESHOLD = 0.3
+EVIDENCE = 0.01     # sentences below this add up to no more than their highest, however long a text is
 WORD = np.zeros(256, bool)
 WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 STOP = np.zeros(256, bool)
@@ -147,7 +148,10 @@ def sentence_scores(pieces, weight, bias):
 
 
 def score(docs: DataFrame, model) -> DataFrame:
-    """``doc_id, score``: the noisy-or over all sentences of every whole text.
+    """``doc_id, score``: the noisy-or over the sentences with evidence of every whole text.
+
+    Every sentence has some probability from the bias alone, which would sum up with the
+    length of a text. So of the sentences below ``EVIDENCE`` only the highest counts.
 
     Null, empty and wordless texts have no sentence and score 0. Texts over 1 MiB
     are cut at white space into blocks whose sentences all count. A null doc_id
@@ -166,12 +170,14 @@ def score(docs: DataFrame, model) -> DataFrame:
 
 
 def document_scores(texts, weight, bias):
-    missed = np.zeros(len(texts))
+    missed, weak = np.zeros(len(texts)), np.zeros(len(texts))
     for group in X.groups(texts):
         index = np.array([i for i, _ in group])
         of, _, _, p = sentence_scores(Sentences([piece for _, piece in group]), weight, bias)
-        missed += np.bincount(index[of], np.log1p(-np.minimum(p, 1 - 1e-12)), len(texts))
-    return -np.expm1(missed)
+        strong = p >= EVIDENCE
+        missed += np.bincount(index[of[strong]], np.log1p(-np.minimum(p[strong], 1 - 1e-12)), len(texts))
+        np.maximum.at(weak, index[of[~strong]], p[~strong])
+    return -np.expm1(missed + np.log1p(-weak))
 
 
 def offending_sentences(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:

@@ -191,6 +191,18 @@ def test_toxicity_on_held_out_documents(labelled, odd, empty):
     assert toxicity.score(odd, model).count() == odd.count() and toxicity.score(empty, model).collect() == []
 
 
+def test_long_clean_text_is_not_toxic_for_its_length(labelled):
+    docs, labels = labelled
+    weight, bias = toxicity.train(docs, labels)
+    clean = [r["text"] for r in docs.join(labels, "doc_id").where("toxic = 0 AND quality = 1").sort("doc_id").collect()]
+    long_text = " ".join(clean * 9)
+    assert len(long_text.split()) > 100000
+    lines = long_text.replace(". ", "\n")
+    planted = lines + "\nSome zibblewort and grumquax here."
+    a, b, c = toxicity.document_scores([t.encode() for t in (long_text, lines, planted)], weight, bias)
+    assert max(a, b) < toxicity.THRESHOLD <= c
+
+
 # --- licenses ----------------------------------------------------------------------
 
 def test_base_phrases_by_brute_force(spark, odd, empty):
