@@ -21,7 +21,7 @@ LEAST = 6         # code points of a word
 TIMES = 5         # occurrences of a word
 FACTOR = 5        # a form is so many times as frequent
 SLIPS = 199       # a run loses a code point if this divides its checksum
-STATES = 4096     # states of one node that go to one task, about
+STATES = 16384    # states of one node that go to one task, about
 FLUSH = 1 << 18   # distinct words counted in a task before they are sent on
 
 
@@ -144,23 +144,30 @@ def arrivals(states: DataFrame, edges: DataFrame) -> DataFrame:
     leads_on = lambda end: F.when(end < length, F.contains(F.col("outs"), part(word, end, F.lit(1)))).otherwise(
         (end == length) & F.col("near").isNotNull())
 
-    whole = states.where("edits = 0").drop("edits").join(edges, ["node", "salt"])
-    # The offset of the first difference of label and rest; labels of one code point differ at 0.
-    differ = F.when(size == 1, F.lit(0)).otherwise(F.array_position(F.transform(
-        F.sequence(F.lit(0), size - 1), lambda i: part(word, pos + i, F.lit(1)) == part(label, i, F.lit(1))), F.lit(False)).cast("int") - 1)
-    whole = whole.withColumn("own", part(word, pos, size) == label).withColumn("k", F.when(F.col("own"), F.lit(None).cast("int")).otherwise(differ))
+    # Edges are dealt evenly by their copies: a hash table of a task's share spares the sort of the states.
+    edges = edges.hint("shuffle_hash")
+    whole = states.where("edits = 0").drop("edits").select(
+        "*", *[part(word, pos + i, F.lit(1)).alias(f"c{i}") for i in range(3)]).join(edges, ["node", "salt"])
+    # The offset of the first difference of a longer label and the rest of the word.
+    differ = F.array_position(F.transform(
+        F.sequence(F.lit(0), size - 1), lambda i: part(word, pos + i, F.lit(1)) == part(label, i, F.lit(1))), F.lit(False)).cast("int") - 1
+    whole = whole.withColumn("own", F.when(size == 1, F.col("c0") == label).otherwise(part(word, pos, size) == label)).withColumn(
+        "k", F.when((size > 1) & ~F.col("own"), differ))
     k, has = F.col("k"), pos + F.col("k") < length
     tail = part(label, k + 1, size - k - 1)
+    # Most labels are one code point, which differs at once: then the next code points of the word say all.
+    near_at = lambda i: F.when(F.col(f"c{i}") != "", F.contains(F.col("outs"), F.col(f"c{i}"))).otherwise(
+        (pos + i == length) & F.col("near").isNotNull())
     ways = {
-        "replaced": (pos + size, has & (tail == part(word, pos + k + 1, size - k - 1))),
-        "more": (pos + size - 1, tail == part(word, pos + k, size - k - 1)),
-        "less": (pos + size + 1, has & (part(label, k, size - k) == part(word, pos + k + 1, size - k))),
+        "replaced": (pos + size, (F.col("c0") != "") & near_at(1), has & (tail == part(word, pos + k + 1, size - k - 1))),
+        "more": (pos + size - 1, near_at(0), tail == part(word, pos + k, size - k - 1)),
+        "less": (pos + size + 1, (F.col("c1") == label) & near_at(2), has & (part(label, k, size - k) == part(word, pos + k + 1, size - k))),
     }
-    for name, (end, fits) in ways.items():
-        whole = whole.withColumn(name, ~F.col("own") & fits & leads_on(end))
-    whole = whole.where("own OR replaced OR more OR less").withColumn("to", F.explode(F.filter(
-        F.array(F.when(F.col("own"), step(pos + size, 0)), *[F.when(F.col(name), step(end, 1)) for name, (end, _) in ways.items()]),
-        lambda x: x.isNotNull())))
+    for name, (end, one, several) in ways.items():
+        whole = whole.withColumn(name, ~F.col("own") & F.when(size == 1, one).otherwise(several & leads_on(end)))
+    whole = whole.where("own OR replaced OR more OR less").withColumn("to", F.explode(F.array(
+        F.when(F.col("own"), step(pos + size, 0)).when(F.col("replaced"), step(pos + size, 1)),
+        *[F.when(F.col(name), step(ways[name][0], 1)) for name in ("more", "less")]))).where("to IS NOT NULL")
     edited = states.where("edits = 1").drop("edits").withColumn("first", part(word, pos, F.lit(1))).join(edges, ["node", "salt", "first"]).where(
         (part(word, pos, size) == label) & leads_on(pos + size)).withColumn("to", step(pos + size, 1))
     columns = ["word", "to", "child", "salts", "outs", "near", "near_n"]
