@@ -16,7 +16,7 @@ from taxaspark.llm.tables import materialize
 
 GROUP = 5            # conversations that share the opening of the first of them
 OPENING = 9          # h is a checksum modulo this
-SIBLINGS = 4096      # children of a node that are put in order at a time
+SIBLINGS = 256       # children of a node that are put in order at a time
 RULERS = 16          # one arc of so many is a ruler
 LAST = 1 << 16       # a contracted list of at most so many arcs is ranked in one task
 BLOCK = 1 << 16      # positions summed in one task
@@ -121,12 +121,15 @@ def next_siblings(nodes: DataFrame, siblings: int = SIBLINGS) -> DataFrame:
     another. So a parent with a great many children is ordered by many tasks.
     """
     of = nodes.select(F.col("node").alias("parent"), F.ceil(F.col("n_children") / siblings).alias("buckets"))
-    dealt = nodes.select("node", "parent").join(of, "parent").withColumn("bucket", F.pmod(F.xxhash64("node"), F.col("buckets")))
+    # Written, or the windows would keep the partitioning by parent that this join leaves.
+    dealt = materialize(nodes.select("node", "parent").join(of, "parent").withColumn(
+        "bucket", F.pmod(F.xxhash64("node"), F.col("buckets"))), "dealt")
     inside = W.partitionBy("parent", "bucket").orderBy("node")
-    placed = dealt.withColumn("following", F.lead("node").over(inside)).withColumn("place", F.row_number().over(inside))
+    placed = materialize(dealt.withColumn("following", F.lead("node").over(inside)).withColumn("place", F.row_number().over(inside)), "placed")
     across = W.partitionBy("parent").orderBy("bucket")
     heads = placed.where("place = 1").select("parent", "bucket", F.col("node").alias("head"))
-    turns = heads.select("parent", "bucket", F.lead("head").over(across).alias("next_head"), F.row_number().over(across).alias("turn"))
+    turns = materialize(heads.select(
+        "parent", "bucket", F.lead("head").over(across).alias("next_head"), F.row_number().over(across).alias("turn")), "heads")
     return placed.join(turns, ["parent", "bucket"]).select(
         "node", "parent", F.coalesce("following", "next_head").alias("following"), ((F.col("place") == 1) & (F.col("turn") == 1)).alias("eldest"))
 
