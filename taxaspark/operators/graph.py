@@ -1,7 +1,5 @@
 """Sample similarity graphs: edges, connected components, Fiedler vector, cut weights."""
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from taxaspark.lineage import materialize
@@ -68,30 +66,6 @@ def fiedler_vector(edges: DataFrame, seed: int = 0, tol: float = 1e-8) -> DataFr
     return vectors.select("id", F.col("vec")[0].alias("value"))
 
 
-def component_fiedler_vectors(edges: DataFrame, assigned: DataFrame) -> DataFrame:
-    """``(component, id, value)``: Fiedler vectors of many components, one group each.
-
-    For components of checked, moderate size; a group holds one component's
-    edges. Signs as in :func:`fiedler_vector`.
-    """
-    placed = edges.join(assigned.select(F.col("id").alias("a"), "component"), "a")
-
-    def solve(key, table):
-        ids, codes = np.unique(
-            np.concatenate([table.column("a").to_numpy(), table.column("b").to_numpy()]).astype(str), return_inverse=True)
-        a, b = np.split(codes, 2)
-        weight = np.zeros((len(ids), len(ids)))
-        np.add.at(weight, (a, b), table.column("weight").to_numpy())
-        weight += weight.T
-        _, vectors = np.linalg.eigh(np.diag(weight.sum(axis=1)) - weight)
-        value = vectors[:, 1]
-        size = np.round(np.abs(value), 9)
-        value = value * np.sign(value[np.nonzero(size == size.max())[0][-1]])
-        return pa.table({"component": pa.array([key[0].as_py()] * len(ids)), "id": pa.array(ids), "value": pa.array(value)})
-
-    return placed.groupBy("component").applyInArrow(solve, "component string, id string, value double")
-
-
 def cut_edges(edges: DataFrame, labels: DataFrame, left, right) -> DataFrame:
     """Weights of the edges between two parts; ``labels (id, label)``."""
     la = labels.select(F.col("id").alias("a"), F.col("label").alias("_la"))

@@ -5,10 +5,9 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from taxaspark import fixed_values as fixed
 from taxaspark.lineage import materialize
-from taxaspark.operators.graph import (
-    component_fiedler_vectors, component_sizes, components, fiedler_vector, similarity_graph,
-)
 from taxaspark.operators.distance import similarities
+from taxaspark.operators.fiedler import fiedler_vectors
+from taxaspark.operators.graph import component_sizes, components, similarity_graph
 from taxaspark.operators.ordering import exact_quantiles, hash_positions
 from taxaspark.operators.ordination import pcoa
 
@@ -104,27 +103,25 @@ def split_pcoa(distances: DataFrame, train_fraction: float, test_fraction: float
 
 
 def split_spectral(distances: DataFrame, train_fraction: float, test_fraction: float,
-                   seed: int = 0, group_limit: int = 1024, **eigen) -> DataFrame:
+                   seed: int = 0, **eigen) -> DataFrame:
     """Spectral split of the similarity graph: ``(id, component, value, label)``.
 
     Components of up to five samples train whole; each larger one is cut at the
-    tails of its Fiedler vector. Components up to ``group_limit`` samples are
-    solved side by side, one group each; the few larger ones, at most
-    samples / ``group_limit``, one after another as distributed eigenvectors.
+    tails of its Fiedler vector. All components are iterated together, whatever their
+    sizes. Entries that agree to seven digits of the component's largest are ties and get one label.
     """
     edges = materialize(similarity_graph(similarities(distances)), "edges")
     nodes = distances.select(F.col("a").alias("id")).unionByName(
         distances.select(F.col("b").alias("id"))).distinct()
-    assigned = components(nodes, edges)
+    assigned = materialize(components(nodes, edges), "assigned")
     sizes = materialize(component_sizes(assigned), "sizes")
-    size, small = F.col("size"), F.col("size") <= fixed.SMALL_COMPONENT
+    small = F.col("size") <= fixed.SMALL_COMPONENT
     among = lambda condition: assigned.join(sizes.where(condition), "component", "left_semi")
-    values = component_fiedler_vectors(edges, among(~small & (size <= group_limit)))
-    for row in sizes.where(~small & (size > group_limit)).orderBy("component").toLocalIterator():
-        members = assigned.where(F.col("component") == row.component).select(F.col("id").alias("a"))
-        vector = fiedler_vector(edges.join(members, "a", "left_semi"), seed=seed, **eigen)
-        values = values.unionByName(vector.withColumn("component", F.lit(row.component)), allowMissingColumns=False)
-    cut = tail_split(materialize(values, "fiedler"), test_fraction, 1 - train_fraction, "Test", "Train", keys=["component"])
+    values = materialize(fiedler_vectors(edges, among(~small), seed=seed, **eigen), "vectors")
+    largest = values.groupBy("component").agg(F.max("value").alias("largest"))  # the signs make it the largest by magnitude
+    even = materialize(values.join(largest, "component").select(
+        "component", "id", (F.round(F.col("value") / F.col("largest"), 7) * F.col("largest")).alias("value")), "fiedler")
+    cut = tail_split(even, test_fraction, 1 - train_fraction, "Test", "Train", keys=["component"])
     whole = among(small).select("id", "component", F.lit(None).cast("double").alias("value"), F.lit("Train").alias("label"))
     return whole.unionByName(cut.select("id", "component", "value", "label"))
 

@@ -447,3 +447,23 @@ def split_spectral(spark, sf):
     distances = D.sample_distances(B.profile(spark, sf), "jaccard")
     samples = B.samples(spark, sf).select("sample_id", "project")
     return L.train_test_split(samples, 0.7, 0.2, "spectral-mincut", distances=distances)
+
+
+# Suppliers of a region in two groups, near inside and far across: the Fiedler vector of two cliques
+# of p and q nodes is constant on each, sqrt(q / pn) and -sqrt(p / qn), the smaller one positive.
+@query("split_spectral_cliques", """WITH s AS (
+  SELECT 'SRS' || s_suppkey AS id, n_regionkey AS region, s_suppkey % 3 = 0 AS side FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+r AS (SELECT *, min(id) OVER (PARTITION BY region) AS component, count(*) OVER (PARTITION BY region) AS n,
+        count(*) OVER (PARTITION BY region, side) AS own, arg_max(side, id) OVER (PARTITION BY region) AS last FROM s),
+v AS (SELECT id, component, CASE WHEN n > 5 THEN sqrt((n - own) / (own * n)) * CASE WHEN 2 * own < n OR (2 * own = n AND side = last) THEN 1 ELSE -1 END END AS value FROM r)
+SELECT id, component, round(value, 5) + 0.0 AS value, CASE WHEN value IS NULL THEN 'Train'
+  WHEN value < quantile_cont(value, 0.2) OVER w THEN 'Test' WHEN value >= quantile_cont(value, 0.3) OVER w THEN 'Train' ELSE 'Excluded' END AS label
+FROM v WINDOW w AS (PARTITION BY component)""")
+def split_spectral_cliques(spark, sf):
+    from taxaspark.operators.tiles import tiled_pairs
+    s = B.table(spark, sf, "supplier").join(B.table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(
+        B.prefixed("SRS", "s_suppkey").alias("id"), F.col("n_regionkey").cast("string").alias("key"), F.lit(1.0).alias("x"),
+        (F.col("s_suppkey") % 3 == 0).cast("double").alias("w"))
+    pairs = tiled_pairs(s, term="shared", all_pairs=True)
+    distances = pairs.select("a", "b", F.when(F.col("s") == 0, 1.0).when(F.col("wa") == F.col("wb"), 0.1).otherwise(0.9).alias("d"))
+    return B.rounded(L.split_spectral(distances, 0.7, 0.2), 5)

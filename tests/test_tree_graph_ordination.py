@@ -4,6 +4,7 @@ import pytest
 from conftest import rows
 from taxaspark.operators import graph as G, ordination as O, split as L, tree as T
 from taxaspark.operators.eigen import leading_eigenvectors
+from taxaspark.operators.fiedler import fiedler_vectors
 
 
 @pytest.fixture(scope="module")
@@ -131,6 +132,36 @@ def test_fiedler_vector_separates_two_blocks_and_matches_numpy(spark):
     assert len(set(np.sign(got[:8]))) == 1 and np.sign(got[0]) != np.sign(got[8])
 
 
+def test_fiedler_vectors_of_all_components_at_once(spark):
+    """Components of 6 to 3,000 nodes in one iteration: against NumPy, and a closed form for the largest."""
+    rng = np.random.default_rng(7)
+    edges, members, want = [], [], {}
+    for c, n in enumerate([6, 7, 11, 40]):
+        w = np.triu(rng.random((n, n)) * (rng.random((n, n)) < 0.6) + 0.01, 1)
+        ids = [f"c{c}n{i:03}" for i in range(n)]
+        edges += [(ids[i], ids[j], float(w[i, j])) for i in range(n) for j in range(i + 1, n)]
+        members += [(i, ids[0]) for i in ids]
+        w = w + w.T
+        values, vectors = np.linalg.eigh(np.diag(w.sum(1)) - w)
+        v = vectors[:, 1]
+        want.update(zip(ids, v * np.sign(v[np.argmax(np.abs(v))])))
+    # Two stars of p and q leaves, their centres joined: few edges, a known cut.
+    ids = [f"s{i:04}" for i in range(3000)]
+    edges += [(ids[0], x, 1.0) for x in ids[2:1000]] + [(ids[1], x, 1.0) for x in ids[1000:]] + [(ids[0], ids[1], 1.0)]
+    members += [(i, "s") for i in ids]
+    got = {r.id: r.value for r in fiedler_vectors(
+        spark.createDataFrame(edges, "a string, b string, weight double"),
+        spark.createDataFrame(members, "id string, component string")).collect()}
+    assert len(got) == len(members)
+    np.testing.assert_allclose([got[i] for i in want], list(want.values()), atol=1e-6)
+    # By symmetry a matrix of four unknowns: the two centres and a leaf of each.
+    small = np.array([[999, -1, -998, 0], [-1, 2001, 0, -2000], [-1, 0, 1, 0], [0, -1, 0, 1.0]])
+    values, vectors = np.linalg.eig(small)
+    v = vectors[:, np.argsort(values.real)[1]].real
+    v = v / np.sqrt(v[0] ** 2 + v[1] ** 2 + 998 * v[2] ** 2 + 2000 * v[3] ** 2) * np.sign(v[2])
+    np.testing.assert_allclose([got[ids[0]], got[ids[1]], got[ids[2]], got[ids[2999]]], v, atol=1e-6)
+
+
 def test_spectral_split_keeps_small_components_in_training(spark):
     w = _two_blocks()
     ids = [f"s{i:02}" for i in range(16)] + ["z1", "z2"]
@@ -139,8 +170,6 @@ def test_spectral_split_keeps_small_components_in_training(spark):
     d[16, 17] = 0.5
     table = _table(spark, d, ids)
     labels = {r.id: r.label for r in L.split_spectral(table, 0.5, 0.5).collect()}
-    # The distributed eigenvector gives the same split as the grouped one.
-    assert labels == {r.id: r.label for r in L.split_spectral(table, 0.5, 0.5, group_limit=6).collect()}
     assert labels["z1"] == labels["z2"] == "Train"
     assert {labels[i] for i in ids[:8]} != {labels[i] for i in ids[8:16]}
     assert sum(v == "Test" for v in labels.values()) == 8
