@@ -132,6 +132,27 @@ def test_fiedler_vector_separates_two_blocks_and_matches_numpy(spark):
     assert len(set(np.sign(got[:8]))) == 1 and np.sign(got[0]) != np.sign(got[8])
 
 
+def test_closest_leaf_matches_all_pairs(spark):
+    """A random tree with negative branches, a node of many children and leaves of equal distance, against the pair table."""
+    rng = np.random.default_rng(3)
+    parents = [None] + [int(rng.integers(0, i)) if i > 40 else 0 for i in range(1, 160)]
+    inner = {p for p in parents if p is not None}
+    nodes = [(i, p, None if i in inner else f"L{i:03}", None if p is None else float(rng.integers(-2, 9)) / 4) for i, p in enumerate(parents)]
+    tree = spark.createDataFrame(nodes, "node_id long, parent_id long, name string, branch_length double")
+    names = [n[2] for n in nodes if n[2]]
+    keys, queries = names[::3], names + ["nowhere"]
+    d = {}
+    for r in T.patristic(tree).collect():
+        d[r.a, r.b] = d[r.b, r.a] = r.d
+    want = {q: (q, 0.0) if q in keys else min(((k, d[q, k]) for k in keys), key=lambda x: (x[1], x[0])) for q in names}
+    table = lambda x: spark.createDataFrame([(i,) for i in x], "name string")
+    got = {r["query"]: (r.answer, r.d) for r in T.closest_leaf(tree, table(queries), table(keys)).collect()}
+    assert got == want
+    alone = T.closest_leaf(tree, table(names), table(names[:1])).collect()
+    assert len(alone) == len(names) and {r.answer for r in alone} == {names[0]}
+    assert T.closest_leaf(tree, table(names), table([])).collect() == []
+
+
 def test_fiedler_vectors_of_all_components_at_once(spark):
     """Components of 6 to 3,000 nodes in one iteration: against NumPy, and a closed form for the largest."""
     rng = np.random.default_rng(7)
