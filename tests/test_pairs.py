@@ -144,6 +144,29 @@ def test_aligned_nn_matches_brute_force_with_copies(spark):
         assert got[name] == (best, pytest.approx(1 - h / 12))
 
 
+def test_nearest_sequences_meet_few_of_the_database(spark):
+    """Neighbours at 0 to 30 of 120 places, conserved columns, copies and two groups: exact, with counted comparisons."""
+    rng = np.random.default_rng(9)
+    letters = np.array(list("ACGT-"))
+    base = letters[rng.integers(0, 5, (400, 120))]
+    base[:, :40] = "-"  # a stretch that all share
+    near = base[rng.integers(0, 400, 60)].copy()
+    for i, row in enumerate(near):
+        at = 40 + rng.permutation(80)[:[0, 1, 3, 9, 14, 30][i % 6]]
+        row[at] = letters[(np.searchsorted(letters, row[at], sorter=np.argsort(letters)) + 1) % 5]
+    text = lambda m: ["".join(r) for r in m]
+    answers = [("x" if i % 4 else "y", s, f"d{i:03}") for i, s in enumerate(dict.fromkeys(text(base)))]
+    asked = sorted({(g, s) for i, s in enumerate(text(near)) for g in (["x"], ["x", "y"], ["none"])[i % 3]})
+    counted = []
+    got = {(r.grp, r.aln): (r.h, r.answer) for r in Q.nearest_sequences(
+        spark.createDataFrame(asked, "grp string, aln string"), spark.createDataFrame(answers, "grp string, aln string, answer string"), counted).collect()}
+    want = {(g, s): min((sum(x != y for x, y in zip(s, t)), a) for o, t, a in answers if o == g) for g, s in asked if g != "none"}
+    assert got == want
+    pairs = sum(o == g for g, _ in asked for o, _, _ in answers)
+    # The radius grows only for what is open: the first rounds settle most, for a few comparisons.
+    assert len(counted) >= 3 and sum(counted[:2]) < pairs / 20 and sum(counted) < pairs
+
+
 def test_best_of_lookups_first_table_wins_ties(spark):
     cols = "query string, answer string, similarity double"
     one = spark.createDataFrame([("a", "x", 0.5), ("b", "x", 0.1)], cols)
