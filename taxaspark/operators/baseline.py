@@ -4,7 +4,7 @@ Profiles are ``(sample_id, taxon_id, rel_abund)``, neighbour lookups ``(query,
 answer, similarity)``, predictions ``(sample_id, taxon_id, pred)``.
 """
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from taxaspark import fixed_values as fixed
 from taxaspark.functions import columns as C
@@ -12,7 +12,7 @@ from taxaspark.lineage import materialize
 from taxaspark.operators.ordering import join_on
 from taxaspark.operators.profile import normalise, relative_abundance
 from taxaspark.operators.sequences import best_of_lookups
-from taxaspark.operators.tiles import tiled_pairs
+from taxaspark.operators.set_join import top_similar_sets
 
 
 def predict_uniform(test: DataFrame) -> DataFrame:
@@ -42,20 +42,15 @@ def translate(test: DataFrame, nn: DataFrame, train: DataFrame) -> DataFrame:
 
 
 def nearest_samples(translated: DataFrame, train: DataFrame, k: int) -> DataFrame:
-    """The ``k`` training samples most similar to each test sample (Jaccard on taxa).
+    """The ``k`` training samples most similar to each test sample (Jaccard on taxa): ``(sample_id, neighbour, jaccard, rank)``.
 
-    Samples sharing nothing are not listed: they add no abundance to any target.
+    Always ``k`` rows if so many samples train: those that share nothing follow with a similarity of 0.
     Ties go to the smaller sample id.
     """
-    query = translated.where("target is not null").select("sample_id", "target").distinct()
-    sized = lambda df, key: df.join(df.groupBy("sample_id").agg(F.count(F.lit(1)).alias("w")), "sample_id").select(
-        F.col("sample_id").alias("id"), F.col(key).alias("key"), F.lit(1.0).alias("x"), "w")
-    base = train.where("rel_abund > 0").select("sample_id", "taxon_id").distinct()
-    pairs = tiled_pairs(sized(query, "target"), sized(base, "taxon_id"), term="shared")
-    scored = pairs.select(F.col("a").alias("sample_id"), F.col("b").alias("neighbour"),
-                          C.jaccard_from_sizes("s", "wa", "wb").alias("jaccard"))
-    order = W.partitionBy("sample_id").orderBy(F.desc("jaccard"), "neighbour")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    query = translated.select(F.col("sample_id").alias("id"), F.col("target").alias("key")).distinct()
+    base = train.where("rel_abund > 0").select(F.col("sample_id").alias("id"), F.col("taxon_id").alias("key")).distinct()
+    return top_similar_sets(query, base, k).select(
+        F.col("id").alias("sample_id"), F.col("other").alias("neighbour"), "jaccard", "rank")
 
 
 def taxon_weights(train: DataFrame, eps: float = None) -> DataFrame:

@@ -77,7 +77,7 @@ def _row_pairs(left_keys, right_keys, n_keys):
             yield lcut[key] + within // rcount[key], rcut[key] + within % rcount[key]
 
 
-def _tile_function(term, combine, symmetric, all_pairs):
+def _tile_function(term, combine, symmetric, all_pairs, top=None):
     f = TERMS[term]
     empty = math.inf if combine == "min" else 0.0
 
@@ -122,6 +122,11 @@ def _tile_function(term, combine, symmetric, all_pairs):
             emit = emit & (gl < gr) if lo == hi else emit & (gl != gr)
         i, j = np.nonzero(emit)
         a, b, s = lids[i], rids[j], total[i * shape[1] + j]
+        if top is not None:
+            # Ids are in string order, so the smaller one wins a tie.
+            order = np.lexsort((b, -(s / (weight[a] + weight[b] - s)), i))
+            order = order[np.arange(len(i)) - np.searchsorted(i[order], i[order]) < top]
+            a, b, s = a[order], b[order], s[order]
         if symmetric:
             a, b = np.minimum(a, b), np.maximum(a, b)
         ids = pa.array(names, pa.string())
@@ -142,13 +147,16 @@ def tiled_pairs(
     all_pairs: bool = False,
     block_ids: int = BLOCK_IDS,
     tile_rows: int = TILE_ROWS,
+    top: int = None,
 ) -> DataFrame:
     """``(a, b, s, wa, wb)``: the combined term over the keys ids a and b share.
 
     Inputs are ``(id, key, x, w)``; ``w`` is a number per id that is passed
     through. With one input all pairs ``a < b`` of it are taken, with two the
     pairs left × right. Pairs without a shared key are missing, unless
-    ``all_pairs`` asks for them (with an empty sum).
+    ``all_pairs`` asks for them (with an empty sum). ``top`` (two inputs, set sizes as
+    ``w``) lets a tile that sees all keys leave out pairs that are not among the ``top`` of their left
+    id by Jaccard similarity in the tile; the caller ranks what is left.
     """
     spark = left.sparkSession
     symmetric = right is None
@@ -206,7 +214,7 @@ def tiled_pairs(
             )
         )
     pairs = rows.groupBy("lo", "hi", "chunk").applyInArrow(
-        _tile_function(term, combine, symmetric, all_pairs), _OUT
+        _tile_function(term, combine, symmetric, all_pairs, top if chunks == 1 and not symmetric else None), _OUT
     )
     if chunks == 1:
         return pairs

@@ -71,8 +71,11 @@ def predict_nn(spark, sf):
     return B.rounded(BL.predict_nn(test, train, B.nn_lookup(spark, sf, train, test)), 9)
 
 
-@query("nearest_samples", f"""WITH {B.NN}, {WEIGHTS}, {translated_sql()}, {knn_sql(10)}
-SELECT a AS sample_id, b AS neighbour FROM near""")
+@query("nearest_samples", f"""WITH {B.NN}, {WEIGHTS}, {translated_sql()}, {knn_sql(10)},
+every AS (SELECT DISTINCT sample_id FROM tr)
+SELECT e.sample_id, y.sample_id AS neighbour FROM every e CROSS JOIN ts y
+  LEFT JOIN qs x ON x.sample_id = e.sample_id LEFT JOIN sh ON a = e.sample_id AND b = y.sample_id
+QUALIFY row_number() OVER (PARTITION BY e.sample_id ORDER BY coalesce(s / (x.k + y.k - s)::DOUBLE, 0) DESC, y.sample_id) <= 10""")
 def nearest_samples(spark, sf):
     train, test = B.train_test(spark, sf)
     translated = BL.translate(test, B.nn_lookup(spark, sf, train, test), train)

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from taxaspark.operators import distance as D, sequences as Q
+from taxaspark.operators.set_join import top_similar_sets
 from taxaspark.operators.tiles import tiled_pairs
 
 
@@ -167,6 +168,26 @@ def test_nearest_sequences_meet_few_of_the_database(spark):
     assert len(counted) >= 3 and sum(counted[:2]) < pairs / 20 and sum(counted) < pairs
 
 
+@pytest.mark.parametrize("k", [3, 12])
+def test_top_similar_sets(spark, k):
+    """Near copies, sets that share nothing, empty sets and ties: always k rows, from fewer meetings than pairs that share a key."""
+    rng = np.random.default_rng(5)
+    base = {f"b{i:02}": set(map(str, rng.integers(0, 5000, 30))) | set(map(str, rng.integers(0, 6, 3))) for i in range(30)}
+    for i in range(30, 70):  # five groups of near copies
+        base[f"b{i:02}"] = set(sorted(base[f"b{i % 5:02}"])[int(rng.integers(0, 4)):]) | {f"own{i}"}
+    queries = {f"q{i:02}": set(sorted(base[f"b{i % 70:02}"])[i % 3:]) for i in range(40)}
+    queries |= {"q90": set(), "q91": {"nowhere"}, "q92": {"1"}}
+    jaccard = lambda x, y: len(x & y) / max(1, len(x | y))
+    want = {(q, b, i + 1) for q, s in queries.items() for i, b in enumerate(sorted(base, key=lambda b: (-jaccard(s, base[b]), b))[:k])}
+    rows = lambda sets: spark.createDataFrame([(i, key) for i, s in sets.items() for key in s or [None]], "id string, key string")
+    counted = []
+    got = top_similar_sets(rows(queries), rows(base), k, counted=counted).collect()
+    assert {(r.id, r.other, r["rank"]) for r in got} == want and len(got) == len(want)
+    assert all(r.jaccard == pytest.approx(jaccard(queries[r.id], base[r.other])) for r in got)
+    every = sum(len(s & t) for s in queries.values() for t in base.values())
+    assert len(counted) > 1 and counted[0] < every / 3
+
+
 def test_best_of_lookups_first_table_wins_ties(spark):
     cols = "query string, answer string, similarity double"
     one = spark.createDataFrame([("a", "x", 0.5), ("b", "x", 0.1)], cols)
