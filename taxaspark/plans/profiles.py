@@ -145,11 +145,11 @@ def cohort_healthy_adults(spark, sf):
 
 
 @query("new_taxa_per_project", f"""WITH {B.COUNTS}, firsts AS (
-  SELECT taxon_id, min(CAST(substr(project, 4) AS INTEGER)) AS p FROM counts WHERE n >= 60 GROUP BY 1)
+  SELECT taxon_id, min(CAST(substr(project, 4) AS INTEGER)) AS p FROM counts GROUP BY 1)
 SELECT 'PRJ' || n_nationkey AS project, count(taxon_id) AS n_new FROM nation LEFT JOIN firsts ON p = n_nationkey GROUP BY 1""")
 def new_taxa_per_project(spark, sf):
     order = B.table(spark, sf, "nation").select(B.prefixed("PRJ", "n_nationkey").alias("project"), F.col("n_nationkey").alias("ord"))
-    return FL.new_taxa_per_project(P.distinct_taxa(B.counts(spark, sf).where("n >= 60")), order)
+    return FL.new_taxa_per_project(P.distinct_taxa(B.counts(spark, sf)), order)
 
 
 @query("project_taxa", f"""WITH {B.COUNTS}, {B.SAMPLES}, {COHORT}
@@ -296,7 +296,7 @@ def alignment_lengths(spark, sf):
 
 
 DAY_RESULTS = """r AS (SELECT DISTINCT o_orderpriority AS m, CAST(strftime(o_orderdate, '%Y%m') AS INTEGER) * 10
-  + CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS s FROM orders WHERE o_totalprice > 300000)"""
+  + CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS s FROM orders)"""
 
 
 @query("missing_runs", f"""WITH {DAY_RESULTS}
@@ -305,7 +305,7 @@ WHERE (ms.m, ss.s) NOT IN (SELECT m, s FROM r)""")
 def missing_runs(spark, sf):
     status = F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2).otherwise(3)
     month = F.date_format("o_orderdate", "yyyyMM").cast("int")
-    results = B.table(spark, sf, "orders").where("o_totalprice > 300000").select(
+    results = B.table(spark, sf, "orders").select(
         F.col("o_orderpriority").alias("Method"), (month * 10 + status).alias("Seed"))
     return V.missing_runs(results)
 
@@ -521,7 +521,7 @@ def top5_verdict(spark, sf):
     return H.top_hits_verdict(B.hits(spark, sf), _ids(spark, sf), 97)
 
 
-@query("amplicon_region_median", f"""WITH {B.COUNTS}, {B.SAMPLES}, {B.PROJECTS}, pt AS (SELECT DISTINCT project, taxon_id FROM counts WHERE n >= 50),
+@query("amplicon_region_median", f"""WITH {B.COUNTS}, {B.SAMPLES}, {B.PROJECTS}, pt AS (SELECT DISTINCT project, taxon_id FROM counts),
 r AS (SELECT project, CAST(floor(quantile_cont(p_size * 3, 0.5)) AS BIGINT) AS s,
              CAST(floor(quantile_cont(p_size * 3 + p_partkey, 0.5)) AS BIGINT) AS e
       FROM pt JOIN part ON taxon_id = 'ASV' || p_partkey GROUP BY 1)
@@ -531,7 +531,7 @@ def amplicon_region_median(spark, sf):
     report = B.table(spark, sf, "part").select(
         B.prefixed("ASV", "p_partkey").alias("QueryName"), (F.col("p_size") * 3).alias("TemplateStart"),
         (F.col("p_size") * 3 + F.col("p_partkey")).alias("TemplateEnd"))
-    taxa = P.distinct_taxa(B.counts(spark, sf).where("n >= 50"))
+    taxa = P.distinct_taxa(B.counts(spark, sf))
     regions = FL.amplicon_region(report, taxa, B.samples(spark, sf))
     return regions.join(B.projects(spark, sf).select("project", "amplicon"), "project", "left")
 
