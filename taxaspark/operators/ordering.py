@@ -2,23 +2,30 @@
 
 A window over ``(group)`` puts a whole group into one task, so a group with a
 third of all rows decides the run time. Here the group is first reduced to its
-distinct values with counts (map-side combined), then cut into buckets by a
-fixed monotone function of the value. A window runs inside one bucket only, and
-a second one over the bucket totals, whose number is bounded by the function,
-not by the data.
+distinct values with counts (map-side combined), then range-partitioned by group
+and value, at cut points Spark takes from the data, and written with the number
+of the range. A window runs inside a group's part of one range only, and a
+second one over the totals of these parts. Values in a narrow band, sequential
+ids and a hot group all spread over as many ranges as there are shuffle
+partitions.
 """
 
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-_STEPS_PER_OCTAVE = 64
+from taxaspark.lineage import materialize
 
 
-def value_bucket(value) -> Column:
-    """Monotone, deterministic bucket number of a double (1/64 octave wide)."""
-    magnitude = F.floor(F.log2(F.abs(value) * F.lit(2.0**40) + 1) * _STEPS_PER_OCTAVE)
-    return F.when(value < 0, -magnitude).otherwise(magnitude)
+def in_ranges(rows: DataFrame, *order) -> DataFrame:
+    """``rows`` with the number ``_bucket`` of their range in that order, written as a table.
+
+    Rows that agree in ``order`` share a range. The cut points come from a sample
+    of the rows, so another run may cut elsewhere; the table fixes them for all
+    who read it.
+    """
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(rows.repartitionByRange(ranges, *order).withColumn("_bucket", F.spark_partition_id()), "ordered")
 
 
 def join_on(left: DataFrame, right: DataFrame, keys, how="inner") -> DataFrame:
@@ -66,8 +73,8 @@ def ordered_histogram(df: DataFrame, keys, value: str, sums=None) -> DataFrame:
         df.where(v.isNotNull() & ~F.isnan(v))
         .groupBy(_group(keys).alias("_g"), v.alias(value))
         .agg(F.count(F.lit(1)).alias("n"), *extra)
-        .withColumn("_bucket", value_bucket(F.col(value)))
     )
+    hist = in_ranges(hist, "_g", value)
     inside = W.partitionBy("_g", "_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     running = hist.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0).cast("long")))
     return running.join(_bucket_starts(hist, F.sum("n")), ["_g", "_bucket"]).select(
@@ -119,18 +126,25 @@ def hash_positions(df: DataFrame, id_col: str, seed, keys=()) -> DataFrame:
     hash are the bucket, so buckets are even whatever the ids look like.
     """
     keys = list(keys)
-    hashed = df.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col))))
-    return _positions(hashed, keys, F.substring("_h", 1, 4), ["_h", id_col]).drop("_h")
+    hashed = df.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col)))).withColumn("_g", _group(keys))
+    return _positions(hashed.withColumn("_bucket", F.substring("_h", 1, 4)), ["_h", id_col]).drop("_h")
 
 
 def ordered_positions(df: DataFrame, ord_col: str, id_col: str, keys=()) -> DataFrame:
     """Position (from 0) of each row in the order of a number, then of the id."""
-    bucket = value_bucket(F.col(ord_col).cast("double"))
-    return _positions(df, list(keys), bucket, [ord_col, id_col])
+    return _positions(in_ranges(df.withColumn("_g", _group(list(keys))), "_g", ord_col, id_col), [ord_col, id_col])
+
+
+def running_totals(df: DataFrame, order, weight: str, name: str) -> DataFrame:
+    """``df`` with the sum ``name`` of ``weight`` over all rows before a row, in an order without ties."""
+    placed = in_ranges(df.withColumn("_g", _group([])), *order)
+    inside = W.partitionBy("_g", "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    within = placed.withColumn("_inside", F.coalesce(F.sum(weight).over(inside), F.lit(0).cast("long")))
+    return within.join(_bucket_starts(placed, F.sum(weight)), ["_g", "_bucket"]).withColumn(
+        name, F.col("_start") + F.col("_inside")).drop("_g", "_bucket", "_start", "_inside", "total")
 
 
-def _positions(df, keys, bucket, order):
-    bucketed = df.withColumn("_bucket", bucket).withColumn("_g", _group(keys))
+def _positions(bucketed, order):
     inside = W.partitionBy("_g", "_bucket").orderBy(*order)
     numbered = bucketed.withColumn("_row", F.row_number().over(inside))
     return (

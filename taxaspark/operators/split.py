@@ -1,14 +1,14 @@
 """Train/test splits of samples. Labels are ``Train``, ``Test`` and ``Excluded``."""
 
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from taxaspark import fixed_values as fixed
 from taxaspark.lineage import materialize
 from taxaspark.operators.distance import similarities
 from taxaspark.operators.fiedler import fiedler_vectors
 from taxaspark.operators.graph import component_sizes, components, similarity_graph
-from taxaspark.operators.ordering import exact_quantiles, hash_positions
+from taxaspark.operators.ordering import exact_quantiles, hash_positions, ordered_positions, running_totals
 from taxaspark.operators.ordination import pcoa
 
 
@@ -40,32 +40,55 @@ def split_greedy_projects(samples: DataFrame, train_test_ratio: float = 4.0) ->
     quota; equal sizes go by project id.
     """
     fraction = train_test_ratio / (1 + train_test_ratio)
-    sizes = samples.groupBy("project").agg(F.count(F.lit(1)).alias("n"))
-    # Projects reduce to distinct sizes, so the running sum over sizes stays short.
-    by_size = W.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, -1)
-    larger = sizes.groupBy("n").agg(F.sum("n").alias("_all")).withColumn(
-        "_before", F.coalesce(F.sum("_all").over(by_size), F.lit(0).cast("long")))
-    equal = W.partitionBy("n").orderBy("project")
-    placed = sizes.withColumn("_row", F.row_number().over(equal) - 1).join(larger, "n")
+    sizes = samples.groupBy("project").agg(F.count(F.lit(1)).alias("_n"))
+    # Prefix sums over ranges of (size, project): equal sizes spread like any others.
+    placed = running_totals(sizes, [F.desc("_n"), F.asc("project")], "_n", "_before")
     total = samples.agg(F.count(F.lit(1))).scalar()
     chosen = placed.withColumn("_quota", F.floor(total * F.lit(fraction))).select(
         "project",
-        F.when(F.col("_before") + F.col("_row") * F.col("n") < F.col("_quota"), "Train")
-        .otherwise("Test").alias("label"))
+        F.when(F.col("_before") < F.col("_quota"), "Train").otherwise("Test").alias("label"))
     return samples.join(chosen, "project")
 
 
-def split_leave_one_out(samples: DataFrame, buckets: int = 64) -> DataFrame:
-    """One fold per project, that project being the test set.
+def leave_one_out_folds(samples: DataFrame) -> DataFrame:
+    """``(fold, n_test, n_train)``: the projects, each the test set of one fold.
 
-    The result has projects × samples rows. Folds meet samples over hash
-    buckets of the fold, so neither list is held in one place.
+    With :func:`leave_one_out_label` this is the whole split; samples are
+    multiplied by folds only where :func:`split_leave_one_out` is asked for.
     """
-    folds = samples.select(F.col("project").alias("fold")).distinct().withColumn(
-        "_bucket", F.pmod(F.xxhash64("fold"), F.lit(buckets)).cast("int"))
-    spread = samples.withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-    return spread.join(folds, "_bucket").drop("_bucket").withColumn(
-        "label", F.when(F.col("project") == F.col("fold"), "Test").otherwise("Train"))
+    sizes = samples.groupBy(F.col("project").alias("fold")).agg(F.count(F.lit(1)).alias("n_test"))
+    return sizes.withColumn("n_train", samples.agg(F.count(F.lit(1))).scalar() - F.col("n_test"))
+
+
+def leave_one_out_label(fold, project="project"):
+    """Label of a sample in a fold; ``fold`` is a project id or a column."""
+    same = F.col(project).eqNullSafe(fold if isinstance(fold, Column) else F.lit(fold))
+    return F.when(same, "Test").otherwise("Train")
+
+
+def leave_one_out(samples: DataFrame, fold) -> DataFrame:
+    """One fold, as a map over the samples."""
+    return samples.withColumn("label", leave_one_out_label(fold))
+
+
+def split_leave_one_out(samples: DataFrame, chunk: int = 256) -> DataFrame:
+    """Every fold expanded: projects × samples rows, each project being the test set once.
+
+    The fold list is cut into chunks of ``chunk`` neighbouring projects. A sample
+    is copied once per chunk and expanded inside its row. The chunks are a table of
+    known size: a short list is broadcast, a long one has so many chunks that
+    their copies spread over the tasks.
+    """
+    folds = ordered_positions(samples.select("project").distinct(), "project", "project")
+    chunks = folds.groupBy(F.floor(F.col("position") / chunk).alias("_chunk")).agg(F.collect_list(F.struct("project")).alias("_folds"))
+    last = materialize(chunks, "folds")
+    n = F.coalesce(last.agg(F.max("_chunk")).scalar(), F.lit(-1).cast("long"))
+    spread = samples.withColumn("_n", n).where("_n >= 0").withColumn(
+        "_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n")))).drop("_n")
+    # Structs, because a list leaves nulls out: samples without a project are a fold too.
+    expanded = spread.join(last, "_chunk").withColumn("_fold", F.explode("_folds")).withColumn(
+        "fold", F.col("_fold.project")).drop("_chunk", "_folds", "_fold")
+    return expanded.withColumn("label", leave_one_out_label(F.col("fold")))
 
 
 def restrict_split(split: DataFrame, projects) -> DataFrame:
@@ -127,8 +150,23 @@ def split_spectral(distances: DataFrame, train_fraction: float, test_fraction: f
 
 
 def train_test_split(samples: DataFrame, train_fraction: float, test_fraction: float, method: str,
-                     distances: DataFrame = None, seed: int = 0, **options) -> DataFrame:
-    """Samples with a label, by method ``random``, ``pcoa`` or ``spectral-mincut``."""
+                     distances: DataFrame = None, seed: int = 0, coordinates: bool = False, axes: int = 2, **options):
+    """Samples with a label, by method ``random``, ``pcoa`` or ``spectral-mincut``.
+
+    ``coordinates=True`` gives also the ordination ``(id, pc)`` as a pair ``(split,
+    coordinates)``: for ``pcoa`` the one the split was made from; the other methods compute
+    it from ``distances`` where given, else it is ``None``.
+    """
+    if coordinates:
+        placed = None if distances is None else materialize(pcoa(distances, axes, seed=seed)[0], "coordinates")
+        if method == "pcoa":
+            options = {"coordinates": placed, **options}
+        labelled = _labelled(samples, train_fraction, test_fraction, method, distances, seed, options)
+        return labelled, options.get("coordinates", placed)
+    return _labelled(samples, train_fraction, test_fraction, method, distances, seed, options)
+
+
+def _labelled(samples, train_fraction, test_fraction, method, distances, seed, options):
     if method == "random":
         return split_random(samples, train_fraction, test_fraction, seed)
     if method == "pcoa":

@@ -63,8 +63,25 @@ def test_ordered_positions_follow_the_number(spark):
     assert rows(O.ordered_positions(df, "ord", "id").select("position", "id")) == [(0, "c"), (1, "a"), (2, "b"), (3, "d")]
 
 
-def test_value_bucket_is_monotone(spark):
+@pytest.mark.parametrize("values", ["id", "1000000 + id", "1e9 + id / 1e6", "pow(2, id % 60) + id"])
+def test_no_range_holds_over_three_times_its_share(spark, values):
+    """Sequential ids, a narrow band and a wide one: a hot group spreads over all ranges alike."""
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        df = spark.range(60000).selectExpr("if(id % 10 = 0, cast(id as string), 'hot') g", f"cast({values} as double) v")
+        placed = O.in_ranges(df, "g", "v")
+        sizes = [r["count"] for r in placed.groupBy("_bucket").count().collect()]
+        assert sum(sizes) == 60000 and max(sizes) <= 3 * 60000 / 16
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+
+
+def test_running_totals_over_ranges(spark):
     from pyspark.sql import functions as F
-    v = sorted([0.0, 1e-300, 1e-12, 0.1, 0.100001, 5.0, 1e10, -1e-9, -3.0, -1e8])
-    b = [r.b for r in spark.createDataFrame([(x,) for x in v], "v double").select("v", O.value_bucket(F.col("v")).alias("b")).orderBy("v").collect()]
-    assert b == sorted(b)
+    df = spark.createDataFrame([(f"p{i:03}", i % 7) for i in range(200)], "p string, n long")
+    got = [(r.p, r.t) for r in O.running_totals(df, [F.desc("n"), F.asc("p")], "n", "t").collect()]
+    want, before = {}, 0
+    for n, p in sorted((-(i % 7), f"p{i:03}") for i in range(200)):
+        want[p] = before
+        before -= n
+    assert dict(got) == want and len(got) == 200

@@ -261,3 +261,31 @@ def test_eigenvectors_need_many_products_on_a_path(spark):
     cells = [(f"{i:03}", f"{i + s:03}", 1.0) for i in range(n) for s in (-1, 1) if 0 <= i + s < n]
     _, values = leading_eigenvectors(spark.createDataFrame(cells, "a string, b string, w double"), 2)
     assert values == pytest.approx([2 * np.cos(np.pi * j / (n + 1)) for j in (1, 2)], abs=1e-9)
+
+
+def test_greedy_projects_of_equal_size_and_leave_one_out_folds(spark):
+    samples = spark.range(3000).selectExpr("cast(id as string) sample_id", "concat('p', lpad(cast(id as string), 5, '0')) project")
+    train = L.split_greedy_projects(samples, 2.0).where("label = 'Train'").select("project").collect()
+    assert sorted(r.project for r in train) == [f"p{i:05}" for i in range(2000)]
+    few = spark.createDataFrame([("a", "P"), ("b", "P"), ("c", "Q"), ("d", None)], "sample_id string, project string")
+    folds = {r.fold: (r.n_test, r.n_train) for r in L.leave_one_out_folds(few).collect()}
+    assert folds == {"P": (2, 2), "Q": (1, 3), None: (1, 3)}
+    one = {r.sample_id: r.label for r in L.leave_one_out(few, "P").collect()}
+    assert one == {"a": "Test", "b": "Test", "c": "Train", "d": "Train"}
+    for chunk in (1, 256):
+        every = L.split_leave_one_out(few, chunk=chunk).collect()
+        assert len(every) == 12 and {r.sample_id: r.label for r in every if r.fold == "P"} == one
+        assert [r.sample_id for r in every if r.fold is None and r.label == "Test"] == ["d"]
+    assert L.split_leave_one_out(few.where("false")).collect() == []
+
+
+def test_split_hands_back_its_coordinates(spark):
+    d = spark.createDataFrame([(f"s{i}", f"s{j}", float(j - i)) for i in range(6) for j in range(i + 1, 6)], "a string, b string, d double")
+    samples = spark.createDataFrame([(f"s{i}",) for i in range(6)], "sample_id string")
+    labels, placed = L.train_test_split(samples, 0.5, 0.3, "pcoa", distances=d, coordinates=True, axes=1)
+    pc = {r.id: r.pc[0] for r in placed.collect()}
+    order = sorted(pc, key=pc.get)
+    assert order in ([f"s{i}" for i in range(6)], [f"s{i}" for i in reversed(range(6))])
+    got = {r.sample_id: r.label for r in labels.collect()}
+    assert [got[s] for s in order] == ["Train"] * 3 + ["Excluded"] + ["Test"] * 2
+    assert L.train_test_split(samples, 0.5, 0.3, "random", coordinates=True)[1] is None
