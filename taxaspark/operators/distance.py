@@ -75,22 +75,35 @@ def _taxon_rows(distances):
     )
 
 
-def mean_linkage(profile: DataFrame, taxon_distances: DataFrame, **tiling) -> DataFrame:
+def mean_linkage(profile: DataFrame, taxon_distances: DataFrame, known: DataFrame = None, **tiling) -> DataFrame:
     """Mean taxon distance over taxa(a) × taxa(b) for all sample pairs ``a < b``.
 
     Two sparse products instead of one row per taxon pair and sample pair:
     first the summed distance of every taxon to a sample's taxa, then its sum
     over the other sample's taxa. The distance table holds ``a < b``; a taxon is
     at distance zero from itself. A missing distance between two taxa of the
-    profile raises: it would count as zero.
+    profile raises: it would count as zero. So do two distances of one pair that
+    differ. ``known (taxon_id)`` leaves out all other taxa of the profile; a
+    sample left without any raises, for its mean is taken over nothing.
     """
+    if known is not None:
+        whole, profile = profile, profile.join(known.select("taxon_id"), "taxon_id", "left_semi")
+        bare = whole.select("sample_id").join(profile.select("sample_id"), "sample_id", "left_anti").agg(
+            F.count_distinct("sample_id").alias("n"), F.min("sample_id").alias("first")).first()
+        if bare.n:
+            raise ValueError(f"{bare.n} samples have no known taxon, the first is {bare.first}")
     taxa = materialize(profile.select("taxon_id").distinct(), "taxa")
     listed = materialize(
         taxon_distances.where("a < b AND d IS NOT NULL")
         .join(taxa.select(F.col("taxon_id").alias("a")), "a", "left_semi")
-        .join(taxa.select(F.col("taxon_id").alias("b")), "b", "left_semi"), "taxon-distances")
+        .join(taxa.select(F.col("taxon_id").alias("b")), "b", "left_semi")
+        .groupBy("a", "b").agg(F.min("d").alias("d"), F.max("d").alias("_other")), "taxon-distances")
+    twice = listed.where("d <> _other").count()
+    if twice:
+        raise ValueError(f"{twice} pairs of taxa have two distances that differ")
+    listed = listed.drop("_other")
     n = taxa.count()
-    missing = n * (n - 1) // 2 - listed.select("a", "b").distinct().count()
+    missing = n * (n - 1) // 2 - listed.count()
     if missing:
         raise ValueError(f"{missing} pairs of the profile's {n} taxa have no distance")
     own = taxa.select(F.col("taxon_id").alias("id"), F.col("taxon_id").alias("key"), F.lit(0.0).alias("x"), F.lit(0.0).alias("w"))

@@ -4,7 +4,9 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
+from taxaspark import fixed_values as fixed
 from taxaspark.functions import columns as C
+from taxaspark.lineage import materialize
 from taxaspark.operators.ordering import join_on, ordered_histogram, tie_averaged_rank
 
 
@@ -51,10 +53,28 @@ def average_ranks(df: DataFrame, keys, value: str, out: str) -> DataFrame:
     return join_on(df, ranks, keys + ["_v"]).drop("_v")
 
 
+def average_ranks_of(df: DataFrame, keys, ranked: dict) -> DataFrame:
+    """Tie-averaged ranks of several columns, ``{value: out}``, from one ordering of (group, column, value).
+
+    A row with a null or NaN in any of them has no rank and goes.
+    """
+    keys = list(keys)
+    names = list(ranked)
+    doubles = df.withColumns({f"_v{i}": F.col(c).cast("double") for i, c in enumerate(names)})
+    sides = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(f"_v{i}").alias("v")) for i in range(len(names))]))
+    long = doubles.select(*keys, sides.alias("_s")).select(*keys, F.col("_s.side").alias("_side"), F.col("_s.v").alias("_v"))
+    ranks = materialize(ordered_histogram(long, [*keys, "_side"], "_v").select(
+        *keys, "_side", "_v", tie_averaged_rank().alias("_rank")), "ranks")
+    for i, c in enumerate(names):
+        own = ranks.where(F.col("_side") == i).select(*keys, F.col("_v").alias(f"_v{i}"), F.col("_rank").alias(ranked[c]))
+        doubles = join_on(doubles, own, [*keys, f"_v{i}"])
+    return doubles.drop(*[f"_v{i}" for i in range(len(names))])
+
+
 def spearman(df: DataFrame, keys, x: str, y: str) -> DataFrame:
     """Rank correlation per group; null when either side is constant."""
     keys = list(keys)
-    ranked = average_ranks(average_ranks(df, keys, x, "_rx"), keys, y, "_ry")
+    ranked = average_ranks_of(df, keys, {x: "_rx", y: "_ry"})
     # Sums of centred ranks need no second pass: the mean rank is (n + 1) / 2.
     sums = ranked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.sum(F.col("_rx") * F.col("_ry")).alias("_xy"),
@@ -65,6 +85,44 @@ def spearman(df: DataFrame, keys, x: str, y: str) -> DataFrame:
     return sums.select(*keys, rho.alias("SpearmanCorr"))
 
 
+def evaluation_violations(predictions: DataFrame, truth: DataFrame, keys=("sample_id",), groups: DataFrame = None,
+                          prediction_tolerance: float = fixed.PROFILE_SUM_TOLERANCE,
+                          truth_tolerance: float = fixed.PROFILE_SUM_TOLERANCE) -> DataFrame:
+    """``(…keys, violation)`` of predictions or truth that cannot be scored as they are.
+
+    ``no prediction``: a sample of the truth that a group lacks, for every group found or listed
+    in ``groups`` (all keys but the sample); ``not in truth``: a sample or taxon beyond the
+    truth; ``missing taxon``; ``prediction sum`` and ``truth sum``: shares that do not sum to 1 within the
+    tolerance (an infinite or missing sum included). Keys of a truth's own violation are null but the sample.
+    """
+    keys = list(keys)
+    others = [k for k in keys if k != "sample_id"]
+    cells = truth.select("sample_id", "taxon_id", F.lit(True).alias("_true"))
+    sample = truth.groupBy("sample_id").agg(F.count(F.lit(1)).alias("_wanted"), F.sum("rel_abund").alias("_sum"))
+    joined = predictions.select(*keys, "taxon_id", "lp").join(cells, ["sample_id", "taxon_id"], "left")
+    found = joined.groupBy(*keys).agg(
+        F.count("_true").alias("_hit"), F.count(F.lit(1)).alias("_all"), F.sum(F.exp("lp")).alias("_total"))
+    off = lambda total, tolerance: ~F.coalesce(F.abs(F.col(total) - 1) <= tolerance, F.lit(False))
+    flags = F.filter(F.array(
+        F.when(F.col("_hit") < F.col("_all"), "not in truth"),
+        F.when(F.col("_hit") < F.coalesce("_wanted", F.lit(0).cast("long")), "missing taxon"),
+        F.when(off("_total", prediction_tolerance), "prediction sum")), lambda x: x.isNotNull())
+    bad = found.join(sample, "sample_id", "left").select(*keys, F.explode(flags).alias("violation"))
+    wrong_truth = sample.where(off("_sum", truth_tolerance)).select(
+        *[F.col(k) if k == "sample_id" else F.lit(None).cast(predictions.schema[k].dataType).alias(k) for k in keys],
+        F.lit("truth sum").alias("violation"))
+    listed = found.select(*others).distinct() if others else None
+    if others and groups is not None:
+        listed = listed.unionByName(groups.select(*others)).distinct()
+    wanted = sample.select("sample_id")
+    if others:
+        # One row per group and sample: as many as the predictions must have.
+        wanted = listed.withColumn("_one", F.lit(1)).join(wanted.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    lacking = join_on(wanted.select(*keys), found.select(*keys), keys, "left_anti").select(
+        *keys, F.lit("no prediction").alias("violation"))
+    return bad.unionByName(wrong_truth).unionByName(lacking)
+
+
 def evaluate(predictions: DataFrame, truth: DataFrame, keys=("sample_id",), taxa_column: str = "NumTaxa") -> DataFrame:
     """One row of metrics per group of ``predictions (…keys, taxon_id, lp)``.
 
@@ -74,7 +132,9 @@ def evaluate(predictions: DataFrame, truth: DataFrame, keys=("sample_id",), taxa
     :func:`prediction_gaps` lists what is missing.
     """
     keys = list(keys)
-    both = _paired(predictions, truth, keys).withColumn("_p", F.exp("lp")).withColumn("_lt", F.ln("t"))
+    # Written once: metrics and ranks read it, and predictions can be dear.
+    both = materialize(_paired(predictions, truth, keys).select(*keys, "taxon_id", "lp", "t"), "paired").withColumn(
+        "_p", F.exp("lp")).withColumn("_lt", F.ln("t"))
     error = F.lit(math.log10(math.e)) * (F.col("lp") - F.col("_lt"))
     sums = both.groupBy(*keys).agg(
         F.sum(F.when(F.col("t") > 0, F.col("t") * (F.col("_lt") - F.col("lp"))).otherwise(F.lit(0.0))).alias("KL_err"),
@@ -85,7 +145,8 @@ def evaluate(predictions: DataFrame, truth: DataFrame, keys=("sample_id",), taxa
     # Ranks of single-precision logs, as models return them: equal shares stay equal.
     single = both.select(*keys, F.col("_lt").cast("float").alias("t"), F.col("lp").cast("float").alias("lp"))
     rho = spearman(single, keys, "t", "lp")
-    return join_on(_without_gaps(sums, truth, keys, taxa_column), rho, keys)
+    # Written before the join: a join that drops a group must not drop its error.
+    return join_on(materialize(_without_gaps(sums, truth, keys, taxa_column), "scores"), rho, keys)
 
 
 def log_softmax(logits: DataFrame, keys=("sample_id",), mask: str = None, out: str = "lp") -> DataFrame:

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from taxaspark.functions import columns as C
+from taxaspark.operators.ordering import ordered_positions
 
 
 def normalise(df: DataFrame, value: str, out: str, keys=("sample_id",)) -> DataFrame:
@@ -110,6 +111,21 @@ def distinct_taxa(counts: DataFrame, samples: DataFrame = None, taxa: DataFrame
     return counts.where("n > 0").select(*by, "taxon_id").distinct()
 
 
+def marker_index(records: DataFrame) -> DataFrame:
+    """``(taxon_id, marker_id, ord)`` from record names ``SGB<n>__<gene>``, in the order of ``offset`` within a taxon.
+
+    Records ``(record, offset)`` of other names are left out, names that repeat
+    stay. A name whose part before the double underscore does not end with a digit raises.
+    """
+    taxon = F.substring_index("record", "__", 1)
+    checked = F.when(taxon.rlike("[0-9]$"), taxon).otherwise(
+        F.raise_error(F.concat(F.lit("no taxon in record "), F.col("record"))).cast("string"))
+    named = records.where(F.col("record").startswith("SGB")).select(
+        checked.alias("taxon_id"), F.col("record").alias("marker_id"), "offset")
+    return ordered_positions(named, "offset", "marker_id", ["taxon_id"]).select(
+        "taxon_id", "marker_id", F.col("position").cast("int").alias("ord"))
+
+
 def compound_marker_index(indexes) -> DataFrame:
     """Concatenate marker tables ``(taxon_id, marker_id, ord)`` in source order."""
     parts = [df.withColumn("source_ord", F.lit(i)) for i, df in enumerate(indexes)]

@@ -177,6 +177,20 @@ def read_results(spark, path: str) -> DataFrame:
     ).drop("_f", "_file")
 
 
+def write_results(scores: DataFrame, path: str) -> None:
+    """Metrics of one method as a table with a header, ``sample_id`` as ``SampleId``; :func:`read_results` reads it."""
+    columns = [F.col("sample_id").alias("SampleId") if c == "sample_id" else F.col(c)
+               for c in scores.columns if c == "sample_id" or c in schema.RESULTS.names]
+    scores.select(*columns).write.mode("overwrite").csv(path, sep="\t", header=True)
+
+
+def read_record_names(spark, path: str) -> DataFrame:
+    """``(record, length, offset)`` of a FASTA index: offsets follow the order of the records."""
+    f = F.split("value", "\t")
+    return spark.read.text(path).where("value <> ''").select(
+        f[0].alias("record"), F.get(f, F.lit(1)).cast("long").alias("length"), F.get(f, F.lit(2)).cast("long").alias("offset"))
+
+
 def write_split(split: DataFrame, path: str) -> None:
     """``label=Train`` and ``label=Test`` tables; reading the parent gives both."""
     split.where(F.col("label").isin("Train", "Test")).write.partitionBy("label").csv(path, sep="\t", header=True)

@@ -204,3 +204,15 @@ def test_mean_linkage_of_single_taxon_samples_and_with_a_missing_distance(spark)
     assert got == {("a", "b"): 0.0, ("a", "c"): 1.5, ("b", "c"): 1.5}
     with pytest.raises(ValueError, match="1 pairs"):
         D.sample_distances(profile, "precomputed", table.where("false"))
+
+
+def test_mean_linkage_over_known_taxa_and_with_two_distances(spark):
+    profile = spark.createDataFrame([("a", "T", 1.0), ("b", "U", 1.0), ("c", "V", 1.0)], "sample_id string, taxon_id string, rel_abund double")
+    table = spark.createDataFrame([("T", "U", 3.0), ("T", "U", 3.0)], "a string, b string, d double")
+    known = spark.createDataFrame([("T",), ("U",)], "taxon_id string")
+    with pytest.raises(ValueError, match="1 samples have no known taxon, the first is c"):
+        D.mean_linkage(profile, table, known)
+    got = D.mean_linkage(profile.where("sample_id <> 'c'"), table, known).collect()
+    assert [(r.a, r.b, r.d) for r in got] == [("a", "b", 3.0)]  # a pair listed twice counts once
+    with pytest.raises(ValueError, match="two distances"):
+        D.mean_linkage(profile.where("sample_id <> 'c'"), table.unionByName(table.selectExpr("a", "b", "d + 1 AS d")))

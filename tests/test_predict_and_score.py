@@ -255,3 +255,44 @@ def test_predictions_with_gaps_raise(spark):
             with pytest.raises(Exception, match="do not cover"):
                 M.loss(gappy.drop("Method"), truth, "kl", reduction).collect()
     assert [tuple(r) for r in M.prediction_gaps(spark.createDataFrame(whole[1:], lp), truth, keys).collect()] == [("m", "s1", "x")]
+
+
+def test_violations_of_predictions_and_truth(spark):
+    truth = spark.createDataFrame([("s1", "x", 0.5), ("s1", "y", 0.5), ("s2", "x", 1.0), ("s3", "x", 0.9)], "sample_id string, taxon_id string, rel_abund double")
+    half = math.log(0.5)
+    rows_ = [("m", "s1", "x", half), ("m", "s1", "y", half), ("m", "s2", "x", -1.0), ("m", "s3", "x", 0.0),
+             ("o", "s1", "x", half), ("o", "s1", "z", half), ("o", "s2", "x", 0.0), ("o", "s4", "x", 0.0)]
+    lp = spark.createDataFrame(rows_, "Method string, sample_id string, taxon_id string, lp double")
+    groups = spark.createDataFrame([("m",), ("p",)], "Method string")
+    got = {tuple(r) for r in M.evaluation_violations(lp, truth, ("Method", "sample_id"), groups).collect()}
+    assert got == {("m", "s2", "prediction sum"), ("o", "s1", "not in truth"), ("o", "s1", "missing taxon"), ("o", "s4", "not in truth"),
+                   ("o", "s3", "no prediction"), ("p", "s1", "no prediction"), ("p", "s2", "no prediction"), ("p", "s3", "no prediction"),
+                   (None, "s3", "truth sum")}
+
+
+def test_a_study_from_its_files_to_one_result_per_method(spark, study, tmp_path):
+    from taxaspark.operators import evaluation as E
+    from taxaspark.sources import files as S
+    _, _, _, train_df, test_df, lookup = study
+    parts = {"Train": train_df, "Test": test_df}
+    split = None
+    for label, df in parts.items():
+        part = df.select("sample_id").distinct().selectExpr("sample_id", "'P' project", f"'{label}' label")
+        split = part if split is None else split.unionByName(part)
+    S.write_split(split, str(tmp_path / "split"))
+    S.write_nn_lookup(lookup, str(tmp_path / "nn"))
+    counts = train_df.unionByName(test_df).selectExpr("sample_id", "taxon_id", "cast(round(rel_abund * 1e6) as long) n").toPandas()
+    wide = counts.pivot_table(index="taxon_id", columns="sample_id", values="n", aggfunc="sum", fill_value=0)
+    wide.index.name = "asv"
+    wide.to_csv(tmp_path / "P.txt", sep="\t")
+    methods = E.evaluate_study(spark, str(tmp_path / "split"), str(tmp_path / "P.txt"), str(tmp_path / "nn"), str(tmp_path / "out"), ks=(1, 3))
+    assert methods == ["uniform", "nearest_neighbor", "nearest_neighbor_KNN_1", "nearest_neighbor_KNN_3"]
+    back = S.read_results(spark, str(tmp_path / "out")).collect()
+    direct = {(r.Method, r.sample_id): r for r in E.evaluate_all(test_df, train_df, lookup, ks=(1, 3)).collect()}
+    assert len(back) == len(direct) == 4 * test_df.select("sample_id").distinct().count()
+    for r in back:
+        assert r.KL_err == pytest.approx(direct[r.Method, r.SampleId].KL_err, abs=1e-3) and r.Seed is None
+    assert E.evaluate_study(spark, "nowhere", "nowhere", "nowhere", str(tmp_path / "out"), ks=(1, 3), overwrite=False) == []
+    lost = test_df.withColumn("rel_abund", test_df.rel_abund * 0.5)
+    with pytest.raises(ValueError, match="truth sum"):
+        E.evaluate_all(lost, train_df, lookup, ks=())

@@ -312,3 +312,12 @@ def test_results_go_by_the_header_of_each_file(spark, tmp_path):
     _write(tmp_path, "other.tsv", "s1\t1\n")
     with pytest.raises(Exception, match="no header"):
         S.read_results(spark, str(tmp_path)).collect()
+
+
+def test_marker_index_from_record_names(spark):
+    from taxaspark.operators.profile import marker_index
+    data = [("SGB2__g", 30), ("SGB10__b", 20), ("SGB2__a", 40), ("EUK1__x", 5), ("SGB2__g", 10), ("SGB10__c__d", 50)]
+    got = rows(marker_index(spark.createDataFrame(data, "record string, offset long")))
+    assert got == [("SGB10", "SGB10__b", 0), ("SGB10", "SGB10__c__d", 1), ("SGB2", "SGB2__a", 2), ("SGB2", "SGB2__g", 0), ("SGB2", "SGB2__g", 1)]
+    with pytest.raises(Exception, match="no taxon in record"):
+        marker_index(spark.createDataFrame([("SGBx__g", 1)], "record string, offset long")).collect()
