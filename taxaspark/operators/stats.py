@@ -105,9 +105,14 @@ def seed_counts(results: DataFrame, by, seed_cols=("DataSplitSeed", "Seed")) ->
         F.count_distinct(F.struct(*filled)).alias("n_runs"))
 
 
-def seed_table(results: DataFrame, metric: str, seeds, how: str = "mean") -> DataFrame:
-    """One row per method, one column per seed, mean and population deviation over seeds."""
+def seed_table(results: DataFrame, metric: str, seeds=None, how: str = "mean") -> DataFrame:
+    """One row per method, one column per seed, mean and population deviation over seeds.
+
+    Without ``seeds`` every seed of the results has its column, in ascending order.
+    """
     cells = per_seed(results, metric, how)
+    if seeds is None:
+        seeds = sorted(r[0] for r in results.select("Seed").distinct().dropna().collect())
     wide = cells.groupBy("Method").pivot("Seed", list(seeds)).agg(F.first(metric))
     named = wide.select("Method", *[F.col(str(s)).alias(f"seed_{s}") for s in seeds])
     over = cells.groupBy("Method").agg(F.avg(metric).alias("mean"), F.stddev_pop(metric).alias("std"))

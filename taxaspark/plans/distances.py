@@ -314,16 +314,6 @@ def pcoa_explained(spark, sf):
     return B.rounded(explained, 5)
 
 
-@query("offline_embeddings", """SELECT DISTINCT p_brand AS taxon_id, CASE WHEN p_brand < 'Brand#2' THEN 4 END AS dims FROM part""")
-def offline_embeddings(spark, sf):
-    """Principal coordinates of some brands, set against the list of all: null off the list."""
-    inside = B.brand_distances(spark, sf).where("a < 'Brand#2' and b < 'Brand#2'")
-    coordinates, _ = O.pcoa(inside, 4)
-    taxa = B.table(spark, sf, "part").select(F.col("p_brand").alias("taxon_id")).distinct()
-    table, _ = O.offline_embeddings(taxa, coordinates)
-    return table.select("taxon_id", F.when(F.col("vec").isNotNull(), F.size("vec")).alias("dims"))
-
-
 @query("missing_embeddings", "SELECT DISTINCT p_brand AS taxon_id FROM part WHERE p_brand >= 'Brand#2'")
 def missing_embeddings(spark, sf):
     coordinates = B.table(spark, sf, "part").where("p_brand < 'Brand#2'").groupBy(F.col("p_brand").alias("id")).agg(
@@ -374,6 +364,17 @@ def split_pcoa_plane(spark, sf):
     return B.rounded(L.split_pcoa(_plane(spark, sf), 0.7, 0.2, train_is_left=False), 4)
 
 
+@query("offline_embeddings", f"""WITH {POINTS}
+SELECT id AS taxon_id, round(p1, 4) + 0.0 AS x, round(p2, 4) + 0.0 AS y FROM pc UNION ALL SELECT n_name, NULL, NULL FROM nation""")
+def offline_embeddings(spark, sf):
+    """Principal coordinates of the suppliers, set against a list that names nations too: null off the coordinates."""
+    coordinates, _ = O.pcoa(_plane(spark, sf), 2)
+    taxa = B.table(spark, sf, "supplier").select(B.prefixed("SRS", "s_suppkey").alias("taxon_id")).unionByName(
+        B.table(spark, sf, "nation").select(F.col("n_name").alias("taxon_id")))
+    table, _ = O.offline_embeddings(taxa, coordinates)
+    return B.rounded(table.select("taxon_id", F.get("vec", F.lit(0)).alias("x"), F.get("vec", F.lit(1)).alias("y")), 4)
+
+
 # --- splits ---------------------------------------------------------------------------
 
 @query("split_random", f"WITH {B.split_sql()} SELECT sample_id, project, label FROM split")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from taxaspark.lineage import scratch_path
+from taxaspark.operators.profile import marker_index
 from taxaspark.plans import bind as B
 from taxaspark.plans.registry import query
 from taxaspark.sources import files as S
@@ -139,6 +140,20 @@ def split_round_trip(spark, sf):
     return S.read_split(spark, path, "sample_id string, project string, label string")
 
 
+@query("marker_index_names", """WITH r AS (
+  SELECT 'SGB' || l_suppkey AS taxon_id, 'SGB' || l_suppkey || '__P' || l_partkey AS marker_id,
+    l_orderkey * 10 + l_linenumber AS o FROM lineitem WHERE l_returnflag <> 'R')
+SELECT taxon_id, marker_id, CAST(row_number() OVER (PARTITION BY taxon_id ORDER BY o, marker_id) - 1 AS INTEGER) AS ord FROM r""")
+def marker_index_names(spark, sf):
+    """Line items as FASTA records, written as an index and read back; returned ones are of another kind."""
+    path = scratch_path(spark, "fai")
+    kind = F.when(F.col("l_returnflag") == "R", "EUK").otherwise("SGB")
+    name = F.concat(kind, F.col("l_suppkey").cast("string"), F.lit("__P"), F.col("l_partkey").cast("string"))
+    B.table(spark, sf, "lineitem").select(F.concat_ws(
+        "\t", name, F.lit("32"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string"), F.lit("60"), F.lit("61"))).write.text(path)
+    return marker_index(S.read_record_names(spark, path))
+
+
 @query("embedding_shards", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT vec_id) AS BIGINT) AS ids, CAST(ceil(count(*) / 64) AS BIGINT) AS shards FROM embeddings")
 def embedding_shards(spark, sf):
     path = scratch_path(spark, "shards")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from taxaspark import fixed_values as fixed
 from taxaspark.lineage import materialize
-from taxaspark.operators import baseline as BL, metrics as M, sequences as Q, tree as T
+from taxaspark.operators import baseline as BL, evaluation as E, metrics as M, sequences as Q, tree as T
 from taxaspark.operators.distance import both_ways
 from taxaspark.operators.ordering import hash_positions
 from taxaspark.plans import bind as B
@@ -141,8 +141,8 @@ NATION_PROFILE = """oc AS (
   SELECT 'C' || o_custkey AS sample_id, 'SRS' || l_suppkey AS taxon_id, sum(l_quantity) AS n, max(o_orderstatus) AS st
   FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
 op AS (SELECT sample_id, taxon_id, n / sum(n) OVER (PARTITION BY sample_id) AS rel_abund FROM oc),
-trainc AS (SELECT op.* FROM op JOIN customer ON sample_id = 'C' || c_custkey WHERE c_mktsegment = 'BUILDING' AND taxon_id IN (
-  SELECT 'SRS' || s_suppkey FROM supplier WHERE s_acctbal >= 4000)),
+trainc AS (SELECT op.* FROM op JOIN customer ON sample_id = 'C' || c_custkey WHERE c_mktsegment <> 'MACHINERY' AND taxon_id IN (
+  SELECT 'SRS' || s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'EUROPE')),
 testc AS (SELECT op.* FROM op JOIN customer ON sample_id = 'C' || c_custkey WHERE c_mktsegment = 'MACHINERY')"""
 
 
@@ -155,17 +155,23 @@ g AS (SELECT taxon_id AS answer, exp(avg(ln(rel_abund + 1e-6))) AS weight FROM t
 w AS (SELECT sample_id, taxon_id, coalesce(weight, 0) AS w FROM testc LEFT JOIN cl ON query = taxon_id LEFT JOIN g USING (answer))
 SELECT sample_id, taxon_id, round(w / sum(w) OVER (PARTITION BY sample_id), 9) AS pred FROM w""")
 def predict_tree_nn(spark, sf):
-    """Customers as samples, suppliers as taxa: the closest training supplier on the tree."""
+    """Customers as samples, suppliers as taxa: the closest training supplier on the tree.
+
+    One segment is the test set, the others train; suppliers of one region are new to it.
+    """
     from taxaspark.operators.profile import relative_abundance
     n = B.table(spark, sf, "orders").join(B.table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy(
         B.prefixed("C", "o_custkey").alias("sample_id"), B.prefixed("SRS", "l_suppkey").alias("taxon_id")).agg(
         F.sum("l_quantity").alias("n"))
     profile = relative_abundance(n)
-    segment = lambda s: B.table(spark, sf, "customer").where(F.col("c_mktsegment") == s).select(
+    segment = lambda test: B.table(spark, sf, "customer").where((F.col("c_mktsegment") == "MACHINERY") == F.lit(test)).select(
         B.prefixed("C", "c_custkey").alias("sample_id"))
-    known = B.table(spark, sf, "supplier").where("s_acctbal >= 4000").select(B.prefixed("SRS", "s_suppkey").alias("taxon_id"))
-    train = profile.join(segment("BUILDING"), "sample_id", "left_semi").join(known, "taxon_id", "left_semi")
-    test = profile.join(segment("MACHINERY"), "sample_id", "left_semi")
+    nations = B.table(spark, sf, "nation").join(
+        B.table(spark, sf, "region").where("r_name <> 'EUROPE'"), F.col("n_regionkey") == F.col("r_regionkey"))
+    known = B.table(spark, sf, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"), "left_semi").select(
+        B.prefixed("SRS", "s_suppkey").alias("taxon_id"))
+    train = profile.join(segment(False), "sample_id", "left_semi").join(known, "taxon_id", "left_semi")
+    test = profile.join(segment(True), "sample_id", "left_semi")
     closest = T.closest_leaf(B.tree(spark, sf), test.select("taxon_id").distinct(), train.select("taxon_id").distinct())
     return B.rounded(BL.predict_tree_nn(test, train, closest), 9)
 
@@ -224,12 +230,7 @@ def evaluate_baselines(spark, sf):
     """Flagship: predict every test profile with six baselines and score each sample."""
     train, test = B.train_test(spark, sf)
     nn = B.nn_lookup(spark, sf, train, test)
-    neighbours = BL.predict_nn_all(test, train, nn, ks=(10, 20, 30, 40))
-    name = F.concat(F.lit("nearest_neighbor"), F.coalesce(F.concat(F.lit("_KNN_"), F.col("k").cast("string")), F.lit("")))
-    methods = BL.predict_uniform(test).withColumn("Method", F.lit("uniform")).unionByName(
-        neighbours.withColumn("Method", name).drop("k"))
-    predictions = BL.log_predictions(methods, keys=("Method", "sample_id"))
-    return B.rounded(M.evaluate(predictions, test, keys=("Method", "sample_id")))
+    return B.rounded(E.evaluate_all(test, train, nn))
 
 
 def _loss(name, cell, mean_of_samples, per_taxon):

@@ -282,9 +282,9 @@ def unnormalised_predictions(spark, sf):
 
 
 @query("unaligned_sequences", f"""WITH {B.SEQUENCES}
-SELECT taxon_id, aln FROM sequences WHERE taxon_id NOT IN (SELECT 'ASV' || l_partkey FROM lineitem WHERE l_quantity >= 48)""")
+SELECT taxon_id, aln FROM sequences WHERE taxon_id NOT IN (SELECT 'ASV' || p_partkey FROM part WHERE p_type <> 'LARGE')""")
 def unaligned_sequences(spark, sf):
-    aligned = B.table(spark, sf, "lineitem").where("l_quantity >= 48").select(B.prefixed("ASV", "l_partkey").alias("taxon_id"))
+    aligned = B.table(spark, sf, "part").where("p_type <> 'LARGE'").select(B.prefixed("ASV", "p_partkey").alias("taxon_id"))
     return V.unaligned_sequences(B.sequences(spark, sf), aligned)
 
 

@@ -82,15 +82,17 @@ def seed_counts(spark, sf):
     return S.seed_counts(B.results(spark, sf), ["Method"])
 
 
-YEARS = range(1995, 2002)
-
-
 @query("seed_table", f"""WITH {B.RESULTS}, c AS (
-  SELECT "Method", "Seed", avg("KL_err") AS v FROM results WHERE "Seed" IS NOT NULL GROUP BY 1, 2)
-SELECT "Method", {', '.join(f'round(max(CASE WHEN "Seed" = {y} THEN v END), 6) AS seed_{y}' for y in YEARS)},
-  round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std FROM c GROUP BY 1""")
+  SELECT "Method", "Seed", avg("KL_err") AS v FROM results WHERE "Seed" IS NOT NULL GROUP BY 1, 2),
+m AS (SELECT "Method", round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std FROM c GROUP BY 1),
+s AS (SELECT DISTINCT "Seed" FROM c)
+SELECT m."Method", mean, std, 'seed_' || s."Seed" AS seed, round(v, 6) AS value
+FROM m CROSS JOIN s LEFT JOIN c ON c."Method" = m."Method" AND c."Seed" = s."Seed" """)
 def seed_table(spark, sf):
-    return B.rounded(S.seed_table(B.results(spark, sf), "KL_err", YEARS))
+    """The table with a column for every seed found, its cells shown as rows."""
+    wide = S.seed_table(B.results(spark, sf), "KL_err")
+    seeds = [c for c in wide.columns if c.startswith("seed_")]
+    return B.rounded(wide.unpivot(["Method", "mean", "std"], seeds, "seed", "value"))
 
 
 @query("scaling_table", f"""WITH {B.NAMED_RESULTS}
