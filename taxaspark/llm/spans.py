@@ -9,9 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from taxaspark.llm import text as X
+from taxaspark.llm.tables import materialize
 
 
-RUN, LEAST_WORDS, LONGEST = 2, 25, 40
+RUN, LEAST_WORDS, LONGEST, CUT = 1, 25, 16, 5
 STOP = np.zeros(256, bool)
 STOP[[ord(c) for c in ".!?"]] = True
 
@@ -20,8 +21,9 @@ def sentences(data: bytes):
     """Bounds of the sentences of a text: each ends behind a stop that white space follows, or behind a line end.
 
     Together the sentences are the whole text; one without a word joins the next.
-    A sentence of more than ``LONGEST`` words is cut behind every word whose
-    checksum is a multiple of 12, so equal passages without stops are cut alike.
+    A sentence of more than ``LONGEST`` words is cut behind every word whose checksum is a
+    multiple of ``CUT``, so equal passages are cut alike also without stops, or
+    inside longer sentences: at most a few words at either end differ.
     """
     if not data:
         return []
@@ -37,8 +39,8 @@ def sentences(data: bytes):
         if end > start and data[start:end].strip():
             if end - start > 2 * LONGEST and len(data[start:end].split()) > LONGEST:
                 base = start
-                for m in re.finditer(rb"\S+\s*", data[base:end]):
-                    if base + m.end() < end and zlib.crc32(m[0].split()[0].lower()) % 12 == 0:
+                for m in re.finditer(rb"(\S+)\s*", data[base:end]):
+                    if base + m.end() < end and zlib.crc32(m[1].lower()) % CUT == 0:
                         found.append((start, base + m.end()))
                         start = base + m.end()
             found.append((start, end))
@@ -52,7 +54,7 @@ def spans(data: bytes, run: int, least_words: int, lower):
     """``(first sentence, sentences, digest)`` of the runs from every sentence on and up to every sentence.
 
     A run is the fewest sentences, ``run`` at least, that hold ``least_words``
-    words; where a text has too few before or behind, none. Words are compared
+    words (one long sentence can be a run); where a text has too few before or behind, none. Words are compared
     lower-cased (A-Z), white space between them as one blank.
     """
     words = [data[a:b].translate(lower).split() for a, b in sentences(data)]
@@ -77,42 +79,49 @@ def spans(data: bytes, run: int, least_words: int, lower):
     return [(i, j - i, hashlib.blake2b(b" ".join(joined[i:j]), digest_size=16).digest()) for i, j in sorted(runs)]
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, key``: null texts empty, and a 64-bit hash of the text, which with ``doc_id`` names the row, also where ids repeat."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
+
+
 def span_table(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``doc_id, first, n, high, low``: every run of consecutive sentences with the halves of its 128-bit digest."""
+    """``doc_id, key, first, n, high, low``: every run of consecutive sentences with the halves of its 128-bit digest."""
     def rows_of(batches):
         lower = X.lower_table()
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            doc, first, n, digests = [], [], [], []
-            for doc_id, data in zip(ids, X.binary_column(batch, "text")):
+            doc, keys, first, n, digests = [], [], [], [], []
+            for doc_id, key, data in zip(ids, batch.column("key").to_pylist(), X.binary_column(batch, "text")):
                 for i, k, digest in spans(data, run, least_words, lower):
                     doc.append(doc_id)
+                    keys.append(key)
                     first.append(i)
                     n.append(k)
                     digests.append(digest)
             halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(first, pa.int32()), pa.array(n, pa.int32()),
-                 pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["doc_id", "first", "n", "high", "low"])
+                [pa.array(doc, pa.int64()), pa.array(keys, pa.int64()), pa.array(first, pa.int32()), pa.array(n, pa.int32()),
+                 pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["doc_id", "key", "first", "n", "high", "low"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(rows_of, "doc_id long, first int, n int, high long, low long")
+    return keyed(docs).mapInArrow(rows_of, "doc_id long, key long, first int, n int, high long, low long")
 
 
 def repeated(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``doc_id, covered``: the sentences of a document covered by a run that stood somewhere before.
+    """``doc_id, key, covered``: the sentences of a row covered by a run that stood somewhere before.
 
-    Runs meet by digest over all documents; the first, by doc_id and place, is no
-    repeat. Where a run repeats is found by a ``min`` with map-side combining and a
-    join of narrow rows, so a passage that every document holds is no task's burden.
+    Runs meet by digest over all documents; the first, by doc_id, key and place, is no
+    repeat. The runs are written once. The first places of those that occur more than
+    once are a table too, so the join with them is a stage of its own, which adaptive execution
+    splits where a passage stands in very many documents.
     """
-    table = span_table(docs, run, least_words)
-    place = F.struct("doc_id", "first")
-    first = table.groupBy("high", "low").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("times")).where(
-        "times > 1").select("high", "low", "place")
+    table = materialize(span_table(docs, run, least_words), "spans")
+    place = F.struct("doc_id", "key", "first")
+    first = materialize(table.groupBy("high", "low").agg(
+        F.min(place).alias("place"), F.count(F.lit(1)).alias("times")).where("times > 1").select("high", "low", "place"), "first")
     again = table.join(first, ["high", "low"]).where(~place.eqNullSafe(F.col("place")))
-    # A document's own rows are as many as its sentences.
-    return again.groupBy("doc_id").agg(F.collect_set(F.struct("first", "n")).alias("covered"))
+    # A row's own runs are as many as its sentences.
+    return again.groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", "n")).alias("covered"))
 
 
 def deduplicate(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -122,12 +131,11 @@ def deduplicate(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS)
     space behind it; the rest stays as it is.
 
     Null and empty texts have no sentence; a null text comes back empty. Runs within one text repeat
-    too. Documents with a null doc_id come first among repeats and lose nothing; rows that
-    repeat an id are one document's parts: a run in the first of them is kept there
-    and, as the same place, in its equals. Other columns are ignored.
+    too. Documents with a null doc_id come first among repeats and lose nothing. Rows that
+    repeat an id are told apart by a 64-bit digest of their text; equal rows are one
+    place, so both keep what the first place keeps. Long texts are read whole. Other columns are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    marked = rows.join(repeated(docs, run, least_words), "doc_id", "left")
+    marked = keyed(docs).join(repeated(docs, run, least_words), ["doc_id", "key"], "left")
 
     def cleaned(batches):
         for batch in batches:
