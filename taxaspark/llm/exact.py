@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from taxaspark.llm.tables import materialize
+from taxaspark.llm.tables import materialize, whole_rows
 
 SALTS = 64
 
@@ -49,21 +49,23 @@ def exact_groups(docs: DataFrame, digest=None, salts: int = SALTS) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """One document of each text, with all its columns: of the rows with the largest doc_id the least by its columns.
+    """One document of each text, with all its columns: of the rows with the largest doc_id the least as JSON.
 
+    A null text equals an empty one; no rows give no rows. Columns may have any names and types.
     Only rows that repeat such an id and its text, or have no id in a group without any, are
     compared, first inside a task, then inside a salted part, then over the salts.
     """
-    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
     groups = materialize(exact_groups(docs).where("kept").groupBy(
-        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest")).agg(F.count(F.lit(1)).alias("_times")), "kept")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (digest == F.col("_digest"))
-    kept = docs.join(groups.where("_times = 1"), same, "left_semi")
-    ties = groups.where("_times > 1")
-    if ties.isEmpty():
-        return kept
-    rows = docs.join(ties, same).select(
-        "_id", "_digest", F.pmod(F.spark_partition_id(), F.lit(salts)).alias("_salt"), F.struct(*docs.columns).alias("_row"))
-    least = rows.groupBy("_id", "_digest", "_salt").agg(F.min("_row").alias("_row")).groupBy("_id", "_digest").agg(
-        F.min("_row").alias("_row"))
-    return kept.unionByName(least.select("_row.*"))
+        F.col("doc_id").alias("id"), F.col("text_sha256").alias("digest")).agg(F.count(F.lit(1)).alias("times")), "kept")
+    rows = whole_rows(docs)
+    digest = F.sha2(F.coalesce(F.col("row.text"), F.lit("")), 256)
+    same = F.col("row.doc_id").eqNullSafe(F.col("id")) & (digest == F.col("digest"))
+    kept = rows.join(groups.where("times = 1"), same, "left_semi")
+    ties = groups.where("times > 1")
+    if not ties.isEmpty():
+        # JSON orders any types, maps too; rows with the same JSON are the same to us.
+        tied = rows.join(ties, same).select("id", "digest", F.pmod(F.spark_partition_id(), F.lit(salts)).alias("salt"),
+                                            "row", F.to_json("row").alias("order"))
+        part = tied.groupBy("id", "digest", "salt").agg(F.min_by("row", "order").alias("row"), F.min("order").alias("order"))
+        kept = kept.unionByName(part.groupBy("id", "digest").agg(F.min_by("row", "order").alias("row")).select("row"))
+    return kept.select("row.*")

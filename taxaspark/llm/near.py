@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from taxaspark.llm import text as X
-from taxaspark.llm.tables import materialize
+from taxaspark.llm.tables import materialize, whole_rows
 from taxaspark.operators.graph import components
 
 ROWS = 2           # minhashes of a sub-key
@@ -287,6 +287,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that stay, one of each component, with all their columns."""
-    gone = near_duplicates(docs, shingle, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """The documents that stay, one of each component, with all their columns, whatever their names.
+
+    Documents without an id, text or words stay. Rows that repeat an id go or stay together; no rows give no rows.
+    """
+    gone = near_duplicates(docs, shingle, percent).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
+    return whole_rows(docs).join(gone, F.col("row.doc_id") == F.col("gone"), "left_anti").select("row.*")

@@ -11,6 +11,11 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """The documents as one column ``row``, so that no name of theirs clashes with a step's own."""
+    return docs.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row"))
+
+
 def remainder(modulus: int, column="doc_id"):
     """crc32 of the id as text, modulo ``modulus``; of a null id null."""
     return F.crc32(F.col(column).cast("string")) % F.lit(modulus)
