@@ -92,7 +92,7 @@ NAMES = (
 # Texts that name no license but are its wording, and statements without one.
 WORDING = (
     ("mit", "permission is hereby granted", r"permission\s+is\s+hereby\s+granted,?\s+free\s+of\s+charge,?\s+to\s+any\s+person\s+obtaining\s+a\s+copy"),
-    ("mit", "the software is provided", r"the\s+software\s+is\s+provided\s+[\"“]?as\s+is[\"”]?,?\s+without\s+warranty\s+of\s+any\s+kind"),
+    ("mit", "the software is provided", r"the\s+software\s+is\s+provided\s+(?:\"|'|“|‘)?as\s+is(?:\"|'|”|’)?,?\s+without\s+warranty\s+of\s+any\s+kind"),
     ("isc", "permission to use, copy", r"permission\s+to\s+use,\s+copy,\s+modify,\s+and(?:/or)?\s+distribute\s+this\s+software\s+for\s+any\s+purpose"),
     ("bsd", "redistribution and use", r"redistribution\s+and\s+use\s+in\s+source\s+and\s+binary\s+forms,?\s+with\s+or\s+without\s+modification"),
     ("bsd-3-clause", "endorse or promote", r"may\s+be\s+used\s+to\s+endorse\s+or\s+promote\s+products\s+derived"),
@@ -107,7 +107,9 @@ WORDING = (
     ("public-domain", "public domain", r"(?:dedicated|released|placed)\s+(?:in)?to\s+the\s+public\s+domain|in\s+the\s+public\s+domain"),
     ("proprietary", "all rights reserved", r"all\s+rights\s+reserved"),
     ("proprietary", "proprietary", r"proprietary\s+and\s+confidential"),
-    ("gpl", "gpl", r"\bgnu\s+gpl\b"),
+    ("gpl", "gpl", r"\bgnu\s+gpl\b|\bgpl[\s-]+licen[sc]ed?\b"),
+    ("lgpl", "lgpl", r"\bgnu\s+lgpl\b|\blgpl[\s-]+licen[sc]ed?\b"),
+    ("agpl", "agpl", r"\bgnu\s+agpl\b|\bagpl[\s-]+licen[sc]ed?\b"),
     ("bsd", "bsd", r"\bbsd[\s-]+licen[sc]ed?\b"),
     ("mit", "mit", r"\bmit[\s-]+licensed\b"),
     ("apache", "apache", r"\bapache[\s-]+licensed\b"),
@@ -127,12 +129,20 @@ USES = (
 )
 
 
+# A name or its use starts at the start of a word: no "permit license", no "acc-by 4.0".
+START = r"(?<![a-z0-9_])"
+
+
 def rules():
     """All rules in order: ``(label, priority, confidence, keywords, expression)``."""
     found = []
     for label, keywords, name, short in NAMES:
         for priority, confidence, use in USES:
-            found.append((label, priority, confidence, keywords, use % name))
+            found.append((label, priority, confidence, keywords, START + "(?:" + use % name + ")"))
+        spoken = short.replace("-?v?", r"[\s-]?v?\.?\s?")
+        found.append((label, 38, 0.9, ("licen",), START + r"licen[sc]ed\s+under\s+(?:the\s+)?(?:gnu\s+)?(?:%s)(?![\w-]|\.\w)" % spoken))
+        if "gpl" in short:
+            found.append((label, 18, 0.6, ("gpl",), START + r"(?:gnu\s+)?(?:%s)(?![\w-]|\.\w)" % spoken))
         found.append((label, 50, 1.0, ("spdx-license-identifier",), r"spdx-license-identifier:[ \t]*(?:%s)(?![\w.-])" % short))
         found.append((label, 35, 0.85, ("licen",), r"\blicen[sc]es?[\"']?\s*[:=]\s*[\[\"'{(]*\s*(?:%s)(?![\w.-])" % short))
     for label, keyword, expression in WORDING:

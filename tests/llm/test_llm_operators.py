@@ -85,6 +85,27 @@ def test_drop_copies_leaves_one_row_of_each_text(spark, odd):
     assert {r["text"]: r["doc_id"] for r in rows if r["doc_id"] is None} == {"no id here at all": None, "nobody": None}
 
 
+CLASHING = "doc_id long, text string, _id long, _digest string, _times long, _salt int, _row string, _gone long, row string, id long, gone long, `a.b` map<string,int>"
+
+
+def clashing(spark, rows):
+    return spark.createDataFrame([(d, t, 1, "x", 2, 3, "r", 4, "row", 5, 6, {"k": n}) for n, (d, t) in enumerate(rows)], CLASHING)
+
+
+def test_dropping_stages_take_columns_of_any_name_and_type(spark):
+    draw = random.Random(21)
+    base = words(60, draw)
+    near_copy = " ".join(base[:-1] + ["else"])
+    docs = clashing(spark, [(1, " ".join(base)), (2, " ".join(base)), (2, " ".join(base)), (3, near_copy), (4, prose(50, draw)), (None, None), (5, "")])
+    got = exact.drop_copies(docs)
+    assert got.columns == docs.columns
+    rows = got.collect()
+    assert sorted(r["doc_id"] for r in rows) == [2, 3, 4, 5]
+    assert next(r for r in rows if r["doc_id"] == 2)["a.b"] == {"k": 1}
+    kept = near.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "4", "5", "None"]
+
+
 # --- tokens ----------------------------------------------------------------------
 
 def test_encoder_is_the_library(encode):
@@ -407,6 +428,19 @@ def test_common_subsequence_by_dynamic_programme():
         assert decontaminate.common_subsequence(a, b) == best[-1, -1]
 
 
+def test_license_names_start_at_a_word_and_take_quotes_and_short_names():
+    scan = licenses.Scanner()
+    labels = lambda t: {d[2] for d in scan.scan(t.encode())[2]}
+    for t in ("a permit license", "commit license", "the summit licence", "transmit license key", "acc-by 4.0 report", "unelastic license 2.0"):
+        assert not labels(t), t
+    for _, _, name, _ in licenses.NAMES:
+        assert licenses.START in next(r[4] for r in licenses.rules() if name in r[4])
+    assert labels("THE SOFTWARE IS PROVIDED “AS IS”, WITHOUT WARRANTY OF ANY KIND") == {"mit"}
+    for t, label in (("Licensed under GPLv3.", "gpl-3.0"), ("GPL v2", "gpl-2.0"), ("GNU LGPL license", "lgpl"), ("licensed under the MIT", "mit"),
+                     ("“MIT License”", "mit"), ("cc-by 4.0", "cc-by-4.0"), ("licensed under GNU AGPL-3.0-only", "agpl-3.0")):
+        assert label in labels(t), (t, labels(t))
+
+
 # --- spans -------------------------------------------------------------------------------
 
 def test_repeated_passages_leave_all_but_the_first(spark, odd, empty):
@@ -420,6 +454,56 @@ def test_repeated_passages_leave_all_but_the_first(spark, odd, empty):
     assert spans.deduplicate(odd).count() == odd.count() and spans.deduplicate(empty).collect() == []
 
 
+def test_rows_that_share_an_id_lose_only_their_own_repeats(spark):
+    draw = random.Random(18)
+    a, b = prose(60, draw), prose(60, draw)
+    got = [(r["doc_id"], r["text"]) for r in spans.deduplicate(table(spark, [(0, a), (1, a), (1, b)])).collect()]
+    assert sorted(got) == sorted([(0, a), (1, ""), (1, b)])
+
+
+def test_long_sentences_and_passages_without_stops_are_found(spark):
+    draw = random.Random(19)
+    sentence = " ".join(words(38, draw)) + "."
+    docs = [(i, " ".join([prose(40, draw), sentence, prose(40, draw)])) for i in range(60)]
+    got = spans.deduplicate(table(spark, docs)).collect()
+    assert all((r["removed_words"] >= 30) == (r["doc_id"] > 0) for r in got)
+    passages = [" ".join(words(51, draw)) for _ in range(100)]
+    docs = [(2 * i + j, " ".join([*words(80, draw), p, *words(80, draw)])) for i, p in enumerate(passages) for j in (0, 1)]
+    got = {r["doc_id"]: r["removed_words"] for r in spans.deduplicate(table(spark, docs)).collect()}
+    assert all(got[2 * i] == 0 for i in range(100)) and sum(got[2 * i + 1] >= 25 for i in range(100)) >= 95
+
+
+def test_spans_by_brute_force(spark, odd):
+    """Every run of every text against every earlier one, in plain Python."""
+    draw = random.Random(20)
+    shared = [prose(draw.randint(20, 90), draw) for _ in range(6)]
+    docs = [(draw.randint(0, 30), " ".join(draw.choice([prose(draw.randint(5, 50), draw), draw.choice(shared)]) for _ in range(4)))
+            for _ in range(40)]
+    docs += docs[:3] + [(None, shared[0]), (3, None), (4, ""), (5, "one")]
+    lower, keys = X.lower_table(), {(r["doc_id"], r["text"]): r["key"] for r in spans.keyed(table(spark, docs)).collect()}
+    found = {}
+    for d, t in {(d, t or "") for d, t in docs}:
+        cut = [t.encode()[x:y].translate(lower).split() for x, y in spans.sentences(t.encode())]
+        for i in range(len(cut)):
+            for j in range(i + 1, len(cut) + 1):
+                n = lambda x, y: sum(map(len, cut[x:y]))
+                # the fewest sentences from i on, or up to j
+                if n(i, j) >= 25 and (j == i + 1 or n(i, j - 1) < 25 or n(i + 1, j) < 25):
+                    found.setdefault(tuple(w for c in cut[i:j] for w in c), []).append((d is not None, d or 0, keys[d, t], i, j, t))
+    gone = {}
+    for places in found.values():
+        for known, d, key, i, j, t in sorted(places)[1:]:
+            if known:
+                gone.setdefault((d, t), set()).update(range(i, j))
+    want = []
+    for d, t in docs:
+        t = t or ""
+        out = gone.get((d, t), set()) if d is not None else set()
+        want.append((str(d), "".join(t.encode()[x:y].decode() for i, (x, y) in enumerate(spans.sentences(t.encode())) if i not in out) if out else t))
+    got = [(str(r["doc_id"]), r["text"]) for r in spans.deduplicate(table(spark, docs)).collect()]
+    assert sorted(got) == sorted(want) and gone
+
+
 def test_sentences_are_the_whole_text():
     for t in (b"", b"a", b"a. b! c?\nd", b". . x", b"x" * 500 + b" y. ", b" ".join(b"w%d" % i for i in range(400))):
         bounds = spans.sentences(t)
