@@ -18,7 +18,12 @@ STOP[[ord(c) for c in ".!?"]] = True
 
 
 def sentences(data: bytes):
-    """Bounds of the sentences of a text: each ends behind a stop that white space follows, or behind a line end.
+    """Bounds of the sentences and of the pieces of long ones, as :func:`pieces` finds them."""
+    return [(a, b) for a, b, _ in pieces(data)]
+
+
+def pieces(data: bytes):
+    """``(start, end, whether a sentence ends there)`` of the sentences of a text: each ends behind a stop that white space follows, or behind a line end.
 
     Together the sentences are the whole text; one without a word joins the next.
     A sentence of more than ``LONGEST`` words is cut behind every word whose checksum is a
@@ -41,23 +46,25 @@ def sentences(data: bytes):
                 base = start
                 for m in re.finditer(rb"(\S+)\s*", data[base:end]):
                     if base + m.end() < end and zlib.crc32(m[1].lower()) % CUT == 0:
-                        found.append((start, base + m.end()))
+                        found.append((start, base + m.end(), False))
                         start = base + m.end()
-            found.append((start, end))
+            found.append((start, end, True))
             start = end
     if found and found[-1][1] < len(data):
-        found[-1] = (found[-1][0], len(data))
+        found[-1] = (found[-1][0], len(data), True)
     return found
 
 
 def spans(data: bytes, run: int, least_words: int, lower):
-    """``(first sentence, sentences, digest)`` of the runs from every sentence on and up to every sentence.
+    """``(first, number, digest)`` of the runs from every piece on and up to every end of a sentence.
 
-    A run is the fewest sentences, ``run`` at least, that hold ``least_words``
-    words (one long sentence can be a run); where a text has too few before or behind, none. Words are compared
+    A run is the fewest pieces, ``run`` at least, that hold ``least_words``
+    words (one long sentence can be a run); where a text has too few before or behind, none. Runs
+    slide by one piece, so those up to a cut inside a sentence would add a few words at most. Words are compared
     lower-cased (A-Z), white space between them as one blank.
     """
-    words = [data[a:b].translate(lower).split() for a, b in sentences(data)]
+    parts = pieces(data)
+    words = [data[a:b].translate(lower).split() for a, b, _ in parts]
     total = [0]
     for w in words:
         total.append(total[-1] + len(w))
@@ -73,20 +80,20 @@ def spans(data: bytes, run: int, least_words: int, lower):
     for end in range(run, len(words) + 1):
         while start + 1 <= end - run and total[end] - total[start + 1] >= least_words:
             start += 1
-        if total[end] - total[start] >= least_words:
+        if parts[end - 1][2] and total[end] - total[start] >= least_words:
             runs.add((start, end))
     joined = [b" ".join(w) for w in words]
-    return [(i, j - i, hashlib.blake2b(b" ".join(joined[i:j]), digest_size=16).digest()) for i, j in sorted(runs)]
+    return [(i, j - i, hashlib.blake2b(b" ".join(joined[i:j]), digest_size=12).digest()) for i, j in sorted(runs)]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``doc_id, text, key``: null texts empty, and a 64-bit hash of the text, which with ``doc_id`` names the row, also where ids repeat."""
+    """``doc_id, text, key``: null texts empty, and a 32-bit hash of the text, which with ``doc_id`` names the row, also where ids repeat."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.hash(text).alias("key"))
 
 
 def span_table(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``doc_id, key, first, n, high, low``: every run of consecutive sentences with the halves of its 128-bit digest."""
+    """``doc_id, key, first, n, high, low``: every run of consecutive sentences with the parts of its 96-bit digest."""
     def rows_of(batches):
         lower = X.lower_table()
         for batch in batches:
@@ -99,23 +106,23 @@ def span_table(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS)
                     first.append(i)
                     n.append(k)
                     digests.append(digest)
-            halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            halves = np.frombuffer(b"".join(digests), np.dtype([("high", "<i8"), ("low", "<i4")]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(keys, pa.int64()), pa.array(first, pa.int32()), pa.array(n, pa.int32()),
-                 pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["doc_id", "key", "first", "n", "high", "low"])
+                [pa.array(doc, pa.int64()), pa.array(keys, pa.int32()), pa.array(first, pa.int32()), pa.array(n, pa.int32()),
+                 pa.array(np.ascontiguousarray(halves["high"])), pa.array(np.ascontiguousarray(halves["low"]))], names=["doc_id", "key", "first", "n", "high", "low"])
 
-    return keyed(docs).mapInArrow(rows_of, "doc_id long, key long, first int, n int, high long, low long")
+    return keyed(docs).mapInArrow(rows_of, "doc_id long, key int, first int, n int, high long, low int")
 
 
 def repeated(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
     """``doc_id, key, covered``: the sentences of a row covered by a run that stood somewhere before.
 
     Runs meet by digest over all documents; the first, by doc_id, key and place, is no
-    repeat. The runs are written once. The first places of those that occur more than
-    once are a table too, so the join with them is a stage of its own, which adaptive execution
-    splits where a passage stands in very many documents.
+    repeat. The first places of runs that occur more than once are a table, so the join
+    with them is a stage of its own, which adaptive execution splits where a passage
+    stands in very many documents. Runs are computed for both steps: written, they would be larger than the texts.
     """
-    table = materialize(span_table(docs, run, least_words), "spans")
+    table = span_table(docs, run, least_words)
     place = F.struct("doc_id", "key", "first")
     first = materialize(table.groupBy("high", "low").agg(
         F.min(place).alias("place"), F.count(F.lit(1)).alias("times")).where("times > 1").select("high", "low", "place"), "first")
@@ -132,7 +139,7 @@ def deduplicate(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS)
 
     Null and empty texts have no sentence; a null text comes back empty. Runs within one text repeat
     too. Documents with a null doc_id come first among repeats and lose nothing. Rows that
-    repeat an id are told apart by a 64-bit digest of their text; equal rows are one
+    repeat an id are told apart by a 32-bit hash of their text; equal rows are one
     place, so both keep what the first place keeps. Long texts are read whole. Other columns are ignored.
     """
     marked = keyed(docs).join(repeated(docs, run, least_words), ["doc_id", "key"], "left")

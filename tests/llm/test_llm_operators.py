@@ -484,11 +484,12 @@ def test_spans_by_brute_force(spark, odd):
     found = {}
     for d, t in {(d, t or "") for d, t in docs}:
         cut = [t.encode()[x:y].translate(lower).split() for x, y in spans.sentences(t.encode())]
+        ends = [stop for _, _, stop in spans.pieces(t.encode())]
         for i in range(len(cut)):
             for j in range(i + 1, len(cut) + 1):
                 n = lambda x, y: sum(map(len, cut[x:y]))
-                # the fewest sentences from i on, or up to j
-                if n(i, j) >= 25 and (j == i + 1 or n(i, j - 1) < 25 or n(i + 1, j) < 25):
+                # the fewest pieces from i on, or up to the end of a sentence
+                if n(i, j) >= 25 and (j == i + 1 or n(i, j - 1) < 25 or (ends[j - 1] and n(i + 1, j) < 25)):
                     found.setdefault(tuple(w for c in cut[i:j] for w in c), []).append((d is not None, d or 0, keys[d, t], i, j, t))
     gone = {}
     for places in found.values():
