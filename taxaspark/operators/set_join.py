@@ -28,7 +28,9 @@ def top_similar_sets(queries: DataFrame, base: DataFrame, k: int, thresholds=THR
     query has ``k`` rows whenever the base has ``k`` sets. A query row with a null key stands for an empty set.
 
     For falling thresholds, queries still open meet base sets over shared keys among their rarest (a pair at the
-    threshold shares one) with sizes that allow it. A query with ``k`` pairs at the threshold is settled.
+    threshold shares one) with sizes that allow it. All keys shared up to the end of the prefix that ends first were met,
+    so a pair that met too few times for its sizes is out before its sets are compared. A query with ``k`` pairs at the
+    threshold is settled.
     Before a round its meetings are counted from the keys' counts; once they exceed a sixth of those over all keys,
     the open queries go to tiles, each of which keeps ``k`` per query. ``counted`` receives the meetings of every step.
     """
@@ -51,8 +53,10 @@ def top_similar_sets(queries: DataFrame, base: DataFrame, k: int, thresholds=THR
             break
         note(met)
         fits = F.least("n", "m") >= F.greatest("n", "m") * F.lit(threshold - 1e-9)
-        pairs = materialize(mine.join(theirs.select(F.col("id").alias("other"), "key", F.col("n").alias("m")), "key").where(fits).select(
-            "id", "other", "n", "m").distinct(), "candidates")
+        needed = F.ceil((F.col("n") + F.col("m")) * F.lit(threshold / (1 + threshold)) - 1e-9)
+        behind = F.ceil(F.greatest("n", "m") * F.lit(threshold) - 1e-9) - 1
+        pairs = materialize(mine.join(theirs.select(F.col("id").alias("other"), "key", F.col("n").alias("m")), "key").where(fits).groupBy(
+            "id", "other", "n", "m").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") >= needed - behind).drop("met"), "candidates")
         of_base = of_base if of_base is not None else materialize(lists(known), "lists")
         shared = F.size(F.array_intersect("keys", "others"))
         scored = pairs.join(lists(rest), "id").join(of_base.select(F.col("id").alias("other"), F.col("keys").alias("others")), "other").select(
