@@ -8,9 +8,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from taxaspark.llm import text as X
+from taxaspark.llm.tables import materialize
 from taxaspark.llm.tokens import encoded, tokenizer_path
 
 DIMS, BITS, BUCKETS = 4, 12, 1024
+RANGE_BYTES = 64 << 20
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
                     ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -73,17 +75,62 @@ def curve_keys(texts, directions):
     return hilbert_key(cells)
 
 
-def with_curve_key(docs: DataFrame) -> DataFrame:
-    """``doc_id, text, curve``: the position of every document along the curve."""
-    def keyed(batches):
+def keyed(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, spread``: null texts empty, and a hash that tells documents with equal curve keys apart."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("spread", F.xxhash64("doc_id", "text"))
+
+
+def range_keys(curve, spread):
+    """Sort key of a document: the curve's 48 bits, then 16 bits of the hash, as unsigned integers."""
+    return curve.astype(np.uint64) << np.uint64(16) | spread.view(np.uint64) >> np.uint64(48)
+
+
+def weighed(docs: DataFrame) -> DataFrame:
+    """``key, bytes`` of every document."""
+    def weigh(batches):
+        directions = projection()
+        for batch in batches:
+            texts = X.binary_column(batch, "text")
+            keys = range_keys(curve_keys(texts, directions), batch.column("spread").to_numpy())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys.view(np.int64)), pa.array([len(t) + 1 for t in texts], pa.int64())], names=["key", "bytes"])
+
+    return docs.mapInArrow(weigh, "key long, bytes long")
+
+
+def cut_points(weights: DataFrame, parts: int, range_bytes: int, points: int = 1_000_000):
+    """Keys that cut the curve into ranges of about equal bytes, at least ``parts``, of ``range_bytes`` at most beyond that.
+
+    The cuts come from marks set every ``step`` bytes on average, a document taking as many as its
+    bytes hold; so the driver receives about 64 marks a range, ``points`` in all, at any size.
+    """
+    total = weights.agg(F.sum("bytes")).first()[0] or 0
+    ranges = max(parts, -(-total // range_bytes))
+    step = max(total / min(points, 64 * ranges), 1.0)
+    phase = F.pmod(F.xxhash64("key", "bytes"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    marks = weights.select("key", F.floor(F.col("bytes") / F.lit(step) + phase).alias("marks")).where("marks > 0")
+    found = marks.groupBy("key").agg(F.sum("marks").alias("marks")).collect()
+    keys = np.array([r["key"] for r in found], np.int64).view(np.uint64)
+    held = np.array([r["marks"] for r in found], np.int64)
+    order = np.argsort(keys)
+    before = np.cumsum(held[order]) - held[order]
+    # A key belongs to the range its first mark lies in.
+    number = before * ranges // max(int(held.sum()), 1)
+    return keys[order][np.flatnonzero(np.diff(number, prepend=0))], ranges
+
+
+def with_range(docs: DataFrame, cuts) -> DataFrame:
+    """``doc_id, text, key, range``: place of every document along the curve and the number of its range."""
+    def placed(batches):
         directions = projection()
         for batch in batches:
-            keys = curve_keys(X.binary_column(batch, "text"), directions)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(keys)],
-                                             names=["doc_id", "text", "curve"])
+            keys = range_keys(curve_keys(X.binary_column(batch, "text"), directions), batch.column("spread").to_numpy())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text"), batch.column("spread"), pa.array((keys ^ np.uint64(1 << 63)).view(np.int64)),
+                 pa.array(np.searchsorted(cuts, keys, "right"), pa.int32())], names=["doc_id", "text", "spread", "key", "range"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(keyed, "doc_id long, text string, curve long")
+    return docs.mapInArrow(placed, "doc_id long, text string, spread long, key long, range int")
 
 
 class Packer:
@@ -142,10 +189,11 @@ class Packer:
 
 
 def pack(docs: DataFrame, length: int = 1024, end_id: int = 0, tokenizer: str = None,
-         with_ids: bool = False) -> DataFrame:
+         with_ids: bool = False, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Pieces ``(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids])``.
 
-    Documents are ranged by Hilbert key and packed one behind the other, so a
+    Documents are ranged by Hilbert key, ranges holding about equal bytes (a longer text is one
+    range), and packed one behind the other, so a
     sequence holds neighbours; a document may be cut anywhere. The last, partly
     filled sequence of a range is recut to powers of two, so nothing is padded.
     Equal keys (copies) are spread over ranges by a hash of the id, so a group of
@@ -169,8 +217,8 @@ def pack(docs: DataFrame, length: int = 1024, end_id: int = 0, tokenizer: str =
         packer.finish()
         yield packer.batch(with_ids)
 
-    spread = F.xxhash64("doc_id", "text")
-    ranged = with_curve_key(docs).withColumn("spread", spread)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = ranged.repartitionByRange(parts, "curve", "spread").sortWithinPartitions("curve", "spread", "doc_id")
+    rows = keyed(docs)
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts, ranges = cut_points(materialize(weighed(rows), "weights"), least, range_bytes)
+    ranged = with_range(rows, cuts).repartitionById(ranges, "range").sortWithinPartitions("key", "spread", "doc_id")
     return ranged.select("doc_id", "text").mapInArrow(packed, PIECES_SQL + (", ids array<int>" if with_ids else ""))
