@@ -7,6 +7,7 @@ its suffix; distributions are smoothed towards the suffix's. A symbol is predict
 by the longest suffix of the text so far that is a kept context.
 """
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -19,6 +20,7 @@ from taxaspark.llm.tables import held_out, materialize
 DEPTH = 5
 END = b"\n"
 SEGMENT = 256
+RARITY = 5e-4
 
 
 def count_batches(batches, limit=4_000_000):
@@ -180,12 +182,17 @@ class SuffixTree:
         return np.bincount(owner, total, len(bodies))
 
 
-def contexts(counts: DataFrame, frequent: float):
-    """Contexts of 0 to ``DEPTH`` symbols that hold at least a share ``frequent`` of all symbols.
+def least_count(total: int, rarity: float) -> int:
+    """Times a context has to occur in ``total`` symbols: ``rarity * total ** (2/3)``, at least 2.
 
-    At most ``1 / frequent`` contexts of a length can, whatever the corpus, which
-    bounds what the driver receives.
+    The share asked for falls as the corpus grows, so the tree grows with it, by the cube root in the
+    worst case: no more than ``total ** (1/3) / rarity`` contexts of a length can occur so often.
     """
+    return max(2, math.ceil(rarity * total ** (2 / 3)))
+
+
+def contexts(counts: DataFrame, rarity: float):
+    """Contexts of 0 to ``DEPTH`` symbols that occur ``least_count`` times or more, with the symbols behind them."""
     grams = counts.where("gram IS NOT NULL").select("gram", "n")
     total = grams.agg(F.sum("n")).first()[0] or 0
     # An id bit for the length keeps contexts of different lengths apart in one long.
@@ -196,12 +203,12 @@ def contexts(counts: DataFrame, frequent: float):
     summed = rows.groupBy("c.k", "c.code", "symbol").agg(F.sum("n").alias("n"))
     # At most 256 symbols follow a context.
     grouped = summed.groupBy("k", "code").agg(F.sum("n").alias("total"), F.collect_list(F.struct("symbol", "n")).alias("next"))
-    found = grouped.where(F.col("total") >= frequent * total).select("k", "code", "next").collect()
+    found = grouped.where((F.col("total") >= least_count(total, rarity)) | (F.col("k") == 0)).select("k", "code", "next").collect()
     return [(r["k"], r["code"], [x["symbol"] for x in r["next"]], [x["n"] for x in r["next"]])
             for r in sorted(found, key=lambda r: (r["k"], r["code"]))]
 
 
-def score(docs: DataFrame, modulus=7, value=2, frequent=1e-5, common=1e-6) -> DataFrame:
+def score(docs: DataFrame, modulus=7, value=2, rarity=RARITY, common=1e-6) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document.
 
     Counts come from all documents that are not held out. Exact counts of words
@@ -219,7 +226,7 @@ def score(docs: DataFrame, modulus=7, value=2, frequent=1e-5, common=1e-6) -> Da
     words = counts.where("word IS NOT NULL").select("word", "n")
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     frequent_words = {bytes(r["word"]): r["n"] for r in words.where(F.col("n") >= common * n).collect()}
-    known = spark.sparkContext.broadcast((vars(SuffixTree(contexts(counts, frequent))), frequent_words))
+    known = spark.sparkContext.broadcast((vars(SuffixTree(contexts(counts, rarity))), frequent_words))
     base = n + v + 1
 
     def scored(batches):

@@ -161,6 +161,26 @@ def test_packing_places_every_id_once(odd, empty, encode):
     assert pack.pack(empty).collect() == []
 
 
+def test_packing_ranges_hold_equal_bytes(spark, empty):
+    """Long texts beside short ones, and a third of all rows with one text: ranges of about equal bytes, keys in order."""
+    draw = random.Random(6)
+    texts = [prose(draw.choice([20, 20, 20, 400, 2000]), draw) for _ in range(400)]
+    docs = table(spark, list(enumerate(texts + [texts[0] * 5] * 200)))
+    rows = pack.keyed(docs)
+    cuts, ranges = pack.cut_points(pack.weighed(rows), 12, 1 << 40)
+    assert ranges == 12 and len(cuts) == 11
+    placed = pack.with_range(rows, cuts).collect()
+    held, keys = {}, {}
+    for r in placed:
+        held[r["range"]] = held.get(r["range"], 0) + len(r["text"].encode()) + 1
+        keys.setdefault(r["range"], []).append(r["key"])
+    assert len(held) == 12 and max(held.values()) < 2 * sum(held.values()) / 12
+    assert all(max(keys[i]) < min(keys[i + 1]) for i in range(11))
+    total = sum(held.values())
+    assert pack.cut_points(pack.weighed(rows), 4, -(-total // 40))[1] == 40
+    assert len(pack.cut_points(pack.weighed(pack.keyed(empty)), 4, 100)[0]) == 0
+
+
 def test_hilbert_neighbours_are_one_step_apart():
     side = 8
     grid = np.array([(x, y) for x in range(side) for y in range(side)])
@@ -284,6 +304,51 @@ def test_language_model_base_and_normalisation(spark, odd, empty):
     assert lm.score(odd).count() == odd.count() and lm.score(empty).collect() == []
 
 
+def test_language_model_score_from_raw_counts(spark):
+    """Scores by a plain loop: counts of every context from the texts, smoothing, divergence, longest kept suffix."""
+    import math
+
+    draw = random.Random(8)
+    docs = [(i, " ".join(words(60, draw)).title()) for i in range(40)] + [(100, None), (101, "zebra ÿ"), (102, "  A \n b ")]
+    smoothing, divergence = 8.0, 0.005
+    bodies = {i: b" ".join((t or "").encode().lower().split()) + b"\n" for i, t in docs}
+    training = [b for i, b in bodies.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    counts = {}
+    for body in training:
+        padded = b"\n" * 5 + body
+        for at in range(5, len(padded)):
+            for k in range(6):
+                follow = counts.setdefault(padded[at - k:at], {})
+                follow[padded[at]] = follow.get(padded[at], 0) + 1
+    least = max(2, math.ceil(lm.RARITY * sum(map(len, training)) ** (2 / 3)))
+    root = counts[b""]
+    unseen = 256 - len(set(root) | {32, 10})
+    chance = {b"": {s: (root.get(s, 0) + 1) / (sum(root.values()) + 256) for s in set(root) | {32, 10}}}
+    chance[b""][None] = unseen / (sum(root.values()) + 256)  # all bytes never seen together
+    kept = {b""}
+    for context in sorted((c for c in counts if c), key=len):
+        if sum(counts[context].values()) >= least and context[1:] in chance:
+            n, above = sum(counts[context].values()), chance[context[1:]]
+            chance[context] = {s: (counts[context].get(s, 0) + smoothing * p) / (n + smoothing) for s, p in above.items()}
+            if sum(p * math.log(p / above[s]) for s, p in chance[context].items()) >= divergence:
+                kept |= {context[j:] for j in range(len(context))}
+    assert len({len(c) for c in kept}) > 3
+    got = {r["doc_id"]: r["score"] for r in lm.score(table(spark, docs)).collect()}
+    for i, body in bodies.items():
+        padded, want = b"\n" * 5 + body, 0.0
+        for at in range(5, len(padded)):
+            best = next(c for c in (padded[at - k:at] for k in range(5, -1, -1)) if c in kept)
+            p = chance[best].get(padded[at])
+            want += math.log10(chance[best][None] / unseen if p is None else p)
+        assert got[i] == pytest.approx(want, abs=1e-2 + 1e-5 * abs(want))
+
+
+def test_suffix_tree_grows_with_the_corpus():
+    sizes = [10 ** e for e in range(4, 15, 2)]
+    bounds = [n / lm.least_count(n, lm.RARITY) for n in sizes]
+    assert bounds == sorted(bounds) and bounds[-1] > 100 * bounds[1] and lm.least_count(0, lm.RARITY) == 2
+
+
 def test_suffix_tree_walks_as_the_longest_suffix_says():
     draw = random.Random(9)
     bodies = [" ".join(words(40, draw)).encode() + lm.END for _ in range(30)]
