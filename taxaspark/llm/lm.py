@@ -20,7 +20,7 @@ from taxaspark.llm.tables import held_out, materialize
 DEPTH = 5
 END = b"\n"
 SEGMENT = 256
-RARITY = 5e-4
+RARITY = 3e-4
 
 
 def count_batches(batches, limit=4_000_000):
