@@ -8,6 +8,7 @@ by the longest suffix of the text so far that is a kept context.
 """
 
 import math
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -86,54 +87,81 @@ def _summed(parts):
     return codes, np.bincount(where, n, len(codes)).astype(np.int64)
 
 
+def _find(known, wanted):
+    """Place of each wanted value in the sorted known ones, and whether it is there."""
+    if not len(known):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    return at, known[at] == wanted
+
+
 class SuffixTree:
     """Next state and log10 probability of every state and symbol class, as two dense tables."""
 
     def __init__(self, contexts, smoothing=8.0, divergence=0.005):
-        """``contexts``: rows ``(k, code, symbols, counts)`` of frequent contexts, the empty one among them."""
-        seen = sorted({s for k, _, symbols, _ in contexts if k == 0 for s in symbols} | {0x20, END[0]})
+        """``contexts``: rows ``(k, code, symbols, counts)`` of frequent contexts, the empty one among them.
+
+        Read once, held as flat arrays and built level by level, so memory is that of the tables.
+        """
+        codes, sizes, symbols, counts = ([array(t) for _ in range(DEPTH + 1)] for t in "qiBq")
+        for k, code, of_next, n in contexts:
+            codes[k].append(code)
+            sizes[k].append(len(of_next))
+            symbols[k].extend(of_next)
+            counts[k].extend(n)
+        seen = sorted({*symbols[0], 0x20, END[0]})
         self.classes = np.full(256, len(seen), np.int64)  # the last class: all bytes never seen
         self.classes[seen] = np.arange(len(seen))
         width, unseen = len(seen) + 1, 256 - len(seen)
         spread = np.ones(width)
         spread[-1] = max(unseen, 1)
-        by_level = [{} for _ in range(DEPTH + 1)]
-        for k, code, symbols, counts in contexts:
-            row = np.zeros(width)
-            row[self.classes[symbols]] = counts
-            by_level[k][code] = row
-        root = by_level[0].get(0, np.zeros(width))
-        chance = {(0, 0): (root + spread) / (root + spread).sum()}
-        kept = {(0, 0)}
+        root = np.bincount(self.classes[np.array(symbols[0], np.int64)], np.array(counts[0], np.float64), width)
+        # Per level: sorted codes, smoothed distributions, whether kept.
+        live = [np.zeros(1, np.int64)]
+        chance = [((root + spread) / (root + spread).sum()).astype(np.float32)[None]]
+        kept = [np.ones(1, bool)]
         for k in range(1, DEPTH + 1):
-            mask = (1 << 8 * (k - 1)) - 1
-            for code, row in by_level[k].items():
-                parent = chance.get((k - 1, code & mask))
-                if parent is None:
-                    continue
-                own = (row + smoothing * parent) / (row.sum() + smoothing)
-                chance[k, code] = own
-                if (own * np.log(own / parent)).sum() >= divergence:
-                    kept.update((j, code & ((1 << 8 * j) - 1)) for j in range(1, k + 1))
-        # States besides the kept contexts are their beginnings, so that a state and a symbol fix the next state.
-        states = {(j, code >> 8 * (k - j) & ((1 << 8 * j) - 1)) for k, code in kept for j in range(k + 1)}
-        for k, code in list(states):
-            states.update((j, code & ((1 << 8 * j) - 1)) for j in range(k))
-        self.kept = len(kept)
-        order = sorted(states)
-        number = {s: i for i, s in enumerate(order)}
-        logp = np.empty((len(order), width), np.float32)
-        for (k, code), i in number.items():
-            own = next((j, code & ((1 << 8 * j) - 1)) for j in range(k, -1, -1) if (j, code & ((1 << 8 * j) - 1)) in kept)
-            logp[i] = np.log10(chance[own] / spread)
+            code, size = np.array(codes[k], np.int64), np.array(sizes[k], np.int64)
+            begin = np.cumsum(size) - size
+            parent, has = _find(live[k - 1], code & ((1 << 8 * (k - 1)) - 1))
+            order = np.argsort(code, kind="stable")
+            order = order[has[order]]
+            classes, n = self.classes[np.array(symbols[k], np.int64)], np.array(counts[k], np.float64)
+            own, far = np.empty((len(order), width), np.float32), np.zeros(len(order), bool)
+            for at in range(0, len(order), 8192):
+                block = order[at:at + 8192]
+                entry = np.repeat(begin[block] - np.cumsum(size[block]) + size[block], size[block]) + np.arange(size[block].sum())
+                row = np.bincount(np.repeat(np.arange(len(block)), size[block]) * width + classes[entry], n[entry],
+                                  len(block) * width).reshape(len(block), width)
+                above = chance[k - 1][parent[block]].astype(np.float64)
+                mixed = (row + smoothing * above) / (row.sum(axis=1, keepdims=True) + smoothing)
+                own[at:at + 8192] = mixed
+                far[at:at + 8192] = (mixed * np.log(mixed / above)).sum(axis=1) >= divergence
+            live.append(code[order])
+            chance.append(own)
+            kept.append(far)
+        for k in range(DEPTH, 0, -1):  # with a context its suffixes
+            kept[k - 1][_find(live[k - 1], live[k][kept[k]] & ((1 << 8 * (k - 1)) - 1))[0]] = True
+        self.kept = int(sum(f.sum() for f in kept))
+        # States besides the kept contexts are their beginnings and the suffixes of those, so that a state and a symbol fix the next state.
+        states = [np.unique(np.concatenate([live[k][kept[k]] >> 8 * (k - j) for k in range(j, DEPTH + 1)])) for j in range(DEPTH + 1)]
+        for k in range(DEPTH, 0, -1):
+            states[k - 1] = np.union1d(states[k - 1], states[k] & ((1 << 8 * (k - 1)) - 1))
+        first = np.cumsum([0] + [len(c) for c in states])
+        levels = [(c, first[k] + np.arange(len(c))) for k, c in enumerate(states)]
+        depth, codes = np.repeat(np.arange(DEPTH + 1), [len(c) for c in states]), np.concatenate(states)
+        logp = np.empty((len(codes), width), np.float32)
+        open_ = np.ones(len(codes), bool)
+        for j in range(DEPTH, -1, -1):
+            mine = np.flatnonzero(open_ & (depth >= j))
+            at, has = _find(live[j], codes[mine] & ((1 << 8 * j) - 1))
+            has[has] = kept[j][at[has]]
+            logp[mine[has]] = np.log10(chance[j][at[has]] / spread)
+            open_[mine[has]] = False
         self.width, self.logp = width, logp.ravel()
-        levels = [(np.array([c for j, c in order if j == k], np.int64), np.array([number[j, c] for j, c in order if j == k]))
-                  for k in range(DEPTH + 1)]
-        after = np.zeros((len(order), width), np.int32)
-        depth = np.array([k for k, _ in order])
-        codes = np.array([c for _, c in order], np.int64)
+        after = np.zeros((len(codes), width), np.int32)
         for cls, symbol in enumerate(seen):
-            found = np.zeros(len(order), bool)
+            found = np.zeros(len(codes), bool)
             for k in range(DEPTH, 0, -1):
                 able = ~found & (depth + 1 >= k)
                 wanted = (codes << 8 | symbol) & ((1 << 8 * k) - 1)
@@ -145,7 +173,7 @@ class SuffixTree:
                 after[hit, cls] = numbers[at[hit]]
                 found |= hit
         self.after = after.ravel()
-        self.root = number[0, 0]
+        self.root = 0
 
     @classmethod
     def restored(cls, tables):
@@ -203,9 +231,10 @@ def contexts(counts: DataFrame, rarity: float):
     summed = rows.groupBy("c.k", "c.code", "symbol").agg(F.sum("n").alias("n"))
     # At most 256 symbols follow a context.
     grouped = summed.groupBy("k", "code").agg(F.sum("n").alias("total"), F.collect_list(F.struct("symbol", "n")).alias("next"))
-    found = grouped.where((F.col("total") >= least_count(total, rarity)) | (F.col("k") == 0)).select("k", "code", "next").collect()
-    return [(r["k"], r["code"], [x["symbol"] for x in r["next"]], [x["n"] for x in r["next"]])
-            for r in sorted(found, key=lambda r: (r["k"], r["code"]))]
+    found = grouped.where((F.col("total") >= least_count(total, rarity)) | (F.col("k") == 0)).select(
+        "k", "code", F.col("next.symbol").alias("symbols"), F.col("next.n").alias("counts")).toArrow()
+    for batch in found.to_batches(max_chunksize=4096):
+        yield from zip(*(c.to_pylist() for c in batch.columns))
 
 
 def score(docs: DataFrame, modulus=7, value=2, rarity=RARITY, common=1e-6) -> DataFrame:
