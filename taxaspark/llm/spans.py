@@ -1,9 +1,5 @@
 """Substring deduplication by sliding spans of sentences."""
 
-import hashlib
-import re
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -17,6 +13,71 @@ STOP = np.zeros(256, bool)
 STOP[[ord(c) for c in ".!?"]] = True
 
 
+class Powers:
+    """Powers of the prime and of its inverse, as many as the longest input so far asked for."""
+
+    def __init__(self):
+        self.up, self.down = X.powers(1 << 12)
+
+    def sums(self, values, start, end):
+        """Hashes of the ranges ``start`` to ``end`` of ``values``; equal ranges have equal hashes wherever they stand."""
+        if len(values) >= len(self.up):
+            self.up, self.down = X.powers(2 * len(values))
+        prefix = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * self.up[:len(values)], out=prefix[1:])
+        return X.mixed((prefix[end] - prefix[start]) * self.down[start])
+
+
+class Layout:
+    """The pieces of several texts side by side: ``doc``, ``start``, ``end`` in it, ``stop`` (a sentence ends there),
+    ``total`` (words of all texts up to there); and ``words``, the hashes of all lower-cased words."""
+
+    def __init__(self, texts, powers, lower):
+        b = np.frombuffer((b"\n".join(texts) + b"\n").translate(lower), np.uint8)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        origin = np.cumsum(sizes + 1) - sizes - 1
+        space = X.SPACE[b]
+        edge = np.flatnonzero(np.diff(space, prepend=True))  # the last byte is a line end
+        begin, finish = edge[::2], edge[1::2]
+        self.words = np.empty(len(begin), np.uint64)
+        at = 0
+        while at < len(begin):  # by blocks, so that a long text needs no wide arrays of its bytes
+            to = max(at + 1, int(np.searchsorted(finish, begin[at] + (1 << 18), "right")))
+            low = begin[at]
+            self.words[at:to] = powers.sums(b[low:finish[to - 1]].astype(np.uint64) + np.uint64(1), begin[at:to] - low, finish[at:to] - low)
+            at = to
+        cut = np.flatnonzero((STOP[b] & np.append(space[1:], True)) | (b == 0x0A)) + 1
+        # A blank behind a stop belongs to the sentence it ends.
+        end = cut + (np.append(b, np.uint8(0))[cut] == 0x20)
+        total = np.searchsorted(begin, end)
+        before = np.append(0, total[:-1])
+        end, total, before = (x[total > before] for x in (end, total, before))
+        long = np.repeat(total - before > LONGEST, total - before)
+        long[total - 1] = False  # behind its last word a sentence ends anyway
+        inner = np.flatnonzero(long & ((self.words >> np.uint64(33)) % np.uint64(CUT) == 0)) + 1
+        every = np.concatenate([total, inner])
+        order = np.argsort(every)
+        self.stop, self.total = (np.arange(len(every)) < len(end))[order], every[order]
+        self.doc = np.searchsorted(origin, begin[self.total - 1], "right") - 1
+        self.end = np.concatenate([end, begin[inner]])[order] - origin[self.doc]
+        last = np.append(self.doc[1:] != self.doc[:-1], True)[:len(self.doc)]
+        self.end[last] = sizes[self.doc[last]]
+        self.start = np.append(0, self.end[:-1])[:len(self.end)]
+        self.start[np.append(True, last[:-1])[:len(self.end)]] = 0
+        self.first = np.searchsorted(self.doc, np.arange(len(texts) + 1))  # of each text its first piece
+
+
+def grouped(texts, size=1 << 18):
+    """Runs ``(number of the first, texts)`` of about ``size`` bytes of whole texts."""
+    held, total, at = [], 0, 0
+    for i, data in enumerate(texts):
+        held.append(data)
+        total += len(data)
+        if total >= size or i == len(texts) - 1:
+            yield at, held
+            held, total, at = [], 0, i + 1
+
+
 def sentences(data: bytes):
     """Bounds of the sentences and of the pieces of long ones, as :func:`pieces` finds them."""
     return [(a, b) for a, b, _ in pieces(data)]
@@ -26,64 +87,34 @@ def pieces(data: bytes):
     """``(start, end, whether a sentence ends there)`` of the sentences of a text: each ends behind a stop that white space follows, or behind a line end.
 
     Together the sentences are the whole text; one without a word joins the next.
-    A sentence of more than ``LONGEST`` words is cut behind every word whose checksum is a
+    A sentence of more than ``LONGEST`` words is cut behind every word whose hash is a
     multiple of ``CUT``, so equal passages are cut alike also without stops, or
     inside longer sentences: at most a few words at either end differ.
     """
-    if not data:
-        return []
-    b = np.frombuffer(data, np.uint8)
-    after = np.append(X.SPACE[b[1:]], True)
-    cut = np.flatnonzero((STOP[b] & after) | (b == 0x0A)) + 1
-    # A blank behind a stop belongs to the sentence it ends.
-    ends = [int(c) + (1 if c < len(b) and b[c] == 0x20 else 0) for c in cut]
-    if not ends or ends[-1] < len(data):
-        ends.append(len(data))
-    found, start = [], 0
-    for end in ends:
-        if end > start and data[start:end].strip():
-            if end - start > 2 * LONGEST and len(data[start:end].split()) > LONGEST:
-                base = start
-                for m in re.finditer(rb"(\S+)\s*", data[base:end]):
-                    if base + m.end() < end and zlib.crc32(m[1].lower()) % CUT == 0:
-                        found.append((start, base + m.end(), False))
-                        start = base + m.end()
-            found.append((start, end, True))
-            start = end
-    if found and found[-1][1] < len(data):
-        found[-1] = (found[-1][0], len(data), True)
-    return found
-
-
-def spans(data: bytes, run: int, least_words: int, lower):
-    """``(first, number, digest)`` of the runs from every piece on and up to every end of a sentence.
-
-    A run is the fewest pieces, ``run`` at least, that hold ``least_words``
+    found = Layout([data], Powers(), X.lower_table())
+    return list(zip(found.start.tolist(), found.end.tolist(), found.stop.tolist()))
+
+
+def spans(texts, run: int, least_words: int, powers, lower):
+    """Arrays ``text, first, number, high, low`` of the runs from every piece on and up to every end of a sentence.
+
+    A run is the fewest pieces of a text, ``run`` at least, that hold ``least_words``
     words (one long sentence can be a run); where a text has too few before or behind, none. Runs
     slide by one piece, so those up to a cut inside a sentence would add a few words at most. Words are compared
-    lower-cased (A-Z), white space between them as one blank.
+    lower-cased (A-Z), white space between them as one blank, by 96 bits of hashes.
     """
-    parts = pieces(data)
-    words = [data[a:b].translate(lower).split() for a, b, _ in parts]
-    total = [0]
-    for w in words:
-        total.append(total[-1] + len(w))
-    runs, end = set(), 0
-    for i in range(len(words)):
-        end = max(end, i + run)
-        while end < len(words) and total[end] - total[i] < least_words:
-            end += 1
-        if end > len(words) or total[end] - total[i] < least_words:
-            break
-        runs.add((i, end))
-    start = 0
-    for end in range(run, len(words) + 1):
-        while start + 1 <= end - run and total[end] - total[start + 1] >= least_words:
-            start += 1
-        if parts[end - 1][2] and total[end] - total[start] >= least_words:
-            runs.add((start, end))
-    joined = [b" ".join(w) for w in words]
-    return [(i, j - i, hashlib.blake2b(b" ".join(joined[i:j]), digest_size=12).digest()) for i, j in sorted(runs)]
+    found = Layout(texts, powers, lower)
+    n, total = len(found.total), np.append(0, found.total)
+    on = np.maximum(np.arange(n) + run, np.searchsorted(total, total[:-1] + least_words))
+    back = np.minimum(np.arange(1, n + 1) - run, np.searchsorted(total, total[1:] - least_words, "right") - 1)
+    ahead = np.flatnonzero(on <= found.first[found.doc + 1])
+    behind = np.flatnonzero(found.stop & (back >= found.first[found.doc]))
+    both = np.unique(np.concatenate([ahead * (n + 1) + on[ahead], back[behind] * (n + 1) + behind + 1]))
+    first, end = both // (n + 1), both % (n + 1)
+    high = powers.sums(found.words, total[first], total[end])
+    low = powers.sums(X.mixed(found.words + np.uint64(1)), total[first], total[end]) >> np.uint64(32)
+    text = found.doc[first]
+    return text, first - found.first[text], end - first, high.view(np.int64), low.astype(np.uint32).view(np.int32)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -95,21 +126,14 @@ def keyed(docs: DataFrame) -> DataFrame:
 def span_table(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
     """``doc_id, key, first, n, high, low``: every run of consecutive sentences with the parts of its 96-bit digest."""
     def rows_of(batches):
-        lower = X.lower_table()
+        powers, lower = Powers(), X.lower_table()
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            doc, keys, first, n, digests = [], [], [], [], []
-            for doc_id, key, data in zip(ids, batch.column("key").to_pylist(), X.binary_column(batch, "text")):
-                for i, k, digest in spans(data, run, least_words, lower):
-                    doc.append(doc_id)
-                    keys.append(key)
-                    first.append(i)
-                    n.append(k)
-                    digests.append(digest)
-            halves = np.frombuffer(b"".join(digests), np.dtype([("high", "<i8"), ("low", "<i4")]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(keys, pa.int32()), pa.array(first, pa.int32()), pa.array(n, pa.int32()),
-                 pa.array(np.ascontiguousarray(halves["high"])), pa.array(np.ascontiguousarray(halves["low"]))], names=["doc_id", "key", "first", "n", "high", "low"])
+            for at, texts in grouped(X.binary_column(batch, "text")):
+                text, first, n, high, low = spans(texts, run, least_words, powers, lower)
+                row = pa.array(text + at)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(row), batch.column("key").take(row), pa.array(first.astype(np.int32)),
+                     pa.array(n.astype(np.int32)), pa.array(high), pa.array(low)], names=["doc_id", "key", "first", "n", "high", "low"])
 
     return keyed(docs).mapInArrow(rows_of, "doc_id long, key int, first int, n int, high long, low int")
 
@@ -145,20 +169,28 @@ def deduplicate(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS)
     marked = keyed(docs).join(repeated(docs, run, least_words), ["doc_id", "key"], "left")
 
     def cleaned(batches):
+        powers, lower = Powers(), X.lower_table()
         for batch in batches:
-            out = []
-            for doc_id, data, covered in zip(batch.column("doc_id").to_pylist(), X.binary_column(batch, "text"),
-                                             batch.column("covered").to_pylist()):
-                bounds = sentences(data)
-                gone = {i for c in covered or () for i in range(c["first"], c["first"] + c["n"])}
-                lost = sum(len(data[bounds[i][0]:bounds[i][1]].split()) for i in gone if i < len(bounds))
-                text = b"".join(data[a:b] for i, (a, b) in enumerate(bounds) if i not in gone) if gone else data
-                out.append((doc_id, len(bounds), len(gone), lost, bool(gone), text.decode("utf-8", "replace")))
-            columns = list(zip(*out)) if out else [()] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)],
-                names=["doc_id", "n_sentences", "n_removed", "removed_words", "removed", "text"])
+            covered = batch.column("covered").to_pylist()
+            for at, texts in grouped(X.binary_column(batch, "text")):
+                found = Layout(texts, powers, lower)
+                size, sentence = np.diff(found.total, prepend=0), np.diff(found.first)
+                gone = np.zeros(len(found.total), bool)
+                out = []
+                for i, data in enumerate(texts):
+                    low, high = found.first[i], found.first[i + 1]
+                    for c in covered[at + i] or ():
+                        gone[low + c["first"]:low + c["first"] + c["n"]] = True
+                    if covered[at + i]:
+                        stays = low + np.flatnonzero(~gone[low:high])
+                        data = b"".join(data[a:b] for a, b in zip(found.start[stays].tolist(), found.end[stays].tolist()))
+                    out.append(data.decode("utf-8", "replace"))
+                counts = np.append(0, np.cumsum(gone)), np.append(0, np.cumsum(size * gone))
+                removed, words = (c[found.first[1:]] - c[found.first[:-1]] for c in counts)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(at, len(texts)), pa.array(sentence), pa.array(removed), pa.array(words),
+                     pa.array(removed > 0), pa.array(out, pa.string())],
+                    names=["doc_id", "n_sentences", "n_removed", "removed_words", "removed", "text"])
 
     return marked.mapInArrow(cleaned, "doc_id long, n_sentences long, n_removed long, removed_words long, "
                                       "removed boolean, text string")
