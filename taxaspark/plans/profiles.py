@@ -281,10 +281,13 @@ def unnormalised_predictions(spark, sf):
     return B.rounded(V.unnormalised_predictions(partial.select("sample_id", F.ln("rel_abund").alias("lp"))))
 
 
+# Every line is a row of the alignment: a sequence of its part, or a reference one under a name no sequence has.
 @query("unaligned_sequences", f"""WITH {B.SEQUENCES}
-SELECT taxon_id, aln FROM sequences WHERE taxon_id NOT IN (SELECT 'ASV' || p_partkey FROM part WHERE p_type <> 'LARGE')""")
+SELECT taxon_id, aln FROM sequences
+ANTI JOIN (SELECT CASE WHEN l_quantity >= 48 THEN 'ASV' ELSE 'REF' END || l_partkey AS taxon_id FROM lineitem) aligned USING (taxon_id)""")
 def unaligned_sequences(spark, sf):
-    aligned = B.table(spark, sf, "part").where("p_type <> 'LARGE'").select(B.prefixed("ASV", "p_partkey").alias("taxon_id"))
+    aligned = B.table(spark, sf, "lineitem").select(
+        F.concat(F.when(F.col("l_quantity") >= 48, "ASV").otherwise("REF"), F.col("l_partkey").cast("string")).alias("taxon_id"))
     return V.unaligned_sequences(B.sequences(spark, sf), aligned)
 
 

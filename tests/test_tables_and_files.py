@@ -321,3 +321,13 @@ def test_marker_index_from_record_names(spark):
     assert got == [("SGB10", "SGB10__b", 0), ("SGB10", "SGB10__c__d", 1), ("SGB2", "SGB2__a", 2), ("SGB2", "SGB2__g", 0), ("SGB2", "SGB2__g", 1)]
     with pytest.raises(Exception, match="no taxon in record"):
         marker_index(spark.createDataFrame([("SGBx__g", 1)], "record string, offset long")).collect()
+
+
+def test_unaligned_sequences_read_every_line(spark, tmp_path):
+    import __spark_entry__ as entry
+    spark.createDataFrame([(i, f"n{i}", "b", "LARGE") for i in range(1, 5)], "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(
+        str(tmp_path / "part.parquet"))
+    spark.createDataFrame([(1, 50.0), (2, 1.0), (3, 2.0), (3, 48.0), (None, 49.0)], "l_partkey long, l_quantity double").write.parquet(
+        str(tmp_path / "lineitem.parquet"))
+    got = entry.queries()["unaligned_sequences"](spark, str(tmp_path))
+    assert [r[0] for r in rows(got)] == ["ASV2", "ASV4"]
