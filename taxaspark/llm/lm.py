@@ -24,41 +24,50 @@ SEGMENT = 256
 RARITY = 3e-4
 
 
-def count_batches(batches, limit=4_000_000):
-    """Counts of words (the end among them) and of ``DEPTH + 1`` symbols, summed within a task."""
+def count_batches(batches, most_grams=1 << 21, most_words=1 << 18):
+    """Counts of words (the end among them) and of ``DEPTH + 1`` symbols, summed within a task.
+
+    A task holds about ``most_grams`` and ``most_words`` of them; what does not fit is sent on in parts, to be summed behind the shuffle.
+    """
     words, grams, held, size = Counter(), [], 0, 0
     lower = X.lower_table()
 
-    def flush(words, grams):
-        codes, n = _summed(grams)
-        known = list(words)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(known, pa.binary()), pa.nulls(len(known), pa.int64()), pa.array([words[w] for w in known], pa.int64())],
+    def word_rows(words):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(words.keys(), pa.binary()), pa.nulls(len(words), pa.int64()), pa.array(words.values(), pa.int64())],
             names=["word", "gram", "n"])
-        yield pa.RecordBatch.from_arrays(
+
+    def gram_rows(codes, n):
+        return pa.RecordBatch.from_arrays(
             [pa.nulls(len(codes), pa.binary()), pa.array(codes.astype(np.int64)), pa.array(n)], names=["word", "gram", "n"])
 
+    bodies, piece = [], 1 << 20
     for batch in batches:
-        bodies = []
         for data in X.binary_column(batch, "text"):
             parts = data.translate(lower).split()
             words.update(parts)
             words[END] += 1
-            bodies.append(END * DEPTH + b" ".join(parts) + END)
-            size += len(bodies[-1])
-            if size >= 1 << 21:
+            if len(words) > most_words:
+                yield word_rows(words)
+                words = Counter()
+            body = END * DEPTH + b" ".join(parts) + END
+            for at in range(0, len(body) - DEPTH, piece):
+                bodies.append(body[at:at + piece + DEPTH])
+                size += len(bodies[-1])
+                if size < piece:
+                    continue
                 grams.append(_grams(bodies))
                 bodies, size, held = [], 0, held + len(grams[-1][0])
-                if held > limit:
+                if held > most_grams:
                     grams = [_summed(grams)]
                     held = len(grams[0][0])
-            if len(words) > limit // 4:
-                yield from flush(words, grams)
-                words, grams, held = Counter(), [], 0
-        if bodies:
-            grams.append(_grams(bodies))
-            size, held = 0, held + len(grams[-1][0])
-    yield from flush(words, grams)
+                    if held > most_grams // 2:
+                        yield gram_rows(*grams.pop())
+                        held = 0
+    if bodies:
+        grams.append(_grams(bodies))
+    yield word_rows(words)
+    yield gram_rows(*_summed(grams))
 
 
 def _grams(bodies):
@@ -83,8 +92,12 @@ def _summed(parts):
     if not parts:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     codes, n = np.concatenate([c for c, _ in parts]), np.concatenate([n for _, n in parts])
-    codes, where = np.unique(codes, return_inverse=True)
-    return codes, np.bincount(where, n, len(codes)).astype(np.int64)
+    if not len(codes):
+        return codes, n
+    order = np.argsort(codes, kind="stable")
+    codes, n = codes[order], n[order]
+    edge = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+    return codes[edge], np.add.reduceat(n, edge)
 
 
 def _find(known, wanted):

@@ -343,6 +343,37 @@ def test_language_model_score_from_raw_counts(spark):
         assert got[i] == pytest.approx(want, abs=1e-2 + 1e-5 * abs(want))
 
 
+def test_counting_task_holds_bounded_grams_and_words():
+    """Random letters, hardly a run of six twice: what is held at a time does not follow the text."""
+    import tracemalloc
+    from collections import Counter
+
+    import pyarrow as pa
+
+    draw = np.random.default_rng(5)
+    texts = [draw.choice(np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789 ", np.uint8), 1 << 20).tobytes().decode() for _ in range(9)]
+    texts.append(texts[0])
+    tracemalloc.start()
+    total, grams = 0, []
+    for batch in lm.count_batches(pa.RecordBatch.from_pydict({"text": [t]}) for t in texts):
+        total += sum(n for w, n in zip(batch["word"].to_pylist(), batch["n"].to_pylist()) if w is not None) if batch["gram"].null_count else 0
+        grams.append(batch.num_rows if not batch["gram"].null_count else 0)
+        del batch
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400e6 and max(grams) <= 5 << 20 and total == sum(len(t.split()) + 1 for t in texts)
+    small = [" ".join(words(300, random.Random(i))) for i in range(4)] + [None, ""]
+    batches = lambda: iter([pa.RecordBatch.from_pydict({"text": pa.array(small, pa.string())})] * 2)
+    sums = Counter()
+    for most in (1 << 21, 5):
+        part = Counter()
+        for batch in lm.count_batches(batches(), most, most):
+            for w, g, n in zip(*(c.to_pylist() for c in batch.columns)):
+                part[w, g] += n
+        sums = sums or part
+        assert part == sums
+
+
 def test_suffix_tree_grows_with_the_corpus():
     sizes = [10 ** e for e in range(4, 15, 2)]
     bounds = [n / lm.least_count(n, lm.RARITY) for n in sizes]
