@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from taxaspark.llm import text as X
 
-TERMS, RANK = 8192, 64
+TERMS, RANK = 8192, 64  # terms: a power of two
 GROUP = 1 << 15         # bytes of text side by side; keeps the rows of a group in cache
 WINDOW, HALF = 32, 16
 COSINE = 0.5        # candidates are at least this near, times the root of a passage's share of a window
@@ -26,6 +26,7 @@ RUN = 13            # so many words in a row are a copy
 VERBATIM = 0.7      # share of an item in order that is a copy whatever is between
 PARAPHRASE, ANSWER = 0.55, 0.8  # a smaller share is one if the answer is there as well
 BLOCK_WORDS = 200_000  # benchmark words held by a task at a time
+LOT = 1 << 16       # words whose sums by term are taken at once
 STRIPE = 256        # terms of one partial result
 PAIRS = 1 << 21     # windows times benchmark passages compared at a time
 
@@ -49,7 +50,7 @@ def hashed(group):
 
 
 def bucketed(h):
-    return ((h >> np.uint64(20)) % np.uint64(TERMS)).astype(np.int64)
+    return ((h >> np.uint64(20)) & np.uint64(TERMS - 1)).astype(np.int64)
 
 
 def terms(group):
@@ -89,18 +90,29 @@ def passages(group):
     return bucket, np.cumsum(new) - 1, np.flatnonzero(new)
 
 
-def gram(bucket, passage, begin, idf, weighted):
-    """``Aᵀ(A omega)`` without the last factor idf, as the terms held and their sums.
+def gram(parts, idf, weighted):
+    """``Aᵀ(A omega)`` without the last factor idf, as the terms held and their sums, over passages of several groups.
 
     ``weighted`` is ``idf * omega``. A row is a passage's summed term weights over
-    the root of the sum of their squares, word by word.
+    the root of the sum of their squares, word by word. Sums by passage are taken group by group,
+    those by term over all of them, where a term stands more often.
     """
-    square = np.add.reduceat((idf * idf)[bucket], begin)
-    seen = np.add.reduceat(weighted[bucket], begin, axis=0) / square[:, None].astype(np.float32)
-    order = np.argsort(bucket.astype(np.uint16), kind="stable")
-    by = bucket[order]
-    edge = np.flatnonzero(np.concatenate(([True], by[1:] != by[:-1])))
-    return by[edge], np.add.reduceat(seen[passage[order]], edge, axis=0)
+    seen, before, buckets, rows = [], 0, [], []
+    for bucket, passage, begin in parts:
+        square = np.add.reduceat((idf * idf)[bucket], begin)
+        seen.append(np.add.reduceat(weighted[bucket], begin, axis=0) / square[:, None].astype(np.float32))
+        buckets.append(bucket.astype(np.uint16))
+        rows.append(passage + before)
+        before += len(begin)
+    bucket, seen = np.concatenate(buckets), np.concatenate(seen)
+    order = np.argsort(bucket, kind="stable")
+    by, row = bucket[order], np.concatenate(rows)[order]
+    edge = np.append(np.flatnonzero(np.concatenate(([True], by[1:] != by[:-1]))), len(by))
+    sums = np.empty((len(edge) - 1, weighted.shape[1]), np.float32)
+    for at in range(0, len(sums), STRIPE):  # few terms at a time, so that their rows stay in cache
+        cut = edge[at:at + STRIPE + 1]
+        sums[at:at + STRIPE] = np.add.reduceat(seen[row[cut[0]:cut[-1]]], cut[:-1] - cut[0], axis=0)
+    return by[edge[:-1]], sums
 
 
 def term_counts(docs: DataFrame):
@@ -110,8 +122,9 @@ def term_counts(docs: DataFrame):
         for batch in batches:
             for group in X.groups(X.binary_column(batch, "text"), GROUP):
                 bucket, passage, begin = passages(group)
-                held = np.unique(passage * TERMS + bucket) % TERMS
-                df[:-1] += np.bincount(held, minlength=TERMS)
+                held = np.sort(passage * TERMS + bucket)
+                new = np.flatnonzero(held[1:] != held[:-1]) + 1
+                df[:-1] += np.bincount(held[np.concatenate((np.zeros(min(len(held), 1), np.int64), new))] & (TERMS - 1), minlength=TERMS)
                 df[-1] += len(begin)
         held = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(df[held])], names=["term", "n"])
@@ -133,12 +146,23 @@ def range_products(docs: DataFrame, idf, omega):
 
     def partial(batches):
         total, weighted = np.zeros(omega.shape), (idf[:, None] * omega).astype(np.float32)
+        parts, words = [], 0
+
+        def add():
+            held, sums = gram(parts, idf, weighted)
+            total[held] += sums
+
         for batch in batches:
             for group in X.groups(X.binary_column(batch, "text"), GROUP):
-                bucket, passage, begin = passages(group)
-                if len(begin):
-                    held, sums = gram(bucket, passage, begin, idf, weighted)
-                    total[held] += sums
+                part = passages(group)
+                if len(part[0]):
+                    parts.append(part)
+                    words += len(part[0])
+                if words >= LOT:
+                    add()
+                    parts, words = [], 0
+        if parts:
+            add()
         yield stripes_of(total * idf[:, None])
 
     def stripes_of(total):
@@ -201,7 +225,7 @@ def latent_space(docs: DataFrame, bench: Benchmark, seed=17):
     omega = np.random.default_rng(seed).standard_normal((TERMS, RANK)).astype(np.float32)
     Y = range_products(docs, idf, omega) if many else np.zeros(omega.shape)
     own = passages([(i, b" ".join(w)) for i, (_, w) in enumerate(bench.pieces)])
-    held, sums = gram(*own, idf, (idf[:, None] * omega).astype(np.float32))
+    held, sums = gram([own], idf, (idf[:, None] * omega).astype(np.float32))
     Y[held] += sums * idf[held, None] * max(many / len(bench.pieces), 1.0)
     Y += 1e-3 * np.linalg.norm(Y) / np.sqrt(TERMS) * omega
     core = omega.T.astype(np.float64) @ Y
@@ -224,8 +248,8 @@ def common_subsequence(a, b):
         where[w] = where.get(w, 0) | (1 << i)
     full = (1 << len(a)) - 1
     state = full
-    for w in b:
-        hit = state & where.get(w, 0)
+    for places in filter(None, map(where.get, b)):
+        hit = state & places
         state = ((state + hit) | (state - hit)) & full
     return len(a) - bin(state).count("1")
 
@@ -242,9 +266,15 @@ def longest_run(a, b):
     return best
 
 
-def verdict(item, answer, region):
-    """``(share in order, longest run, whether the answer is there, contaminated)``."""
+def verdict(item, answer, region, may_run=True):
+    """``(share in order, longest run, whether the answer is there, contaminated)``.
+
+    Without ``may_run`` no run that makes a copy stands in the region; then a share below
+    that of a paraphrase settles it, and run and answer are not looked for.
+    """
     share = common_subsequence(item, region) / len(item)
+    if not may_run and share < PARAPHRASE:
+        return share, 0, False, False
     run = longest_run(item, region)
     has_answer = bool(answer) and common_subsequence(answer, region) >= ANSWER * len(answer)
     copied = run >= min(RUN, len(item)) or share >= VERBATIM or (share >= PARAPHRASE and has_answer)
@@ -253,7 +283,7 @@ def verdict(item, answer, region):
 
 def may_hold(item, region):
     """Whether the region holds enough of the item's words for the share of a paraphrase, in whatever order."""
-    held = set(region)
+    held = region if isinstance(region, frozenset) else set(region)
     return sum(map(held.__contains__, item)) >= PARAPHRASE * len(item)
 
 
@@ -305,7 +335,7 @@ class Searcher:
                     yield int(first[i]), k
 
     def candidates(self, rows, bucket, begin, follows):
-        """Windows and benchmark passages near each other that share enough words, and their cosines."""
+        """Windows and benchmark passages near each other that share enough words, and their cosines, as arrays."""
         edge = np.append(begin, len(bucket))
         step = max(1, PAIRS // (HALF * len(self.sizes)))
         for a in range(0, len(rows), step):
@@ -317,8 +347,23 @@ class Searcher:
             overlap[more] += half[more + 1]
             overlap = overlap.view(np.uint8)[:, :len(self.sizes)]
             cosine = rows[a:b] @ self.vectors.T
-            window, piece = np.nonzero((cosine >= self.least) & (overlap >= self.enough))
-            yield from zip((a + window).tolist(), piece.tolist(), cosine[window, piece].tolist())
+            window, piece = np.divmod(np.flatnonzero((cosine >= self.least) & (overlap >= self.enough)), len(self.sizes))
+            yield a + window, piece, cosine[window, piece]
+
+    def kept(self, rows, bucket, begin, follows, owner, place, copies):
+        """``(text, item, {place: cosine})``: the candidate windows by text and item, copies among them."""
+        parts = list(self.candidates(rows, bucket, begin, follows))
+        window, piece, cosine = (np.concatenate(c) for c in zip(*parts))
+        pair = owner[window] * len(self.words) + self.item[piece]
+        order = np.lexsort((cosine, place[window], pair))  # of a place the highest cosine comes last and stays
+        pair, where, cosine = pair[order], place[window[order]].tolist(), cosine[order].tolist()
+        edge = np.append(np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))), len(pair)).tolist() if len(pair) else [0]
+        rest = dict(copies)
+        for a, b, both in zip(edge, edge[1:], pair[edge[:-1]].tolist()):
+            t, k = divmod(both, len(self.words))
+            yield t, k, dict(zip(where[a:b], cosine[a:b])) | rest.pop((t, k), {})
+        for (t, k), places in rest.items():
+            yield t, k, places
 
     def search(self, texts):
         """Per text its matches ``{item: (cosine, share, run, answer)}``."""
@@ -338,24 +383,24 @@ class Searcher:
             rows = halves.copy()
             rows[follows] += halves[np.flatnonzero(follows) + 1]
             rows = unit(rows)
-            kept = {}
-            for w, p, c in self.candidates(rows, bucket, begin, follows):
-                places = kept.setdefault((int(owner[w]), int(self.item[p])), {})
-                places[int(at[begin[w]])] = max(c, places.get(int(at[begin[w]]), c))
-            copies = set()
+            place = at[begin]
+            copies = {}
             for word, k in self.copied(h, of):
-                copies.add((int(owner[np.searchsorted(begin, word, side="right") - 1]), k))
                 w = int(np.searchsorted(begin, word, side="right")) - 1
                 c = float((self.vectors[self.own[k]] @ rows[w]).max())
-                kept.setdefault((int(owner[w]), k), {})[int(at[begin[w]])] = c
-            words = {}
-            for (t, k), places in kept.items():
+                copies.setdefault((int(owner[w]), k), {})[int(place[w])] = c
+            words, vocabulary = {}, {}
+            for t, k, places in self.kept(rows, bucket, begin, follows, owner, place, copies):
                 if t not in words:
                     words[t] = word_list(group[t][1])
+                    vocabulary[t] = frozenset(words[t])
+                # What a whole text lacks no region of it has.
+                if (t, k) not in copies and not may_hold(self.words[k], vocabulary[t]):
+                    continue
                 for region, cosine in regions(places.items(), len(self.words[k])):
                     if (t, k) not in copies and not may_hold(self.words[k], words[t][region]):
                         continue
-                    share, run, has_answer, copied = verdict(self.words[k], self.answers[k], words[t][region])
+                    share, run, has_answer, copied = verdict(self.words[k], self.answers[k], words[t][region], (t, k) in copies)
                     old = found[index[t]].get(k)
                     if copied and (old is None or share > old[1]):
                         found[index[t]][k] = (cosine, share, run, has_answer)

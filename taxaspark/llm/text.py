@@ -1,5 +1,7 @@
 """Words, hashes and groups of whole texts, in NumPy over their UTF-8 bytes."""
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 
@@ -48,8 +50,20 @@ def groups(texts, size=1 << 18, pieces=blocks):
         yield held
 
 
+FEW = 1 << 16
+
+
 def powers(n):
     """``PRIME**i`` and ``PRIME**-i`` modulo 2**64 for i below n."""
+    return [p[:n] for p in _few_powers()] if n <= FEW else _powers(n)
+
+
+@functools.cache
+def _few_powers():
+    return _powers(FEW)
+
+
+def _powers(n):
     both = []
     for base in (PRIME, pow(PRIME, -1, 1 << 64)):
         steps = np.full(n, base, np.uint64)
@@ -84,7 +98,8 @@ class Pieces:
 
     def words(self):
         """Start, end and text index of every word."""
-        edge = np.flatnonzero(np.diff(self.is_word.astype(np.int8), prepend=0, append=0))
+        # The first and the last byte are blanks.
+        edge = np.flatnonzero(self.is_word[1:] != self.is_word[:-1]) + 1
         start, end = edge[::2], edge[1::2]
         return start, end, np.searchsorted(self.starts, start, side="right") - 1
 

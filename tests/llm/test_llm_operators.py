@@ -513,6 +513,28 @@ def test_decontamination_finds_every_run_and_short_items_over_a_block_end(spark)
     assert {(i, i) for i, _ in items} <= got
 
 
+def test_products_over_several_groups_and_verdicts_without_a_run():
+    draw = np.random.default_rng(2)
+    idf, omega = draw.random(decontaminate.TERMS) + 0.1, draw.standard_normal((decontaminate.TERMS, 4)).astype(np.float32)
+    parts, dense = [], []
+    for n in (1, 700, 40):
+        begin = np.unique(np.append(draw.integers(0, n, n // 20), 0))
+        bucket, passage = draw.integers(0, 300, n) ** 2 % decontaminate.TERMS, np.zeros(n, np.int64)
+        passage[begin[1:]] = 1
+        parts.append((bucket, np.cumsum(passage), begin))
+        for a, b in zip(begin, np.append(begin[1:], n)):
+            counts = np.bincount(bucket[a:b], minlength=decontaminate.TERMS)
+            dense.append((counts, counts @ (idf[:, None] * omega) / (counts @ idf ** 2)))
+    want = sum(np.outer(c, seen) for c, seen in dense)
+    held, sums = decontaminate.gram(parts, idf, idf[:, None].astype(np.float32) * omega)
+    assert np.allclose(sums, want[held], atol=1e-3, rtol=1e-3) and set(held) == set(np.flatnonzero(sum(c for c, _ in dense)))
+    item = [str(i) for i in range(20)]
+    for region in (item[:5] + ["x"] + item[9:], item[:9], ["x"] * 5, item):
+        full = decontaminate.verdict(item, item[-3:], region)
+        short = decontaminate.verdict(item, item[-3:], region, may_run=full[1] >= decontaminate.RUN)
+        assert short == full if full[0] >= decontaminate.PARAPHRASE or full[3] else not short[3] and not full[3]
+
+
 def test_common_subsequence_by_dynamic_programme():
     draw = random.Random(6)
     for _ in range(30):
