@@ -1,8 +1,9 @@
 """Spelling variants: words one edit apart, found by walking a trie of all words as a relation.
 
-The trie is a table of edges; unary stretches are one edge with a longer label. The frontier
-is a table of states (word, position, node, edits). Level by level it is joined with the edges, all
-words and all nodes at once, and terminal states with one edit are the neighbours.
+The trie is a table of edges; unary stretches are one edge with a longer label. It holds every word twice,
+forwards and backwards, behind a mark: two words one edit apart agree in a half, so a path is left only behind
+its middle, where few edges lead on. The frontier is a table of states (word, position, node, edits). Level by
+level it is joined with the edges, all words and all nodes at once, and terminal states with one edit are the neighbours.
 """
 
 import hashlib
@@ -16,7 +17,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from taxaspark.llm import text as X
 from taxaspark.llm.tables import materialize
 
-RUN = "[a-zÀ-ÿ]+"
+LETTERS = "[a-zÀ-ÿ]"
+AHEAD, BACK = ">", "<"  # marks before a word and before a reversed one
 LEAST = 6         # code points of a word
 TIMES = 5         # occurrences of a word
 FACTOR = 5        # a form is so many times as frequent
@@ -31,7 +33,8 @@ def word_counts(docs: DataFrame, least: int = LEAST, slips: int = SLIPS) -> Data
     A text is read in pieces; counts are combined inside a task before the shuffle.
     """
     def counted(batches):
-        run, lower, total = re.compile(RUN), X.lower_table(), Counter()
+        # A shorter run is no word, with a slip or without.
+        run, lower, total = re.compile(f"{LETTERS}{{{max(least, 1)},}}"), X.lower_table(), Counter()
 
         def rows():
             return pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], names=["word", "n"])
@@ -41,8 +44,6 @@ def word_counts(docs: DataFrame, least: int = LEAST, slips: int = SLIPS) -> Data
                 start = None if doc_id is None else zlib.crc32(b"%d:" % doc_id)
                 for piece in X.blocks(data):
                     for word, n in Counter(run.findall(piece.translate(lower).decode("utf-8", "replace"))).items():
-                        if len(word) < least:
-                            continue
                         if start is not None:
                             h = zlib.crc32(word.encode(), start)
                             if h % slips == 0:
@@ -61,7 +62,7 @@ def word_counts(docs: DataFrame, least: int = LEAST, slips: int = SLIPS) -> Data
 
 
 def prefixes(words: DataFrame) -> DataFrame:
-    """``word, pos, prefix, out``: a 128-bit digest of every prefix of every word, and the code point behind it (null at the end)."""
+    """``word, pos, prefix, out``: a 128-bit digest of every prefix of every word, and the number of the code point behind it (null at the end)."""
     def cut(batches):
         for batch in batches:
             words, places, digests, outs = [], [], [], []
@@ -72,19 +73,19 @@ def prefixes(words: DataFrame) -> DataFrame:
                     places.append(pos)
                     digests.append(state)
                     out = word[pos] if pos < len(word) else None
-                    outs.append(out)
+                    outs.append(None if out is None else ord(out))
                     if out is not None:
                         state = hashlib.blake2b(state + out.encode(), digest_size=16).digest()
                 if len(words) >= 1 << 16:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(words, pa.string()), pa.array(places, pa.int32()), pa.array(digests, pa.binary()), pa.array(outs, pa.string())],
+                        [pa.array(words, pa.string()), pa.array(places, pa.int32()), pa.array(digests, pa.binary()), pa.array(outs, pa.int32())],
                         names=["word", "pos", "prefix", "out"])
                     words, places, digests, outs = [], [], [], []
             yield pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.string()), pa.array(places, pa.int32()), pa.array(digests, pa.binary()), pa.array(outs, pa.string())],
+                [pa.array(words, pa.string()), pa.array(places, pa.int32()), pa.array(digests, pa.binary()), pa.array(outs, pa.int32())],
                 names=["word", "pos", "prefix", "out"])
 
-    return words.select("word").mapInArrow(cut, "word string, pos int, prefix binary, out string")
+    return words.select("word").mapInArrow(cut, "word string, pos int, prefix binary, out int")
 
 
 def trie_edges(vocabulary: DataFrame, states: int = STATES) -> DataFrame:
@@ -101,7 +102,7 @@ def trie_edges(vocabulary: DataFrame, states: int = STATES) -> DataFrame:
         F.count(F.lit(1)).alias("below"), F.first("pos").alias("depth")).where("is_word OR lo <> hi OR depth = 0").select(
         "prefix", "below", F.when(F.col("depth") == 0, -1).otherwise(F.monotonically_increasing_id()).alias("node"))
     nodes = materialize(nodes, "trie-nodes")
-    on_path = every.join(nodes, "prefix").groupBy("word").agg(
+    on_path = every.join(nodes.hint("shuffle_hash"), "prefix").groupBy("word").agg(
         F.array_sort(F.collect_list(F.struct("pos", "node", "below"))).alias("path"))
     steps = on_path.where(F.size("path") > 1).select("word", "path", F.explode(F.sequence(F.lit(1), F.size("path") - 1)).alias("i")).select(
         "word", F.col("path")[F.col("i") - 1].alias("up"), F.col("path")[F.col("i")].alias("at"))
@@ -130,24 +131,39 @@ def salt_of(word, salts) -> Column:
     return F.pmod(F.xxhash64(word), salts).cast("int")
 
 
+def both_ways(vocabulary: DataFrame) -> DataFrame:
+    """``word, n, turn``: every word behind ``AHEAD`` and, reversed, behind ``BACK``; ``turn`` is the place from which it may be left.
+
+    The first ``length // 2`` code points are the half ahead, the others the half back.
+    """
+    half = F.floor(F.length("word") / 2).cast("int")
+    ways = F.array(F.struct(F.concat(F.lit(AHEAD), "word").alias("word"), (half + 1).alias("turn")),
+                   F.struct(F.concat(F.lit(BACK), F.reverse("word")).alias("word"), (F.length("word") - half + 1).alias("turn")))
+    return vocabulary.select("n", F.explode(ways).alias("way")).select("way.word", "n", "way.turn")
+
+
 def arrivals(states: DataFrame, edges: DataFrame) -> DataFrame:
-    """The next level: ``word, pos, node, edits, salt, open, near, near_n`` after one edge from every state.
+    """The next level: ``word, turn, pos, node, edits, salt, open, near, near_n`` after one edge from every state.
 
     A state without an edit is on its word's own path. It leaves the path only at the first code point in
-    which the two words differ, so each neighbour is reached once: by a replaced code point, by one more
+    which the two words differ, and not before ``turn``: by a replaced code point, by one more
     or by one less. A state with an edit follows its word exactly. Both look one code point ahead:
     where nothing leads on from the child, the state ends.
     """
-    word, pos, label = F.col("word"), F.col("pos"), F.col("label")
+    word, pos, label, turn, before = F.col("word"), F.col("pos"), F.col("label"), F.col("turn"), F.col("edits")
     size, length = F.length(label), F.length(word)
-    step = lambda end, edits: F.struct(end.cast("int").alias("pos"), F.lit(edits).alias("edits"))
+    step = lambda end, edits: F.struct(end.cast("int").alias("pos"), edits.alias("edits"))
     leads_on = lambda end: F.when(end < length, F.contains(F.col("outs"), part(word, end, F.lit(1)))).otherwise(
         (end == length) & F.col("near").isNotNull())
 
     # Edges are dealt evenly by their copies: a hash table of a task's share spares the sort of the states.
     edges = edges.hint("shuffle_hash")
-    whole = states.where("edits = 0").drop("edits").select(
-        "*", *[part(word, pos + i, F.lit(1)).alias(f"c{i}") for i in range(3)]).join(edges, ["node", "salt"])
+    ahead = [part(word, pos + i, F.lit(1)).alias(f"c{i}") for i in range(3)]
+    # Before its turn, and with an edit, a word goes on only by an edge that begins with its next code point.
+    bound = states.where("edits = 1 OR pos < turn").select("*", ahead[0], F.lit("").alias("c1"), F.lit("").alias("c2"), ahead[0].alias("first")).join(
+        edges, ["node", "salt", "first"])
+    free = states.where("edits = 0 AND pos >= turn").select("*", *ahead).join(edges, ["node", "salt"])
+    whole = bound.unionByName(free.select(bound.columns))
     # The offset of the first difference of a longer label and the rest of the word.
     differ = F.array_position(F.transform(
         F.sequence(F.lit(0), size - 1), lambda i: part(word, pos + i, F.lit(1)) == part(label, i, F.lit(1))), F.lit(False)).cast("int") - 1
@@ -163,19 +179,17 @@ def arrivals(states: DataFrame, edges: DataFrame) -> DataFrame:
         "more": (pos + size - 1, near_at(0), tail == part(word, pos + k, size - k - 1)),
         "less": (pos + size + 1, (F.col("c1") == label) & near_at(2), has & (part(label, k, size - k) == part(word, pos + k + 1, size - k))),
     }
+    leaves = ~F.col("own") & (before == 0) & (pos + F.coalesce(k, F.lit(0)) >= turn)
     for name, (end, one, several) in ways.items():
-        whole = whole.withColumn(name, ~F.col("own") & F.when(size == 1, one).otherwise(several & leads_on(end)))
-    whole = whole.where("own OR replaced OR more OR less").withColumn("to", F.explode(F.array(
-        F.when(F.col("own"), step(pos + size, 0)).when(F.col("replaced"), step(pos + size, 1)),
-        *[F.when(F.col(name), step(ways[name][0], 1)) for name in ("more", "less")]))).where("to IS NOT NULL")
-    edited = states.where("edits = 1").drop("edits").withColumn("first", part(word, pos, F.lit(1))).join(edges, ["node", "salt", "first"]).where(
-        (part(word, pos, size) == label) & leads_on(pos + size)).withColumn("to", step(pos + size, 1))
-    columns = ["word", "to", "child", "salts", "outs", "near", "near_n"]
-    both = whole.select(*columns).unionByName(edited.select(*columns))
+        whole = whole.withColumn(name, leaves & F.when(size == 1, one).otherwise(several & leads_on(end)))
+    whole = whole.withColumn("own", F.col("own") & ((before == 0) | leads_on(pos + size)))
+    both = whole.where("own OR replaced OR more OR less").withColumn("to", F.explode(F.array(
+        F.when(F.col("own"), step(pos + size, before)).when(F.col("replaced"), step(pos + size, F.lit(1))),
+        *[F.when(F.col(name), step(ways[name][0], F.lit(1))) for name in ("more", "less")]))).where("to IS NOT NULL")
     end, edits = F.col("to.pos"), F.col("to.edits")
     is_near = F.col("near").isNotNull() & (end == F.when(edits == 0, length - 1).otherwise(length))
     return both.select(
-        "word", end.alias("pos"), F.col("child").alias("node"), edits.alias("edits"), salt_of("word", F.col("salts")).alias("salt"),
+        "word", "turn", end.alias("pos"), F.col("child").alias("node"), edits.alias("edits"), salt_of("word", F.col("salts")).alias("salt"),
         ((F.col("outs") != "") & ((edits == 0) | (end < length))).alias("open"),
         F.when(is_near, F.col("near")).alias("near"), F.when(is_near, F.col("near_n")).alias("near_n"))
 
@@ -183,19 +197,25 @@ def arrivals(states: DataFrame, edges: DataFrame) -> DataFrame:
 def neighbours(vocabulary: DataFrame, states: int = STATES) -> DataFrame:
     """``word, near, near_n``: all pairs of words of ``vocabulary (word, n)`` one edit apart, both ways.
 
-    As many levels as the trie has nodes on its longest path.
+    As many levels as the trie has nodes on its longest path. Words that agree in the half ahead may
+    meet on both ways; those pairs count on the way ahead only.
     """
-    edges = trie_edges(vocabulary, states)
-    total = vocabulary.count()
-    frontier = vocabulary.select(
-        "word", F.lit(0).alias("pos"), F.lit(-1).cast("long").alias("node"), F.lit(0).alias("edits"),
+    keys = materialize(both_ways(vocabulary), "keys")
+    edges = trie_edges(keys, states)
+    total = keys.count()
+    frontier = keys.select(
+        "word", "turn", F.lit(0).alias("pos"), F.lit(-1).cast("long").alias("node"), F.lit(0).alias("edits"),
         salt_of("word", F.lit(max(1, -(-total // states)))).alias("salt"))
+    ahead = F.startswith("word", F.lit(AHEAD))
+    plain = lambda key: F.when(ahead, part(F.col(key), 1)).otherwise(F.reverse(part(F.col(key), 1)))
+    half = F.floor(F.length("word") / 2).cast("int")
     found = None
     while True:
         level = materialize(arrivals(frontier, edges), "frontier")
-        pairs = level.where("near IS NOT NULL").select("word", "near", "near_n")
+        pairs = level.where("near IS NOT NULL").select(plain("word").alias("word"), plain("near").alias("near"), "near_n", ahead.alias("ahead")).where(
+            F.col("ahead") | (F.substring("word", F.lit(1), half) != F.substring("near", F.lit(1), half))).drop("ahead")
         found = pairs if found is None else found.unionByName(pairs)
-        frontier = level.where("open").select("word", "pos", "node", "edits", "salt")
+        frontier = level.where("open").select("word", "turn", "pos", "node", "edits", "salt")
         if frontier.isEmpty():
             return found
 

@@ -82,6 +82,23 @@ def test_variants_match_brute_force(spark, states):
     assert got == want and len(want) > 50 and any(w[2] != w[1] is not None for w in want) and any(w[4] > 3 for w in want)
 
 
+def test_words_are_left_behind_their_middle_and_pairs_found_once(spark):
+    draw = random.Random(3)
+    words = {"".join(draw.choice("aab") for _ in range(draw.randint(6, 9))) for _ in range(300)} | {"a" * i for i in range(6, 12)}
+    vocabulary = spark.createDataFrame([(w, 5) for w in sorted(words)], "word string, n long")
+    keys = spelling.both_ways(vocabulary)
+    edges = spelling.trie_edges(keys)
+    frontier = keys.selectExpr("word", "turn", "0 AS pos", "-1L AS node", "0 AS edits", "0 AS salt")
+    for _ in range(3):
+        level = spelling.arrivals(frontier, edges).cache()
+        assert level.where("edits = 1 AND pos < turn - 1").count() == 0 and level.where("edits = 0").count() > 0
+        frontier = level.where("open").select(*frontier.columns)
+    got = sorted((r.word, r.near) for r in spelling.neighbours(vocabulary).collect())
+    cut = lambda w: {w[:i] + w[i + 1:] for i in range(len(w))}
+    near = lambda a, b: a != b and (a in cut(b) or b in cut(a) or len(a) == len(b) and sum(x != y for x, y in zip(a, b)) == 1)
+    assert got == sorted((a, b) for a in words for b in words if near(a, b)) and len(got) > 500
+
+
 def test_variants_ties_go_to_the_smaller_word(spark):
     rows = [(i, "lettar") for i in range(5)] + [(10 + i, "letter lettbr") for i in range(30)]
     got = got_variants(spelling.variants(spark.createDataFrame(rows, "doc_id long, text string"), slips=10**9))
