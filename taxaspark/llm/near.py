@@ -22,6 +22,7 @@ ROWS = 2           # minhashes of a sub-key
 MISS = 1e-4        # chance that a pair exactly at the threshold shares no table
 SMALL = 8          # buckets up to this size are compared pair by pair
 FEW, MANY = 256, 512  # documents on the two sides of a tile
+KEYS = 1 << 18     # keys of tables that a task makes and counts, about
 
 
 def sub_keys(percent: int) -> int:
@@ -101,15 +102,26 @@ def fits(x, y, percent):
     return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
 
+def table_keys(reps: DataFrame, most: int = KEYS) -> DataFrame:
+    """``key, id, n, i``: the keys of all tables, a node's next to each other.
+
+    A node has a key for each pair of sub-keys, so a small file of nodes gives a
+    hundred times as many rows. Nodes are dealt out first: a task makes about
+    ``most`` keys, however few files the nodes lie in.
+    """
+    total = reps.agg(F.sum(F.size("left").cast("long") * F.size("right"))).first()[0] or 0
+    tables = reps.repartition(total // most + 1, "id").select("id", "n", F.posexplode("left").alias("i", "l"), "right").select(
+        "id", "n", "i", "l", F.posexplode("right").alias("j", "r"))
+    return tables.select(F.xxhash64("i", "j", "l", "r").alias("key"), "id", "n", "i")
+
+
 def buckets(reps: DataFrame) -> DataFrame:
     """``key, id, n, size, pivot, pivot_n``: members of all tables' buckets of two or more.
 
     Only keys that repeat go on from the first count. Pivots follow an order that is
     random by left sub-key, so a large group has several and not one per table.
     """
-    tables = reps.select("id", "n", F.posexplode("left").alias("i", "l"), "right").select(
-        "id", "n", "i", "l", F.posexplode("right").alias("j", "r"))
-    keys = tables.select(F.xxhash64("i", "j", "l", "r").alias("key"), "id", "n", "i")
+    keys = table_keys(reps)
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = materialize(keys.join(sizes, "key"), "members")
     pivots = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "i").alias("order"), "id", "n")).alias("pivot"))

@@ -475,6 +475,30 @@ def test_tensored_tables_need_few_minhashes():
     assert m == 8 and 2 * m * near.ROWS < m * m
 
 
+def test_tasks_make_a_bounded_number_of_table_keys(spark):
+    """Nodes of a single file, as Spark merges small parts: before, one task made and counted all their keys."""
+    from pyspark.sql import functions as F
+
+    draw = random.Random(31)
+    rows = [(i, 9, [draw.randrange(50) for _ in range(10)], [draw.randrange(50) for _ in range(10)]) for i in range(600)]
+    reps = spark.createDataFrame(rows, "id long, n long, left array<long>, right array<long>").coalesce(1)
+    keys = near.table_keys(reps, 5000)
+    made = keys.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in made) == 60_000 and max(r["count"] for r in made) <= 10_000
+    assert near.table_keys(reps).rdd.getNumPartitions() == 1
+    # Buckets of two or more, and no others, whatever the deal.
+    groups = {}
+    for i, _, left, right in rows:
+        for a, x in enumerate(left):
+            for b, y in enumerate(right):
+                groups.setdefault((a, b, x, y), set()).add(i)
+    got = {}
+    for r in near.buckets(reps).collect():
+        got.setdefault(r["key"], (r["size"], set()))[1].add(r["id"])
+    assert all(size == len(ids) for size, ids in got.values())
+    assert sorted(sorted(ids) for _, ids in got.values()) == sorted(sorted(ids) for ids in groups.values() if len(ids) > 1)
+
+
 # --- decontamination --------------------------------------------------------------------
 
 def test_decontamination_finds_copies_and_paraphrases(spark, odd, empty):
