@@ -29,8 +29,8 @@ def drop_contaminated(spark, docs, sf_dir):
 
 
 def pack_sequences(spark, docs, sf_dir):
-    """The rest is packed into sequences of 1024 tokens."""
-    return pack.pack(docs)
+    """The rest is packed into sequences of 1024 tokens; workers already hold the memory of four stages, so they remember fewer pieces."""
+    return pack.pack(docs, kept_pieces=100_000)
 
 
 STAGES = [

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from taxaspark.llm import text as X
 from taxaspark.llm.tables import materialize
-from taxaspark.llm.tokens import encoded, tokenizer_path
+from taxaspark.llm.tokens import KEPT_PIECES, encoded, tokenizer_path
 
 DIMS, BITS, BUCKETS = 4, 12, 1024
 RANGE_BYTES = 64 << 20
+ROWS = 1024
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
                     ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -20,6 +21,13 @@ PIECES_SQL = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens
               "sequence_id long, offset long")
 
 
+def slices(batches, rows: int = ROWS):
+    """The same rows in order, at most ``rows`` at a time, so that few texts are Python objects at once."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def hilbert_key(cells, bits: int = BITS):
     """Position along the Hilbert curve of integer points (n, dims) with ``bits`` bits a side.
 
@@ -90,7 +98,7 @@ def weighed(docs: DataFrame) -> DataFrame:
     """``key, bytes`` of every document."""
     def weigh(batches):
         directions = projection()
-        for batch in batches:
+        for batch in slices(batches):
             texts = X.binary_column(batch, "text")
             keys = range_keys(curve_keys(texts, directions), batch.column("spread").to_numpy())
             yield pa.RecordBatch.from_arrays(
@@ -124,7 +132,7 @@ def with_range(docs: DataFrame, cuts) -> DataFrame:
     """``doc_id, text, key, range``: place of every document along the curve and the number of its range."""
     def placed(batches):
         directions = projection()
-        for batch in batches:
+        for batch in slices(batches):
             keys = range_keys(curve_keys(X.binary_column(batch, "text"), directions), batch.column("spread").to_numpy())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text"), batch.column("spread"), pa.array((keys ^ np.uint64(1 << 63)).view(np.int64)),
@@ -189,7 +197,7 @@ class Packer:
 
 
 def pack(docs: DataFrame, length: int = 1024, end_id: int = 0, tokenizer: str = None,
-         with_ids: bool = False, range_bytes: int = RANGE_BYTES) -> DataFrame:
+         with_ids: bool = False, range_bytes: int = RANGE_BYTES, kept_pieces: int = KEPT_PIECES) -> DataFrame:
     """Pieces ``(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids])``.
 
     Documents are ranged by Hilbert key, ranges holding about equal bytes (a longer text is one
@@ -197,7 +205,8 @@ def pack(docs: DataFrame, length: int = 1024, end_id: int = 0, tokenizer: str =
     sequence holds neighbours; a document may be cut anywhere. The last, partly
     filled sequence of a range is recut to powers of two, so nothing is padded.
     Equal keys (copies) are spread over ranges by a hash of the id, so a group of
-    copies of any size is several tasks' work. A task holds one open sequence.
+    copies of any size is several tasks' work. A task holds one open sequence, and
+    a worker at most about twice ``kept_pieces`` pieces of text with their ids.
 
     Null and empty texts are the end id alone; a null doc_id is kept as null;
     rows that repeat an id are packed each on their own. Other columns are
@@ -208,11 +217,11 @@ def pack(docs: DataFrame, length: int = 1024, end_id: int = 0, tokenizer: str =
 
     def packed(batches):
         packer = Packer(length, TaskContext.get().partitionId() << 33)
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for i, data in encoded(texts, path):
+            for i, data in encoded(texts, path, kept=kept_pieces):
                 packer.add(ids[i], data + end)
-                if len(packer.done) >= 4096:
+                if len(packer.done) >= ROWS:
                     yield packer.batch(with_ids)
         packer.finish()
         yield packer.batch(with_ids)

@@ -5,7 +5,7 @@ from array import array
 import numpy as np
 
 TOKENIZER = "byte_bpe_50k.json"
-KEPT_PIECES = 1_500_000
+KEPT_PIECES = 750_000
 PUNCTUATION = "!#$%&()*+,-./:;<=>?@[]^_`{|}~"  # ASCII, without quotes, which start contractions
 
 
@@ -33,18 +33,21 @@ class Encoder:
     characters. Texts are cut there, each distinct piece goes to the library once,
     and its ids are remembered; a text with any other white space goes to the
     library whole. The memory outlives a task where Spark reuses its worker: it
-    hangs on the library's own module.
+    hangs on the library's own module. It has two halves: when the newer holds ``kept``
+    pieces it becomes the older, whose pieces come back as texts use them and are
+    forgotten otherwise. Fewer pieces take less memory and more time.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT_PIECES):
         import tokenizers
 
         store = tokenizers.__dict__.setdefault("_remembered_pieces", {})
         if path not in store:
             library = tokenizers.Tokenizer.from_file(path)
             library.encode_special_tokens = True  # their strings in a text are ordinary text
-            store[path] = (library, {}, {})
-        self.library, self.pieces, self.tails = store[path]
+            store[path] = (library, {}, {}, {})
+        self.library, self.pieces, self.older, self.tails = store[path]
+        self.kept = kept
 
     def _model_ids(self, pre_token):
         """Ids of one pre-token: its bytes written as the vocabulary writes them, through the library's model."""
@@ -67,9 +70,8 @@ class Encoder:
             stem = piece.rstrip(PUNCTUATION)
             body = stem[1:] if first else stem
             if body.isalpha():
-                ids = pieces.get(stem)
-                if ids is None:
-                    ids = pieces[stem] = self._model_ids(body if first else " " + body)
+                ids = pieces.get(stem) or self.older.get(stem) or self._model_ids(body if first else " " + body)
+                pieces[stem] = ids
                 if len(stem) < len(piece):
                     tail = piece[len(stem):]
                     if tail not in self.tails:
@@ -93,11 +95,16 @@ class Encoder:
     def encode_many(self, texts):
         """Ids of each text as little-endian unsigned 32-bit bytes."""
         split = [None if "\0" in t else ("\0" + t.replace("\n", " \n \0")).split(" ") if t else [] for t in texts]
-        if len(self.pieces) > KEPT_PIECES:
+        if len(self.pieces) > self.kept:
+            self.older.clear()
+            self.older.update(self.pieces)
             self.pieces.clear()
+            self.tails.clear()
         missing = {p for parts in split if parts for p in parts if p not in self.pieces}
-        if missing:
-            self._learn(missing)
+        known = {p for p in missing if p in self.older}
+        self.pieces.update((p, self.older[p]) for p in known)
+        if len(known) < len(missing):
+            self._learn(missing - known)
         out = []
         for text, parts in zip(texts, split):
             ids = None if parts is None else [self.pieces[p] for p in parts]
@@ -108,9 +115,9 @@ class Encoder:
         return out
 
 
-def encoded(texts, path, size=1 << 20):
+def encoded(texts, path, size=1 << 20, kept=KEPT_PIECES):
     """``(index, ids)`` of each text in order, encoded about ``size`` characters at a time."""
-    encoder = Encoder(path)
+    encoder = Encoder(path, kept)
     start, total = 0, 0
     for i, text in enumerate(texts):
         total += len(text)

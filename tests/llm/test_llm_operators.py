@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from taxaspark.llm import decontaminate, exact, licenses, lm, near, pack, quality, spans, text as X, token_files, tokens, toxicity
@@ -115,6 +116,23 @@ def test_encoder_is_the_library(encode):
     assert all(np.frombuffer(got[i], "<u4").tolist() == encode(t) for i, t in enumerate(texts))
 
 
+def test_encoder_remembers_no_more_than_it_may(encode, monkeypatch):
+    """Many distinct words: old ones are forgotten, those in use stay, and ids are the library's either way."""
+    import tokenizers
+
+    monkeypatch.setitem(tokenizers.__dict__, "_remembered_pieces", {})
+    texts = [" ".join(["start", "usual, word.", *(f"x{i}y{j} " + chr(97 + i % 26) * j + "q." for j in range(20)), "2.5\nthe end"]) for i in range(100)]
+    encoder, most = tokens.Encoder(tokens.tokenizer_path(), kept=100), 0
+    learn, learned = encoder._learn, []
+    monkeypatch.setattr(encoder, "_learn", lambda missing: (learned.extend(missing), learn(missing)))
+    for text in texts:
+        assert np.frombuffer(encoder.encode_many([text])[0], "<u4").tolist() == encode(text)
+        most = max(most, len(encoder.pieces) + len(encoder.older))
+    assert most <= 2 * (100 + 70) and learned.count("word.") == 1
+    got = dict(tokens.encoded(texts, tokens.tokenizer_path(), size=500, kept=50))
+    assert all(np.frombuffer(got[i], "<u4").tolist() == encode(t) for i, t in enumerate(texts))
+
+
 @pytest.mark.parametrize("values", [[0], [5] * 9000, list(range(5000)), [1] * 4000 + [2**32 - 1] * 96, [2**32 - 1, 0, 7]])
 def test_blocks_round_trip(values):
     for kind in (token_files.U4, token_files.U8):
@@ -161,6 +179,17 @@ def test_packing_places_every_id_once(odd, empty, encode):
     assert pack.pack(empty).collect() == []
 
 
+def test_packing_takes_few_rows_at_a_time(odd):
+    """Batches of any size are cut without loss; few remembered pieces give the same rows."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2500))], names=["doc_id"])
+    parts = list(pack.slices([batch, batch.slice(0, 0), batch.slice(7, 3)]))
+    assert [p.num_rows for p in parts] == [1024, 1024, 452, 3]
+    assert [i for p in parts for i in p.column("doc_id").to_pylist()] == [*range(2500), 7, 8, 9]
+    docs = odd.where("doc_id IS NOT NULL")
+    rows = [sorted(map(tuple, pack.pack(docs, length=64, kept_pieces=n).collect())) for n in (1, 750_000)]
+    assert rows[0] == rows[1] and rows[0]
+
+
 def test_packing_ranges_hold_equal_bytes(spark, empty):
     """Long texts beside short ones, and a third of all rows with one text: ranges of about equal bytes, keys in order."""
     draw = random.Random(6)
