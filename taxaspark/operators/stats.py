@@ -185,7 +185,7 @@ def wilcoxon_statistics(pairs: DataFrame, by=()) -> DataFrame:
         F.sum(rank * (F.col("ties") - F.col("pos"))).alias("w_minus"),
         F.sum(F.pow("ties", F.lit(3)) - F.col("ties")).alias("tie_term"),
         (F.sum(F.col("ties") - F.col("pos")) / F.sum("ties")).alias("cl"))
-    m = F.col("n_nonzero")
+    m = F.col("n_nonzero").cast("double")  # its cube is beyond a long from two million pairs on
     variance = m * (m + 1) * (2 * m + 1) / 24 - F.col("tie_term") / 48
     w = F.least("w_plus", "w_minus")
     return join_on(counts, ranked, keys, "left").select(
