@@ -5,8 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from taxaspark.lineage import materialize
-from taxaspark.operators import graph as G, profile as P, sequences as Q, stats as S
-from taxaspark.operators.eigen import leading_eigenvectors
+from taxaspark.operators import eigen, graph as G, profile as P, sequences as Q, stats as S
 from taxaspark.operators.tiles import tiled_pairs
 
 
@@ -65,18 +64,18 @@ def test_hamming_pairs_cut_long_lists(spark, monkeypatch):
     assert got == [(a, b, float(sum(x != y for x, y in zip(aln[a], aln[b])))) for a in names for b in names if a < b]
 
 
-def test_products_of_a_matrix_shuffle_no_entries(spark):
+def test_eigenvectors_from_many_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(eigen, "_BLOCK", 16)
+    monkeypatch.setattr(eigen, "_PACKED", 20)
+    monkeypatch.setattr(eigen, "_SMALL", 0)
     rng = np.random.default_rng(0)
     half = rng.normal(size=(90, 90))
     dense = half + half.T
     cells = [(f"i{i:02d}", f"i{j:02d}", float(dense[i, j])) for i in range(90) for j in range(90)]
-    vectors, values = leading_eigenvectors(spark.createDataFrame(cells, "a string, b string, w double"), 2)
+    vectors, values = eigen.leading_eigenvectors(spark.createDataFrame(cells, "a string, b string, w double"), 2)
     assert np.allclose(values, np.linalg.eigvalsh(dense)[::-1][:2])
     found = np.array([r.vec for r in vectors.orderBy("id").collect()])
     assert np.allclose(dense @ found, found * values, atol=1e-4)
-    from taxaspark.operators import eigen
-    assert eigen._packed_entries
-
 
 def test_a_cut_is_written_once(spark):
     calls = spark.sparkContext.accumulator(0)
